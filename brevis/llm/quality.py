@@ -68,7 +68,10 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     })
     d = d.withColumn("n_repeat_words", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered()).otherwise(F.lit(0)).cast("bigint"))
     d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return d.drop("_text", "_words", "_lines", "_codes", "_windows")
+    # the statistics pass through a generator, which keeps the optimiser from writing their long
+    # expressions into every later use of a column
+    made = ("n_words", "word_chars", "n_symbols", "_upper", "_marks", "n_dup_lines", "n_repeat_words", "base_failed")
+    return d.select(*keep, F.inline(F.array(F.struct(*made))))
 
 
 def _covered() -> Column:
