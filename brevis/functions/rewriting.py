@@ -107,7 +107,7 @@ def _number(x: float) -> str:
     digits = (whole + part).lstrip("0")
     point = len(whole) + int(power or 0) - (len(whole + part) - len(digits))
     digits = digits.rstrip("0")
-    if -6 <= point <= 0:
+    if -6 < point <= 0:
         out = "0." + "0" * -point + digits
     elif 0 < point < len(digits):
         out = f"{digits[:point]}.{digits[point:]}"

@@ -1,7 +1,159 @@
-"""SQL of the registered queries for DuckDB."""
+"""SQL of the registered queries for DuckDB, written from the rules and not from the plans."""
 
 from __future__ import annotations
 
+from brevis.plans.queries import CUSTOMER_TABLES, EVENT_LOGS, EVERY, KEEP
+
+#: Fixed value: white space of the text rules, for RE2.
+_S = r"\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+_ALARM = r"(?i)\b(error|err|fatal|critical|crit|exception|traceback|panic|fail|failed|failure|warn|warning|assert|assertion)\b"
+_STACK = rf"^[{_S}]+at[{_S}]|^[{_S}]+File[{_S}]\"|^Traceback|^[{_S}]+\.\.\."
+_TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.,]+Z?"
+_STOP = (
+    "a an the of to in on at for and or but nor so yet is are was were be been being am it its this that these those with as by from into onto "
+    "than then there here i you he she they we us them him her my your his their our me do does did has have had will would shall can could should "
+    "may might must not no yes just very really quite too also about over under again more most some any all each every"
+)
+
+
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_S}]+|[{_S}]+$', '', 'g')"
+
+
+def _tokens(x: str) -> str:
+    return f"CAST(ceil(length({_trim(x)}) / 4.0) AS BIGINT)"
+
+
+def _saved(a: str, b: str) -> str:
+    return f"CASE WHEN {a} > 0 THEN sign(1 - {b} / {a}) * floor(abs(1 - {b} / {a}) * 1000 + 0.5) / 1000 ELSE 0 END"
+
+
+def _detect(table: str, key: str, text: str) -> str:
+    """``key, type`` of a table's texts."""
+    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+    delimiter = " OR ".join(
+        f"(len({d}) >= greatest(2, 0.6 * len(f)) AND list_max(list_transform(list_distinct({d}), lambda v: len(list_filter({d}, lambda w: w = v)))) >= 0.6 * len({d}))" for d in ("d1", "d2", "d3"))
+    counts = ", ".join(f"list_filter(list_transform(r, lambda x: length(x) - length(replace(x, {m}, ''))), lambda n: n > 0) AS {d}" for d, m in (("d1", "chr(9)"), ("d2", "'|'"), ("d3", "','")))
+    logged = rf"(?i)\b(error|warn|warning|info|debug|trace|fatal|critical)\b"  # noqa: F541
+    hits = f"len(list_filter(every, lambda x: regexp_matches(x, '{logged}') OR regexp_matches(x, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[ T][0-9]') OR regexp_matches(x, '^[{_S}]+at[{_S}]') OR regexp_matches(x, '^\\[[0-9]')))"
+    frames = count(rf"(?m)^[{_S}]*at[{_S}]+.+:[0-9]+:[0-9]+")
+    files = count(rf"(?m)^[{_S}]*File \".*\", line [0-9]+")
+    tests = count(r"✗|✕|✘|✖|✓|✔|\bPASS\b|\bFAIL(?:ED)?\b|\bnot ok [0-9]+|\b[0-9]+ (?:passing|failing|passed|failed)\b")
+    codes = count(r"[{}();]|=>|\b(?:function|const|let|def|class|import|export|return|public|private|fn|func)\b")
+    return f"""(WITH a AS (SELECT {key}, {_trim(f"coalesce({text}, '')")} AS t FROM {table}),
+b AS (SELECT *, regexp_split_to_array(t, '\\r?\\n') AS every FROM a),
+c AS (SELECT *, list_filter(every, lambda x: regexp_matches(x, '[^{_S}]')) AS f FROM b),
+d AS (SELECT *, list_filter(f, lambda x: NOT regexp_matches(x, '^[{_S}|:.-]*-[{_S}|:.-]*$')) AS r FROM c),
+e AS (SELECT *, {counts} FROM d)
+SELECT {key}, CASE WHEN ((starts_with(t, '{{') AND ends_with(t, '}}')) OR (starts_with(t, '[') AND ends_with(t, ']'))) AND json_valid(t) AND NOT regexp_matches(t, '\\b(NaN|Infinity)\\b') THEN 'json'
+WHEN {frames} >= 2 OR {files} >= 2 OR contains(t, 'Traceback (most recent call last)') OR {tests} >= 3 THEN 'trace'
+WHEN len(f) >= 3 AND ({delimiter}) THEN 'table'
+WHEN len(every) >= 4 AND {hits} / len(every) >= 0.3 THEN 'log'
+WHEN {codes} >= greatest(8, length(t) / 80) THEN 'code' ELSE 'prose' END AS type FROM e)"""
+
+
+def _prose(source: str, key: str, keep: float) -> str:
+    stop = ", ".join(f"'{w}'" for w in _STOP.split())
+    return f"""
+WITH s AS ({source}),
+w AS (SELECT {key}, word, pos FROM (SELECT {key}, regexp_extract_all(text, '[^{_S}]+') AS ws FROM s), unnest(ws) WITH ORDINALITY AS u(word, pos)),
+p AS (SELECT *, regexp_replace(lower(word), '[^a-z0-9]', '', 'g') AS plain FROM w),
+f AS (SELECT {key}, plain, count(*) AS times FROM p WHERE plain <> '' GROUP BY ALL),
+m AS (SELECT {key}, max(times) AS most FROM f GROUP BY ALL),
+v AS (SELECT p.*, CAST(count(*) OVER (PARTITION BY p.{key}) AS BIGINT) AS n, CASE WHEN p.plain = '' THEN CAST(0.05 AS DOUBLE) ELSE
+ CAST(1 AS DOUBLE) + CASE WHEN p.plain IN ({stop}) THEN CAST(-0.85 AS DOUBLE) ELSE 0 END + CASE WHEN regexp_matches(word, '[0-9]') THEN CAST(1.5 AS DOUBLE) ELSE 0 END
+ + CASE WHEN regexp_matches(word, '^[A-Z]') THEN CAST(0.6 AS DOUBLE) ELSE 0 END + CASE WHEN regexp_matches(word, '[_/.\\\\{{}}()=<>:#@\\[\\]]') THEN CAST(0.8 AS DOUBLE) ELSE 0 END
+ + least(CAST(length(p.plain) AS DOUBLE) / 8, CAST(0.8 AS DOUBLE)) - CAST(0.4 AS DOUBLE) * (CAST(times AS DOUBLE) / most) END AS worth
+ FROM p LEFT JOIN f ON p.{key} = f.{key} AND p.plain = f.plain LEFT JOIN m ON p.{key} = m.{key}),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY worth DESC, pos) AS place FROM v),
+c AS (SELECT {key}, string_agg(word, ' ' ORDER BY pos) AS kept FROM r WHERE place <= greatest(1, floor(n * CAST({keep} AS DOUBLE) + 0.5)) GROUP BY {key}),
+z AS (SELECT {key}, count(*) AS n FROM w GROUP BY {key}),
+o AS (SELECT s.{key}, s.text, CASE WHEN coalesce(z.n, 0) <= 3 THEN s.text ELSE kept END AS compressed FROM s LEFT JOIN z ON s.{key} = z.{key} LEFT JOIN c ON s.{key} = c.{key})
+SELECT {key}, 'prose' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM o"""
+
+
+def _logs(aggressive: bool) -> str:
+    alarm = f"(regexp_matches(line, '{_ALARM}') OR regexp_matches(line, '{_STACK}'))"
+    number = r"\b[0-9]+(\.[0-9]+)?\b"
+    template = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{_TIME}', '<ts>', 'g'), '{number}', '<n>', 'g'), '0x[0-9a-fA-F]+', '<hex>', 'g'), '(?i)\\b[0-9a-f]{{8,}}\\b', '<hash>', 'g')"
+    general = f"regexp_replace(regexp_replace(line, '^[{_S}]*{_TIME}[{_S}]*', ''), '{number}', '#', 'g')"
+    base = f"""WITH s AS ({EVENT_LOGS}),
+l AS (SELECT user_id, line, pos FROM (SELECT user_id, regexp_split_to_array(text, '\\r?\\n') AS ls FROM s), unnest(ls) WITH ORDINALITY AS u(line, pos)),
+k AS (SELECT *, {alarm} AS telling, regexp_matches(line, '[^{_S}]') AS filled FROM l)"""
+    if aggressive:
+        rest = """, c AS (SELECT user_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE telling) AS kept, count(*) FILTER (WHERE NOT telling AND filled) AS n FROM k GROUP BY user_id),
+o AS (SELECT user_id, concat_ws(chr(10), kept, CASE WHEN n > 0 THEN '(' || n || ' routine log lines omitted)' END) AS compressed FROM c)"""
+    else:
+        rest = f""", g AS (SELECT user_id, min(pos) AS pos, CASE WHEN count(*) > 1 THEN count(*) || '× ' || arg_min({general}, pos) ELSE min(line) END AS line FROM k WHERE NOT telling AND filled GROUP BY user_id, {template}),
+a AS (SELECT user_id, pos, line FROM k WHERE telling UNION ALL SELECT user_id, pos, line FROM g),
+o AS (SELECT user_id, string_agg(line, chr(10) ORDER BY pos) AS compressed FROM a GROUP BY user_id)"""
+    return f"{base}{rest} SELECT o.user_id, 'log' AS type, compressed, {_tokens('text')} AS original_tokens, {_tokens('compressed')} AS compressed_tokens FROM o JOIN s ON o.user_id = s.user_id"
+
+
+def _tables(shown: int) -> str:
+    odd = rf"(?i)\b(error|null|nan|none|missing|undefined|fail|failed|invalid|timeout)\b|,,|\|[{_S}]*\||^[{_S}]*,|,[{_S}]*$"
+    return f"""WITH s AS ({CUSTOMER_TABLES}),
+l AS (SELECT c_nationkey, line, pos - 1 AS pos FROM (SELECT c_nationkey, string_split(text, chr(10)) AS ls FROM s), unnest(ls) WITH ORDINALITY AS u(line, pos)),
+n AS (SELECT c_nationkey, count(*) - 1 AS n FROM l GROUP BY c_nationkey),
+a AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY pos) AS place FROM l WHERE pos > {shown} AND regexp_matches(line, '{odd}')),
+k AS (SELECT c_nationkey, pos, line FROM l WHERE pos <= {shown} UNION ALL SELECT c_nationkey, pos, line FROM a WHERE place <= 3),
+c AS (SELECT k.c_nationkey, string_agg(line, chr(10) ORDER BY pos) || CASE WHEN any_value(n.n) + 1 > count(*) THEN chr(10) || '… ' || (any_value(n.n) + 1 - count(*)) || ' more rows …' ELSE '' END AS compressed, any_value(n.n) AS n FROM k JOIN n ON k.c_nationkey = n.c_nationkey GROUP BY k.c_nationkey),
+o AS (SELECT s.c_nationkey, text, CASE WHEN n < 2 THEN text ELSE compressed END AS compressed FROM s JOIN c ON s.c_nationkey = c.c_nationkey)
+SELECT c_nationkey, 'table' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM o"""
+
+
+def _code(text: str) -> str:
+    steps = [("/\\*[\\s\\S]*?\\*/", ""), ("([^:\"''`])//[^\\n]*", "\\1"), (f"(?m)^[{_S}]*#[^\\n]*$", ""), ("(?m)[ \\t]+$", ""), ("\\n{3,}", "\n\n"), (f"^[{_S}]+|[{_S}]+$", "")]
+    for pattern, by in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+_HANDLE = "'ccr_' || lower(CASE WHEN k = 0 THEN '0' ELSE ltrim(" + " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', CAST(k // {36**p} % 36 AS INTEGER) + 1, 1)" for p in range(6, -1, -1)) + ", '0') END)"
+_V = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1] * p[2]))"
+
+
+def _top(score: str, k: int) -> str:
+    """The best vectors of every hundredth one; ``score`` reads q.v and e.v."""
+    return f"""WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, {score} AS score FROM e q, e WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score FROM r WHERE rank <= {k}"""
+
+
+_COSINE = _DOT.format("q.v", "e.v") + " / (sqrt(" + _DOT.format("q.v", "q.v") + ") * sqrt(" + _DOT.format("e.v", "e.v") + "))"
+_INT8 = "list_transform({0}, lambda x: floor(greatest(-1, least(1, x)) * 127 + 0.5))"
+_SIGNS = "list_transform({0}, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END)"
+_AGREE = "len(list_filter(list_zip(" + _SIGNS.format("q.v") + ", " + _SIGNS.format("e.v") + "), lambda p: p[1] = p[2])) / 64.0"
+_SCORES = f"""WITH e AS (SELECT vec_id, label, {_V} AS v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) AS q FROM e GROUP BY label),
+s AS (SELECT e.label, vec_id, {_DOT.format("f.q", "e.v")} AS score FROM e JOIN f ON e.label = f.label)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    docs_type = _detect("documents", "doc_id", "text")
+    size = EVERY + 1
+    every = " UNION ALL ".join(f"SELECT '{t}' AS table_name, type FROM {_detect(t, k, c)}" for t, k, c in (("documents", "doc_id", "text"), ("pages", "page_id", "html"), ("conversations", "conv_id", "text")))
+    return {
+        "tokens_by_lang": f"SELECT lang, count(*) AS n, CAST(sum({_tokens('text')}) AS BIGINT) AS tokens FROM documents GROUP BY lang",
+        "detect_type_docs": f"SELECT doc_id, type FROM {docs_type}",
+        "detect_type_counts": f"SELECT table_name, type, count(*) AS n FROM ({every}) GROUP BY ALL",
+        "prose_prune_safe": _prose("SELECT doc_id, text FROM documents", "doc_id", 0.5),
+        "prose_prune_aggr": _prose("SELECT conv_id || '-' || turn AS id, text FROM conversations", "id", 0.3),
+        "log_compress_safe": _logs(False),
+        "log_compress_aggr": _logs(True),
+        "table_compress_safe": _tables(3),
+        "table_compress_aggr": _tables(1),
+        "code_compress": f"SELECT page_id, 'code' AS type, compressed, {_tokens('html')} AS original_tokens, {_tokens('compressed')} AS compressed_tokens FROM (SELECT page_id, html, {_code('html')} AS compressed FROM pages)",
+        "ccr_roundtrip": f"SELECT doc_id, {_HANDLE} AS handle, md5(text) AS digest, CAST(length(text) AS INTEGER) AS length FROM (SELECT *, doc_id AS k FROM documents)",
+        "ccr_retrieve_all": f"WITH p AS (SELECT doc_id, doc_id AS k FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents) SELECT p.doc_id, {_HANDLE} AS handle, md5(d.text) AS digest FROM p JOIN documents d ON d.doc_id = p.k",
+        "retrieve_truncated": f"SELECT p.doc_id, {_HANDLE} AS handle, coalesce(CAST(length(d.text) AS INTEGER), -1) AS length, coalesce(length(d.text) > 2000, false) AS truncated, coalesce(CAST(CASE WHEN length(d.text) > 2000 THEN length(substr(d.text, 1, 2000) || chr(10) || '… truncated, ' || length(d.text) || ' characters in all') ELSE length(d.text) END AS INTEGER), -1) AS returned FROM (SELECT doc_id, doc_id + 1 AS k FROM documents) p LEFT JOIN documents d ON d.doc_id = p.k",
+        "session_stats": f"WITH c AS (SELECT {_tokens('text')} AS a, {_tokens(_code('text'))} AS b FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS calls, CAST(sum(a) AS BIGINT) AS tokens_in, CAST(sum(b) AS BIGINT) AS tokens_out FROM c) SELECT *, tokens_in - tokens_out AS tokens_saved, {_saved('tokens_in', 'tokens_out')} AS saved, (SELECT count(*) FROM documents) AS stored FROM t",
+        "memory_flush_schedule": f"WITH p AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, position, CASE WHEN position // {size} < greatest(0, (n - {KEEP}) // {size}) THEN CAST(position // {size} AS BIGINT) ELSE -1 END AS block FROM p",
+        "cosine_topk": _top(_COSINE, 5),
+        "int8_encode": f"SELECT vec_id, array_to_string(list_transform({_INT8.format(_V)}, lambda x: CAST(x AS INTEGER)), ',') AS codes FROM embeddings",
+        "binary_encode": f"SELECT vec_id, array_to_string({_SIGNS.format(_V)}, '') AS bits FROM embeddings",
+        "int8_topk": _top(_DOT.format("q.v", "list_transform(" + _INT8.format("e.v") + ", lambda y: y / 127)"), 10),
+        "binary_topk": _top(_AGREE, 10),
+        "attention_softmax": f"{_SCORES} SELECT label, vec_id, CAST(floor(exp(score - max(score) OVER w) / sum(exp(score - m)) OVER w * 1e6 + 0.5) AS BIGINT) AS p FROM (SELECT *, max(score) OVER (PARTITION BY label) AS m FROM s) WINDOW w AS (PARTITION BY label)",
+        "kl_divergence": f"{_SCORES}, t AS (SELECT label, exp(score) / sum(exp(score)) OVER w AS p, exp(floor(score * 10 + 0.5) / 10) / sum(exp(floor(score * 10 + 0.5) / 10)) OVER w AS q FROM s WINDOW w AS (PARTITION BY label)) SELECT label, CAST(floor(sum(p * ln(p / greatest(q, 1e-12))) * 1e6 + 0.5) AS BIGINT) AS kl FROM t GROUP BY label",
+    }

@@ -159,7 +159,7 @@ def ccr_retrieve_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = content.retrieve(docs.select("doc_id", content.handle_of(F.col("doc_id") + 1).alias("handle")), content.store(docs, "doc_id"), limit=2000)
-    return found.select("doc_id", "handle", "length", "truncated", F.length("original").alias("returned"))
+    return found.select("doc_id", "handle", F.coalesce("length", F.lit(-1)).alias("length"), "truncated", F.coalesce(F.length("original"), F.lit(-1)).alias("returned"))
 
 
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_flush_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return memory.flush_schedule(_table(spark, sf_dir, "conversations"), KEEP, EVERY).select("conv_id", "turn", "position", "block")
+    return memory.flush_schedule(_table(spark, sf_dir, "conversations"), KEEP, EVERY).select("conv_id", "turn", "position", F.coalesce("block", F.lit(-1)).alias("block"))
 
 
 def memory_state(spark: SparkSession, sf_dir: str) -> DataFrame:
