@@ -216,10 +216,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = slots(plan_packing({r["length"]: r["n"] for r in totals}, capacity))
     shared = spark.sparkContext.broadcast(table)
     earlier = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    first = by_slice.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0))).groupBy("_slice").agg(F.map_from_entries(F.collect_list(F.struct("length", "_first"))).alias("_firsts"))
+    first = by_slice.withColumn("_first", F.coalesce(F.sum("_count").over(earlier), F.lit(0))).select("_slice", "length", "_first")
     rank = F.row_number().over(Window.partitionBy("_slice", "length").orderBy("doc_id", "piece", "start"))
-    # one exchange by slice serves both the window and the join
-    numbered = sliced.repartition("_slice").withColumn("_rank", rank - 1).join(first, "_slice").withColumn("_number", F.col("_rank") + F.col("_firsts")[F.col("length")])
+    # one exchange by (slice, length) serves both the window and the join
+    numbered = sliced.withColumn("_rank", rank - 1).join(first, ["_slice", "length"]).withColumn("_number", F.col("_rank") + F.col("_first"))
 
     @F.pandas_udf("sequence_id bigint, offset bigint")
     def place(length, number):  # noqa: ANN001, ANN202
