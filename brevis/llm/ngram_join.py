@@ -276,11 +276,12 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if not table or not table.num_rows:
+        held = [b for b in batches if len(b)]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         c = {k: table.column(k).to_numpy() for k in table.column_names}
-        del table
+        del table, held
         order = np.lexsort((c["sig"], c["own"] / c["n"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
         starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
@@ -288,7 +289,7 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
         mixed = (np.minimum.reduceat(c["label"], starts) != np.maximum.reduceat(c["label"], starts)) & (ends - starts > 1)
         starts, ends = starts[mixed], ends[mixed]
         found = [np.zeros((0, 2), np.int64)]
-        held = 0
+        size = 0
 
         def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             n, m = c["n"][i], c["n"][j]
@@ -309,10 +310,10 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
                 for i in range(lo, hi - 1):
                     j = np.arange(i + 1, hi)
                     found.append(fit(np.full(len(j), i), j))
-                    held += len(found[-1])
-                    if held > 1 << 20:
+                    size += len(found[-1])
+                    if size > 1 << 20:
                         found = [np.unique(np.concatenate(found), axis=0)]
-                        held = 0
+                        size = 0
         pairs = np.unique(np.concatenate(found), axis=0)
         for at in range(0, len(pairs), 1 << 16):
             part = pairs[at : at + (1 << 16)]
