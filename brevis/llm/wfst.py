@@ -35,7 +35,7 @@ from brevis.llm.lexicon import blocks
 from brevis.session import ship_package
 
 BLANK = "▁"
-#: Paths that a worker remembers before it forgets them all.
+#: Paths that a worker remembers, once as the young and once as the old half.
 REMEMBERED = 1 << 18
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -109,6 +109,7 @@ class Transducer:
         self.runs = re.compile(f"[{apart}]|{BLANK}*[^{BLANK}{apart}]+|{BLANK}+" if apart else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
         self.pairs: dict[tuple[int, int], float] = {}
         self.paths: dict[str, bytes] = {}
+        self.old_paths: dict[str, bytes] = {}
         self.made_of: dict[int, tuple[int, int] | None] = {}
 
     def parts(self, p: int) -> tuple[int, int] | None:
@@ -167,59 +168,97 @@ class Transducer:
             weight = self.pairs[key] = 0.0 if good else np.inf
         return weight
 
+    def arcs(self, run: str, at: int) -> list[tuple[int, int]]:
+        """(end, piece) of the arcs that leave a position, shortest first; -1: bytes."""
+        trie, out = self.trie.get, []
+        for end in range(at + 1, len(run) + 1):
+            p = trie(run[at:end])
+            if p is None:
+                break
+            if p >= 0:
+                out.append((end, p))
+        if not out or out[0][0] > at + 1:
+            out.insert(0, (at + 1, -1))
+        return out
+
+    def accepted(self, run: str) -> list[tuple[int, int]]:
+        """The path of weight 0 under a pair acceptor, as (end, piece), found depth first.
+
+        Arcs weigh 0 or infinity, so the first complete path is a shortest one. At most one
+        accepted path leads to a position, so a position that led nowhere is not entered again.
+        """
+        known, pair, n = self.pairs.get, self.pair, len(run)
+        path: list[tuple[int, int]] = []
+        open_arcs = [self.arcs(run, 0)]
+        dead = set()
+        while len(open_arcs[-1]) or path:
+            before = path[-1][1] if path else -1
+            arcs = open_arcs[-1]
+            while arcs:
+                end, p = arcs.pop()
+                if end in dead:
+                    continue
+                if p >= 0:
+                    weight = known((before, p))
+                    if weight is None:
+                        weight = pair(before, p)
+                    if weight:
+                        continue
+                path.append((end, p))
+                if end == n:
+                    return path
+                open_arcs.append(self.arcs(run, end))
+                break
+            else:
+                open_arcs.pop()
+                dead.add(path.pop()[0])
+        raise ValueError("no path")
+
     def shortest(self, run: str) -> list[int]:
         """Ids on the shortest path through a normalised run."""
+        ids: list[int] = []
+        at = 0
+        for end, p in self.accepted(run) if self.bpe else self.cheapest(run):
+            if p >= 0:
+                ids.append(p)
+            elif self.byte_id:
+                ids.extend(self.byte_id[b] for b in run[at:end].encode())
+            else:
+                ids.append(self.unknown)
+            at = end
+        return ids
+
+    def cheapest(self, run: str) -> list[tuple[int, int]]:
+        """The path of least weight under a model whose arcs weigh, as (end, piece)."""
         n = len(run)
         cost: list[float] = [0.0] + [np.inf] * n
         last, origin = [-1] * (n + 1), [0] * (n + 1)
-        worst = -self.worst
-        trie, known, pair, bpe = self.trie.get, self.pairs.get, self.pair, self.bpe
         for i in range(n):
-            so_far = cost[i]
-            if so_far == np.inf:
-                continue
-            before = last[i]
-            for j in range(i + 1, n + 1):
-                p = trie(run[i:j])
-                if p is None:
-                    break
-                # under a pair acceptor all finite weights are 0, so a state once reached stays
-                if p < 0 or (bpe and cost[j] == 0.0):
-                    continue
-                if bpe:
-                    weight = known((before, p))
-                    total = pair(before, p) if weight is None else weight
-                else:
-                    total = so_far - self.score[p]
+            for j, p in self.arcs(run, i):
+                total = cost[i] - (self.score[p] if p >= 0 else self.worst)
                 if total < cost[j]:
                     cost[j], last[j], origin[j] = total, p, i
-            if trie(run[i], -1) < 0 and (bpe or so_far + worst < cost[i + 1]):
-                cost[i + 1], last[i + 1], origin[i + 1] = so_far if bpe else so_far + worst, -1, i
-        ids: list[int] = []
-        at = n
+        path, at = [], n
         while at:
-            p, start = last[at], origin[at]
-            if p >= 0:
-                ids.append(p)
-            elif self.byte_id:
-                ids.extend(self.byte_id[b] for b in reversed(run[start:at].encode()))
-            else:
-                ids.append(self.unknown)
-            at = start
-        return ids[::-1]
+            path.append((at, last[at]))
+            at = origin[at]
+        return path[::-1]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not text:
             return b""
-        paths = self.paths
-        if len(paths) > REMEMBERED:
-            paths.clear()
+        if len(self.paths) > REMEMBERED:
+            # paths used since the last turn are found again among the old ones
+            self.paths, self.old_paths = {}, self.paths
+        paths, old = self.paths, self.old_paths
         out = []
         for run in self.runs.findall(self.prefix + text.replace(" ", BLANK)):
             path = paths.get(run)
             if path is None:
-                path = np.array(self.shortest(run), "<u4").tobytes()
+                path = old.get(run)
+                if path is None:
+                    path = np.array(self.shortest(run), "<u4").tobytes()
                 if len(run) <= 64:
                     paths[run] = path
             out.append(path)
