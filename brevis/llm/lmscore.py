@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brevis.llm.lexicon import Lexicon, blocks, lexicon, mix, raw_texts
-from brevis.session import ship_package
+from brevis.session import drop_staged, ship_package, staged
 
 VOCABULARY = 1 << 16
 MU = 100.0
@@ -201,7 +201,10 @@ def _postings(shared, parts: int):  # noqa: ANN001, ANN202
     return run
 
 
-def _sum_gains(shared):  # noqa: ANN001, ANN202
+def _sum_gains(shared, parts: int):  # noqa: ANN001, ANN202
+    """Blocks by bigram to blocks by document: sums of loss differences, packed as well, since a
+    document has a part of its sum in very many tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         docs, targets, keys, times, homes = [], [], [], [], []
@@ -219,26 +222,46 @@ def _sum_gains(shared):  # noqa: ANN001, ANN202
                 homes.append(cells[6:9])
         if not docs:
             return
-        for part in homes:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in part], ["doc_id", "gain", "tokens"])
         doc, target, key, n = (np.concatenate(x) for x in (docs, targets, keys, times))
         del docs, targets, keys, times
         unique, where = np.unique(key, return_inverse=True)
         gain = model.gain(unique, np.bincount(where, n, minlength=len(unique)), np.bincount(where, n * target, minlength=len(unique)))
         unique, at = np.unique(doc, return_inverse=True)
         sums = np.bincount(at, n * gain[where], minlength=len(unique))
-        for lo in range(0, len(unique), 1 << 16):
-            part = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(unique[part]), pa.array(sums[part]), pa.array(np.zeros(len(unique[part]), np.int64))], ["doc_id", "gain", "tokens"])
+        own = [np.concatenate(x) for x in zip(*homes, strict=True)]
+        doc, gain = np.concatenate([unique, own[0]]), np.concatenate([sums, own[1]])
+        tokens = np.concatenate([np.zeros(len(unique), np.int64), own[2]])
+        bucket = (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+        found = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(parts) if cuts[k] < cuts[k + 1]]
+        data = [b"".join((np.array([len(o)], "<u4").tobytes(), doc[o].astype("<i8").tobytes(), gain[o].astype("<f8").tobytes(), tokens[o].astype("<u4").tobytes())) for _, o in found]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array(data, pa.binary())], ["bucket", "block"])
 
     return run
 
 
+def _sum_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs, gains, tokens = [], [], []
+    for b in batches:
+        for block in b.column("block").to_pylist():
+            n = int(np.frombuffer(block, "<u4", 1)[0])
+            docs.append(np.frombuffer(block, "<i8", n, 4))
+            gains.append(np.frombuffer(block, "<f8", n, 4 + 8 * n))
+            tokens.append(np.frombuffer(block, "<u4", n, 4 + 16 * n))
+    if not docs:
+        return
+    unique, at = np.unique(np.concatenate(docs), return_inverse=True)
+    gain = np.bincount(at, np.concatenate(gains), minlength=len(unique))
+    n_tokens = np.bincount(at, np.concatenate(tokens), minlength=len(unique)).astype(np.int64)
+    for lo in range(0, len(unique), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        yield pa.RecordBatch.from_arrays([pa.array(unique[part]), pa.array(n_tokens[part]), pa.array(gain[part] / np.maximum(n_tokens[part], 1))], ["doc_id", "n_tokens", "score"])
+
+
 def train(rows: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> Model:
     """Word counts and hot bigrams of ``doc_id, text, target`` rows; bounded by the parameters."""
     counts = rows.mapInArrow(_count_words, "kind int, key bigint, n bigint, n_target bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    from brevis.session import drop_staged, staged
-
     counts = staged(counts, "lm-words")
     totals = counts.filter("kind = 0").agg(F.sum("n"), F.sum("n_target")).first()
     top = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(vocabulary).select("key", "n", "n_target").toArrow()
@@ -263,7 +286,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, parts: int | No
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = marked(docs, target)
     shared = spark.sparkContext.broadcast(train(rows))
-    dealt = rows.mapInArrow(_postings(shared, parts), "bucket int, block binary").repartitionById(parts, F.col("bucket"))
-    sums = dealt.mapInArrow(_sum_gains(shared), "doc_id bigint, gain double, tokens bigint").groupBy("doc_id").agg(F.sum("gain").alias("gain"), F.sum("tokens").alias("n_tokens"))
-    mean: Column = F.when(F.col("n_tokens") > 0, F.col("gain") / F.col("n_tokens")).otherwise(0.0)
-    return sums.select("doc_id", "n_tokens", mean.alias("score"))
+    block = "bucket int, block binary"
+    by_bigram = rows.mapInArrow(_postings(shared, parts), block).repartitionById(parts, F.col("bucket"))
+    by_document = by_bigram.mapInArrow(_sum_gains(shared, parts), block).repartitionById(parts, F.col("bucket"))
+    return by_document.mapInArrow(_sum_documents, "doc_id bigint, n_tokens bigint, score double")
