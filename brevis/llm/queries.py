@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevis.llm import langid, lmscore, ngram_join, packing, pii, quality, topk, toxicity, urlgraph, wfst
+from brevis.llm import langid, lmscore, ngram_join, ngram_sql, packing, pii, quality, topk, toxicity, urlgraph, wfst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,4 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": urlgraph.sql(), "op7_exact_top_k": topk.sql(50)}
+    return {"op4_ngram_jaccard_join": ngram_sql.SQL, "op6_url_filters": urlgraph.sql(), "op7_exact_top_k": topk.sql(50)}
