@@ -102,6 +102,30 @@ o AS (SELECT s.c_nationkey, text, CASE WHEN n < 2 THEN text ELSE compressed END
 SELECT c_nationkey, 'table' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM o"""
 
 
+def _traces() -> str:
+    """Counts stand before the line that ends their run: library frames before any other line,
+    passed tests before the next failure; what is left comes last, frames first."""
+    n = "CAST(event_id AS VARCHAR)"
+    line = f"CASE event_type WHEN 'error' THEN 'FAIL suite ' || {n} WHEN 'click' THEN '    at lib (node_modules/x/' || {n} || '.js:1:2)' WHEN 'signup' THEN '    at own (src/' || {n} || '.js:1:2)' ELSE 'PASS suite ' || {n} END"
+    return f"""WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'news' WHEN 'click' THEN 'lib' WHEN 'signup' THEN 'own' ELSE 'pass' END AS kind, {line} AS line,
+ row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos FROM events),
+s AS (SELECT user_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM e GROUP BY user_id),
+x AS (SELECT *, min(CASE WHEN kind <> 'lib' THEN pos END) OVER w AS next_line, min(CASE WHEN kind = 'news' THEN pos END) OVER w AS next_news FROM e WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+o AS (SELECT user_id, pos, 3 AS part, line FROM x WHERE kind IN ('news', 'own')
+ UNION ALL SELECT user_id, coalesce(next_line, 1000000000), 1, '    … ' || count(*) || ' library frame' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ' …' FROM x WHERE kind = 'lib' GROUP BY user_id, next_line
+ UNION ALL SELECT user_id, coalesce(next_news, 1000000000), 2, '(' || count(*) || ' passing test' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END || ')' FROM x WHERE kind = 'pass' GROUP BY user_id, next_news),
+c AS (SELECT user_id, string_agg(line, chr(10) ORDER BY pos, part) AS compressed FROM o GROUP BY user_id)
+SELECT s.user_id, 'trace' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM s JOIN c ON s.user_id = c.user_id"""
+
+
+def _embed() -> str:
+    fold = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(word, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+    return f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM conversations),
+h AS (SELECT conv_id, turn, {fold} AS h FROM w),
+b AS (SELECT conv_id, turn, CAST((CASE WHEN h < 2147483648 THEN h ELSE 4294967296 - h END) % 64 AS INTEGER) AS dim, count(*) AS n FROM h GROUP BY ALL)
+SELECT conv_id, turn, dim, CAST(floor(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)) * 1e6 + 0.5) AS BIGINT) AS x FROM b"""
+
+
 def _code(text: str) -> str:
     steps = [("/\\*[\\s\\S]*?\\*/", ""), ("([^:\"''`])//[^\\n]*", "\\1"), (f"(?m)^[{_S}]*#[^\\n]*$", ""), ("(?m)[ \\t]+$", ""), ("\\n{3,}", "\n\n"), (f"^[{_S}]+|[{_S}]+$", "")]
     for pattern, by in steps:
@@ -143,6 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "log_compress_aggr": _logs(True),
         "table_compress_safe": _tables(3),
         "table_compress_aggr": _tables(1),
+        "trace_compress_safe": _traces(),
+        "hash_embed": _embed(),
         "code_compress": f"SELECT page_id, 'code' AS type, compressed, {_tokens('html')} AS original_tokens, {_tokens('compressed')} AS compressed_tokens FROM (SELECT page_id, html, {_code('html')} AS compressed FROM pages)",
         "ccr_roundtrip": f"SELECT doc_id, {_HANDLE} AS handle, md5(text) AS digest, CAST(length(text) AS INTEGER) AS length FROM (SELECT *, doc_id AS k FROM documents)",
         "ccr_retrieve_all": f"WITH p AS (SELECT doc_id, doc_id AS k FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents) SELECT p.doc_id, {_HANDLE} AS handle, md5(d.text) AS digest FROM p JOIN documents d ON d.doc_id = p.k",
