@@ -118,6 +118,29 @@ c AS (SELECT user_id, string_agg(line, chr(10) ORDER BY pos, part) AS compressed
 SELECT s.user_id, 'trace' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM s JOIN c ON s.user_id = c.user_id"""
 
 
+_SCHEDULE = f"""SELECT *, CASE WHEN position // {EVERY + 1} < greatest(0, (n - {KEEP}) // {EVERY + 1}) THEN CAST(position // {EVERY + 1} AS BIGINT) END AS block
+ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"""
+
+
+def _facts() -> str:
+    signal = r"(?i)\b(want|need|prefer|must|should|decided|use|is|are|named|called|because|so that|goal)\b"
+    return f"""WITH p AS ({_SCHEDULE}),
+b AS (SELECT conv_id, block, string_agg(role || ': ' || text, chr(10) ORDER BY position) AS t, min(position) AS start, max(position) + 1 AS stop FROM p WHERE block IS NOT NULL GROUP BY conv_id, block),
+y AS (SELECT conv_id, block, start, stop, {_trim("part")} AS x, pos FROM (SELECT *, string_split(regexp_replace(t, '([.!?])[{_S}]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM b), unnest(parts) WITH ORDINALITY AS u(part, pos)),
+z AS (SELECT *, count(*) OVER (PARTITION BY conv_id, block) AS n, row_number() OVER (PARTITION BY conv_id, block ORDER BY CASE WHEN regexp_matches(x, '{signal}') THEN 5 ELSE 0 END + least(length(x) / CAST(40 AS DOUBLE), 4) DESC, pos) AS place FROM y WHERE x <> ''),
+f AS (SELECT *, {_trim(f"regexp_replace(x, '(?i)^(user|assistant)[{_S}]*:[{_S}]*', '')")} AS fact FROM z WHERE place <= greatest(1, ceil(n / 4.0)))
+SELECT conv_id, block, start, stop, coalesce(string_agg(fact, chr(10) ORDER BY place) FILTER (WHERE fact <> ''), '') AS facts FROM f GROUP BY conv_id, block, start, stop"""
+
+
+def _recent(budget: int) -> str:
+    return f"""WITH RECURSIVE m AS (SELECT conv_id, {_tokens("text")} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations),
+f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({budget} AS BIGINT) AS room, 0 AS taken FROM (SELECT DISTINCT conv_id FROM m)
+ UNION ALL SELECT f.conv_id, f.i + 1, CASE WHEN cost <= room THEN room - cost ELSE room END, taken + CASE WHEN cost <= room THEN 1 ELSE 0 END FROM f JOIN m ON m.conv_id = f.conv_id AND m.i = f.i + 1),
+t AS (SELECT conv_id, CAST(sum(cost) AS BIGINT) AS raw_tokens, CAST(count(*) AS INTEGER) AS raw_messages FROM m GROUP BY conv_id)
+SELECT t.conv_id, raw_tokens, {budget} - room AS packed_tokens, CASE WHEN room < {budget} THEN floor(raw_tokens / CAST({budget} - room AS DOUBLE) * 100 + 0.5) / 100 ELSE 1 END AS ratio, raw_messages, taken AS packed_messages
+FROM t JOIN f ON f.conv_id = t.conv_id AND f.i = t.raw_messages"""
+
+
 def _embed() -> str:
     fold = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(word, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
     return f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS word FROM conversations),
@@ -169,6 +192,8 @@ def oracle_sql() -> dict[str, str]:
         "table_compress_aggr": _tables(1),
         "trace_compress_safe": _traces(),
         "hash_embed": _embed(),
+        "distill_facts": _facts(),
+        "pack_recent": _recent(100),
         "code_compress": f"SELECT page_id, 'code' AS type, compressed, {_tokens('html')} AS original_tokens, {_tokens('compressed')} AS compressed_tokens FROM (SELECT page_id, html, {_code('html')} AS compressed FROM pages)",
         "ccr_roundtrip": f"SELECT doc_id, {_HANDLE} AS handle, md5(text) AS digest, CAST(length(text) AS INTEGER) AS length FROM (SELECT *, doc_id AS k FROM documents)",
         "ccr_retrieve_all": f"WITH p AS (SELECT doc_id, doc_id AS k FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents) SELECT p.doc_id, {_HANDLE} AS handle, md5(d.text) AS digest FROM p JOIN documents d ON d.doc_id = p.k",
