@@ -39,15 +39,15 @@ def scratch_dir(spark: SparkSession) -> str:
     a temporary folder (driver and executors are one process there) and any other master a
     folder below the warehouse, which is shared as well.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        root = Path(tempfile.mkdtemp(prefix="brevis-scratch-")).as_uri()
-    else:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brevis_scratch"
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    sc = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_KEY, None) or getattr(sc, "_brevis_scratch", None)
+    if not root:
+        if sc.master.startswith("local") and "cluster" not in sc.master:
+            root = Path(tempfile.mkdtemp(prefix="brevis-scratch-")).as_uri()
+        else:
+            root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_brevis_scratch"
+        sc._brevis_scratch = root  # noqa: SLF001
+    return root.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
