@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevis.llm.lexicon import blocks, lexicon, raw_texts, sum_by_doc, word_grams
-from brevis.llm.linear import couple, one_versus_one
+from brevis.llm.linear import couple, low_hash, one_versus_one
 from brevis.session import ship_package
 
 #: Families of some languages (ISO 639-1). Other languages are a family each.
@@ -82,7 +82,7 @@ def training_rows(docs: DataFrame, fit_on: Column, max_rows: int = MAX_ROWS) ->
     share = max(1, max_rows // len(counts))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        known.filter(F.col("lang").isin([r["lang"] for r in counts]))
+        known.filter(F.col("lang").isin([r["lang"] for r in counts]) & low_hash(F.col("lang"), F.col("doc_id"), {r["lang"]: r["count"] for r in counts}, share))
         .select("doc_id", "lang")
         .withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= share)

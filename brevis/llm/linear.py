@@ -3,6 +3,23 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+#: How many times the wanted rows a hash threshold lets pass, so that the wanted ones are among them.
+_MARGIN = 4
+
+
+def low_hash(group: Column, key: Column, counts: dict, wanted: int) -> Column:
+    """A filter that passes, of each group, about ``_MARGIN * wanted`` rows of smallest hash (all of
+    a small group). It leaves a group's ranking few rows to rank, however large the group is."""
+    passes = F.lit(True)
+    for name, n in counts.items():
+        if n > 2 * _MARGIN * wanted:
+            limit = -(1 << 63) + int((1 << 64) * (_MARGIN * wanted / n))
+            passes = F.when(group == F.lit(name), F.xxhash64(key) < F.lit(limit)).otherwise(passes)
+    return passes
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
