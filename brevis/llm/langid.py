@@ -76,13 +76,13 @@ def training_rows(docs: DataFrame, fit_on: Column, max_rows: int = MAX_ROWS) ->
     The identifiers are chosen from (id, lang) alone; texts are read for the chosen rows only.
     """
     known = docs.filter(fit_on & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not counts:
         return known.select("doc_id", "text", "lang").limit(0)
     share = max(1, max_rows // len(counts))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = (
-        known.filter(F.col("lang").isin([r["lang"] for r in counts]) & low_hash(F.col("lang"), F.col("doc_id"), {r["lang"]: r["count"] for r in counts}, share))
+        known.filter(F.col("lang").isin([r["lang"] for r in counts]) & low_hash(F.col("lang"), F.col("doc_id"), {r["lang"]: r["ids"] for r in counts}, share))
         .select("doc_id", "lang")
         .withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= share)

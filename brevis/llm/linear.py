@@ -12,7 +12,7 @@ _MARGIN = 4
 
 
 def low_hash(group: Column, key: Column, counts: dict, wanted: int) -> Column:
-    """A filter that passes, of each group, about ``_MARGIN * wanted`` rows of smallest hash (all of
+    """A filter by numbers of distinct keys that passes, of each group, about ``_MARGIN * wanted`` rows of smallest hash (all of
     a small group). It leaves a group's ranking few rows to rank, however large the group is."""
     passes = F.lit(True)
     for name, n in counts.items():

@@ -71,7 +71,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def training_rows(docs: DataFrame, labels: DataFrame, fit_on: Column, max_per_class: int) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``max_per_class`` labelled texts of either class."""
     known = labels.filter(fit_on & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["count"] for r in labels.filter(fit_on & F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    counts = {r["toxic"]: r["ids"] for r in labels.filter(fit_on & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()}
     known = known.filter(low_hash(F.col("toxic"), F.col("doc_id"), counts, max_per_class))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_per_class).select("doc_id", "toxic")
