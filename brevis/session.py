@@ -74,8 +74,17 @@ def drop_staged(df: DataFrame) -> None:
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
 
 
+#: Rows of an Arrow batch where the session has Spark's own default of 10,000: texts are long, and
+#: a batch is held by the JVM and by a Python worker at once.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per Spark context."""
+    """Prepare a session for operators that run Python: batches of bounded size, and, once per
+    Spark context, this package importable in Python workers."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_brevis_shipped", False):
         return
