@@ -5,13 +5,17 @@ documents, the target model the documents marked as target. A document's score i
 its tokens of the background loss minus the target loss (nats): above 0, the text is closer to the
 target. Probabilities are ``p(w | h) = (c(h, w) + MU p(w)) / (c(h) + MU)`` with add-a-half unigrams.
 
-The vocabulary is the ``VOCABULARY`` most frequent words (one class holds all others), so word
-counts are bounded and broadcast. Bigram counts are not bounded: every document's bigrams are
-dealt by bigram, packed into blocks, counted where they meet, and their loss differences summed
-per document on the spot. Bigrams found in ``HOT_SHARE`` of the documents of any block of documents
-are set apart first (at most ``HOT`` of them, a proven bound for all bigrams in a sufficient share
-of documents): their counts are broadcast and summed where the documents are, so that no bigram
-gathers more than a small share of all documents in one task.
+Nothing that is counted is bounded: the vocabulary is all words (one class more holds what was never
+seen), and words and bigrams are known by 64-bit hashes of theirs. Every document's bigrams are dealt
+by their second word, packed into blocks; where they meet, that word's occurrences are all there (a
+mark stands before the first word of a document), so words and bigrams are counted, and their loss
+differences summed per document, on the spot.
+
+Words and bigrams found in ``HOT_SHARE`` of the documents of any block of documents are set apart
+first, so that none gathers more than a small share of all documents in one task: the counts of hot
+words are broadcast and their bigrams dealt by bigram, and the counts of hot bigrams are broadcast
+and summed where the documents are. At most ``HOT`` of each are set apart; the others take the common
+way, with the same result. What is hot is decided once, by the hash that is counted.
 
 Defined results: words are runs of bytes other than ASCII white space, ``A-Z`` lower-cased; a null
 or empty text has no tokens and score 0; rows of one identifier are scored together as one text;
@@ -32,14 +36,16 @@ from pyspark.sql import functions as F
 from brevis.llm.lexicon import Lexicon, blocks, lexicon, mix, raw_texts
 from brevis.session import drop_staged, ship_package, staged
 
-VOCABULARY = 1 << 16
+#: Bound of the words with counts of their own: none.
+VOCABULARY = None
 MU = 100.0
 #: A block is the documents of about 4 MB of text; shares are of its documents.
 HOT_SHARE = 0.02
 HOT = 1 << 16
 #: Marked identifiers that are broadcast at most; beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-_SHIFT = np.uint64(17)
+#: Marks before the first and after the last word of a document; no word holds blanks.
+_START, _END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b" ", b"  "))
 
 
 def _hashes(lex: Lexicon) -> np.ndarray:
@@ -80,61 +86,73 @@ def _lexicons(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lexicon, np.n
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (kind, key, n, n_target): words, and bigrams that are frequent in a block."""
+    """Rows (kind, key, n, n_target, often): words, and bigrams that are frequent in a block;
+    ``often`` is the number of documents of blocks in which the word or bigram is frequent."""
     for lex, _, target in _lexicons(batches):
         if not len(lex.ids):
             continue
         word = _hashes(lex)
         n = np.bincount(lex.ids, minlength=len(word))
         n_target = np.bincount(lex.ids[target[lex.doc_of]], minlength=len(word))
+        least = max(32, HOT_SHARE * len(target))
+        held = np.bincount(np.unique(lex.doc_of * len(word) + lex.ids) % len(word), minlength=len(word))
         doc, first, second = _bigrams(lex, word)
-        key = mix(first * np.uint64(3) + mix(second))
+        key = _pair(first, second)
         order, starts = _distinct(key, doc)
         per_doc = key[order][starts]
         hot, times = np.unique(per_doc, return_counts=True)
-        often = times >= max(32, HOT_SHARE * len(target))
-        hot, times = hot[often], times[often]
+        hot, times = hot[times >= least], times[times >= least]
+        none = np.zeros(len(hot), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat([0, 1], [len(word), len(hot)]), pa.int32()),
                 pa.array(np.concatenate([word, hot]).view(np.int64)),
-                pa.array(np.concatenate([n, times])),
-                pa.array(np.concatenate([n_target, np.zeros(len(hot), n_target.dtype)])),
+                pa.array(np.concatenate([n, none])),
+                pa.array(np.concatenate([n_target, none])),
+                pa.array(np.concatenate([np.where(held >= least, held, 0), times])),
             ],
-            ["kind", "key", "n", "n_target"],
+            ["kind", "key", "n", "n_target", "often"],
         )
 
 
+def _pair(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mix(first * np.uint64(3) + mix(second))
+
+
+def _find(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``values`` in the sorted ``among``, and whether they are there."""
+    if not len(among):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return at, among[at] == values
+
+
 class Model:
-    """Unigram counts by word id, counts of hot bigrams, and the loss differences they give."""
+    """Counts of hot words, gains of hot bigrams, and what a loss needs of the whole corpus."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, all_counts: np.ndarray, hot_hashes: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, totals: np.ndarray, size: int, pairs: np.ndarray):
         order = np.argsort(words)
-        self.words, self.other = words[order], len(words)
-        self.counts = np.concatenate([counts[order], all_counts[None] - counts.sum(axis=0)[None]]).astype(np.float64)
-        size = len(self.counts)
-        self.unigram = (self.counts + 0.5) / (self.counts.sum(axis=0) + 0.5 * size)
-        self.hot_hashes = np.sort(hot_hashes)
-        self.hot_keys, self.hot_gain = np.zeros(0, np.uint64), np.zeros(0)
-
-    def ids(self, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-        """Word ids and hashes of the distinct words of a block."""
-        word = _hashes(lex)
-        at = np.minimum(np.searchsorted(self.words, word), max(0, self.other - 1))
-        known = self.words[at] == word if self.other else np.zeros(len(word), bool)
-        return np.where(known, at, self.other).astype(np.uint64), word
+        self.words, self.counts = words[order], counts[order].astype(np.float64)
+        self.totals, self.size = totals.astype(np.float64), size
+        self.pairs, self.pair_gain = np.sort(pairs), np.zeros(len(pairs))
+
+    def unigram(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + 0.5) / (self.totals + 0.5 * self.size)
+
+    def first_gain(self, counts: np.ndarray) -> np.ndarray:
+        """log p_target - log p_background of words of given counts."""
+        p = np.log(self.unigram(counts))
+        return p[:, 1] - p[:, 0]
 
-    def is_hot(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-        if not len(self.hot_hashes):
-            return np.zeros(len(first), bool)
-        key = mix(first * np.uint64(3) + mix(second))
-        return self.hot_hashes[np.minimum(np.searchsorted(self.hot_hashes, key), len(self.hot_hashes) - 1)] == key
+    def pair_part(self, counts: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> np.ndarray:
+        """What bigrams of given counts add to a gain; ``counts`` are those of their second words."""
+        p = np.log(np.stack([n, n_target], axis=1) + MU * self.unigram(counts))
+        return p[:, 1] - p[:, 0]
 
-    def gain(self, key: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> np.ndarray:
-        """log p_target - log p_background of bigrams of given counts."""
-        h, w = (key >> _SHIFT).astype(np.int64), (key & np.uint64((1 << 17) - 1)).astype(np.int64)
-        p = [(c + MU * self.unigram[w, k]) / (self.counts[h, k] + MU) for k, c in ((0, n), (1, n_target))]
-        return np.log(p[1]) - np.log(p[0])
+    def history_part(self, counts: np.ndarray) -> np.ndarray:
+        """What a word of given counts adds to the gain of the word after it."""
+        p = np.log(counts + MU)
+        return p[:, 0] - p[:, 1]
 
 
 def _count_hot(shared):  # noqa: ANN001, ANN202
@@ -143,41 +161,63 @@ def _count_hot(shared):  # noqa: ANN001, ANN202
         for lex, _, target in _lexicons(batches):
             if len(lex.ids) < 2:
                 continue
-            ids, word = model.ids(lex)
-            doc, h, w = _bigrams(lex, ids)
-            hot = model.is_hot(*_bigrams(lex, word)[1:])
-            key, where = np.unique((h[hot] << _SHIFT) | w[hot], return_inverse=True)
+            doc, first, second = _bigrams(lex, _hashes(lex))
+            key = _pair(first, second)
+            hot = _find(key, model.pairs)[1] & _find(second, model.words)[1]
+            key, at, where = np.unique(key[hot], return_index=True, return_inverse=True)
             n, n_target = np.bincount(where, minlength=len(key)), np.bincount(where[target[doc[hot]]], minlength=len(key))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(n_target)], ["key", "n", "n_target"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(second[hot][at].view(np.int64)), pa.array(n), pa.array(n_target)], ["key", "word", "n", "n_target"])
 
     return run
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Small numbers byte by byte, lowest bytes first, so that the zeros above compress."""
+    return np.ascontiguousarray(x.astype("<u4").view("u1").reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(block: bytes, n: int, at: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, "u1", 4 * n, at).reshape(4, n).T).view("<u4").ravel()
+
+
 def _postings(shared, parts: int):  # noqa: ANN001, ANN202
-    """Blocks by bigram: the bigrams of documents that are not hot, and, dealt by document, the
-    documents' token counts and the sums of what is known already."""
+    """Blocks by second word, or by bigram where that word is hot: the bigrams of documents that are
+    not hot, and, dealt by document, the documents' token counts and the sums of what is known
+    already. The mark ``_START`` stands before a first word and ``_END`` before a last one that is
+    not hot; the latter is no occurrence of the word but says that nothing follows it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for lex, doc_id, target in _lexicons(batches):
-            ids, word = model.ids(lex)
             lengths = np.diff(lex.bounds)
-            start = ids[lex.ids[lex.bounds[:-1][lengths > 0]]].astype(np.int64)
-            known = np.zeros(len(doc_id))
-            known[lengths > 0] = np.log(model.unigram[start, 1]) - np.log(model.unigram[start, 0])
-            doc, h, w = _bigrams(lex, ids)
-            key = (h << _SHIFT) | w
-            hot = model.is_hot(*_bigrams(lex, word)[1:])
-            if hot.any():
-                known += np.bincount(doc[hot], model.hot_gain[np.searchsorted(model.hot_keys, key[hot])], minlength=len(doc_id))
-            doc, key = doc[~hot], key[~hot]
-            order, starts = _distinct(key, doc)
+            full = np.flatnonzero(lengths)
+            word = np.concatenate([_hashes(lex), [_START, _END]]).astype(np.uint64)
+            place, common = _find(word, model.words)
+            common[-2:] = False
+            history, opening = np.zeros(len(word)), np.zeros(len(word))
+            history[common], opening[common] = model.history_part(model.counts[place[common]]), model.first_gain(model.counts[place[common]])
+            head, tail = lex.ids[lex.bounds[full]].astype(np.int64), lex.ids[lex.bounds[full + 1] - 1].astype(np.int64)
+            doc, first, second = _bigrams(lex, np.arange(len(word)))
+            known = np.bincount(doc, history[first], minlength=len(doc_id)).astype(np.float64)
+            known[full] += opening[head]
+            at, hot = _find(_pair(word[first], word[second]), model.pairs)
+            known += np.bincount(doc[hot], model.pair_gain[at[hot]], minlength=len(doc_id))
+            heads, tails = ~common[head], ~common[tail]
+            doc = np.concatenate([doc[~hot], full[heads], full[tails]])
+            first = np.concatenate([first[~hot], np.full(heads.sum(), len(word) - 2), np.full(tails.sum(), len(word) - 1)])
+            second = np.concatenate([second[~hot], head[heads], tail[tails]])
+            order, starts = _distinct(first * len(word) + second, doc)
             times = np.diff(np.append(starts, len(order)))
-            key, doc = key[order][starts], doc[order][starts]
-            bucket = (mix(key) % np.uint64(parts)).astype(np.int64)
+            doc, first, second = (x[order][starts] for x in (doc, first, second))
+            bucket = (mix(np.where(common[second], _pair(word[first], word[second]), word[second])) % np.uint64(parts)).astype(np.int64)
             home = (mix(doc_id.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((doc, bucket))
-            bucket, key, doc, times = bucket[order], key[order], doc[order], times[order]
+            bucket, doc, first, second, times = (x[order] for x in (bucket, doc, first, second, times))
+            # every bucket has its own list of words, and bigrams are places in it
+            listed, at = np.unique(np.concatenate([bucket, bucket]) * len(word) + np.concatenate([first, second]), return_inverse=True)
+            list_cuts = np.searchsorted(listed, np.arange(parts + 1) * len(word))
+            listed = word[listed % len(word)]
+            first, second = at[: len(first)] - list_cuts[bucket], at[len(first) :] - list_cuts[bucket]
             home_order = np.argsort(home, kind="stable")
             cuts, home_cuts = np.searchsorted(bucket, np.arange(parts + 1)), np.searchsorted(home[home_order], np.arange(parts + 1))
             names, data = [], []
@@ -186,46 +226,60 @@ def _postings(shared, parts: int):  # noqa: ANN001, ANN202
                 if lo == hi and not len(own):
                     continue
                 d = doc[lo:hi]
-                first = np.flatnonzero(np.diff(d, prepend=-1))
-                texts = d[first]
-                counts = np.diff(np.append(first, len(d)))
-                cells = (
-                    np.array([len(texts), len(d), len(own)], "<u4"), doc_id[texts].astype("<i8"), target[texts].astype("u1"), counts.astype("<u4"),
-                    (key[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4"), (key[lo:hi] >> np.uint64(32)).astype("u1"), times[lo:hi].astype("<u4"),
-                    doc_id[own].astype("<i8"), known[own].astype("<f8"), lengths[own].astype("<i8"),
+                new = np.flatnonzero(np.diff(d, prepend=-1))
+                texts, words = d[new], listed[list_cuts[k] : list_cuts[k + 1]]
+                counts = np.diff(np.append(new, len(d)))
+                data.append(
+                    b"".join((
+                        np.array([len(texts), len(d), len(words), len(own)], "<u4").tobytes(), doc_id[texts].astype("<i8").tobytes(), target[texts].astype("u1").tobytes(), words.astype("<u8").tobytes(),
+                        doc_id[own].astype("<i8").tobytes(), known[own].astype("<f8").tobytes(), lengths[own].astype("<i8").tobytes(),
+                        _planes(counts), _planes(first[lo:hi]), _planes(second[lo:hi]), _planes(times[lo:hi]),
+                    ))
                 )
                 names.append(k)
-                data.append(b"".join(c.tobytes() for c in cells))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "block"])
 
     return run
 
 
+def _gains(model: Model, first: np.ndarray, second: np.ndarray, n: np.ndarray, n_target: np.ndarray) -> np.ndarray:
+    """Loss differences of the entries of a task: bigrams with their counts and marks of documents."""
+    start, end = first == _START, first == _END
+    _, word = np.unique(second, return_inverse=True)
+    counts = np.stack([np.bincount(word, np.where(end, 0, x)) for x in (n, n_target)], axis=1)[word] if len(word) else np.zeros((0, 2))
+    place, common = _find(second, model.words)
+    counts[common] = model.counts[place[common]]
+    history = np.where(common, 0, model.history_part(counts))
+    return np.where(end, -history, history + np.where(start, model.first_gain(counts), model.pair_part(counts, n, n_target)))
+
+
 def _sum_gains(shared, parts: int):  # noqa: ANN001, ANN202
-    """Blocks by bigram to blocks by document: sums of loss differences, packed as well, since a
+    """Blocks by word to blocks by document: sums of loss differences, packed as well, since a
     document has a part of its sum in very many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        docs, targets, keys, times, homes = [], [], [], [], []
+        columns, homes = [], []
         for b in batches:
             for block in b.column("block").to_pylist():
-                texts, entries, own = np.frombuffer(block, "<u4", 3)
-                at, cells = 12, []
-                for kind, size in (("<i8", texts), ("u1", texts), ("<u4", texts), ("<u4", entries), ("u1", entries), ("<u4", entries), ("<i8", own), ("<f8", own), ("<i8", own)):
+                texts, entries, words, own = (int(x) for x in np.frombuffer(block, "<u4", 4))
+                at, cells = 16, []
+                for kind, size in (("<i8", texts), ("u1", texts), ("<u8", words), ("<i8", own), ("<f8", own), ("<i8", own)):
                     cells.append(np.frombuffer(block, kind, size, at))
                     at += cells[-1].nbytes
-                docs.append(np.repeat(cells[0], cells[2]))
-                targets.append(np.repeat(cells[1], cells[2]))
-                keys.append(cells[3].astype(np.uint64) | (cells[4].astype(np.uint64) << np.uint64(32)))
-                times.append(cells[5])
-                homes.append(cells[6:9])
-        if not docs:
+                for size in (texts, entries, entries, entries):
+                    cells.append(_from_planes(block, size, at))
+                    at += 4 * size
+                doc_id, target, word, *home, counts, first, second, times = cells
+                columns.append((np.repeat(doc_id, counts), np.repeat(target, counts), word[first], word[second], times))
+                homes.append(home)
+        if not columns:
             return
-        doc, target, key, n = (np.concatenate(x) for x in (docs, targets, keys, times))
-        del docs, targets, keys, times
-        unique, where = np.unique(key, return_inverse=True)
-        gain = model.gain(unique, np.bincount(where, n, minlength=len(unique)), np.bincount(where, n * target, minlength=len(unique)))
+        doc, target, first, second, n = (np.concatenate(x) for x in zip(*columns, strict=True))
+        del columns
+        unique, at, where = np.unique(_pair(first, second), return_index=True, return_inverse=True)
+        gain = _gains(model, first[at], second[at], np.bincount(where, n, minlength=len(unique)), np.bincount(where, n * target, minlength=len(unique)))
+        del first, second, target
         unique, at = np.unique(doc, return_inverse=True)
         sums = np.bincount(at, n * gain[where], minlength=len(unique))
         own = [np.concatenate(x) for x in zip(*homes, strict=True)]
@@ -259,23 +313,24 @@ def _sum_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(unique[part]), pa.array(n_tokens[part]), pa.array(gain[part] / np.maximum(n_tokens[part], 1))], ["doc_id", "n_tokens", "score"])
 
 
-def train(rows: DataFrame, vocabulary: int = VOCABULARY, hot: int = HOT) -> Model:
-    """Word counts and hot bigrams of ``doc_id, text, target`` rows; bounded by the parameters."""
-    counts = rows.mapInArrow(_count_words, "kind int, key bigint, n bigint, n_target bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+def train(rows: DataFrame, hot: int = HOT) -> Model:
+    """Totals, hot words and hot bigrams of ``doc_id, text, target`` rows; ``hot`` bounds what is set
+    apart, not what is counted."""
+    counts = rows.mapInArrow(_count_words, "kind int, key bigint, n bigint, n_target bigint, often bigint").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "n_target", "often")))
     counts = staged(counts, "lm-words")
-    totals = counts.filter("kind = 0").agg(F.sum("n"), F.sum("n_target")).first()
-    top = counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(vocabulary).select("key", "n", "n_target").toArrow()
-    frequent = counts.filter("kind = 1").orderBy(F.desc("n"), "key").limit(hot).select("key").toArrow()
+    totals = counts.filter("kind = 0").agg(F.sum("n"), F.sum("n_target"), F.count("key")).first()
+    top, pairs = (counts.filter((F.col("kind") == k) & (F.col("often") > 0)).orderBy(F.desc("often"), "key").limit(hot).select("key", "n", "n_target").toArrow() for k in (0, 1))
     drop_staged(counts)
     column = lambda t, c: t.column(c).to_numpy()
-    model = Model(column(top, "key").view(np.uint64), np.stack([column(top, "n"), column(top, "n_target")], axis=1), np.array([totals[0] or 0, totals[1] or 0]), column(frequent, "key").view(np.uint64))
-    if len(model.hot_hashes):
+    model = Model(column(top, "key").view(np.uint64), np.stack([column(top, "n"), column(top, "n_target")], axis=1), np.array([totals[0] or 0, totals[1] or 0]), totals[2] + 1, column(pairs, "key").view(np.uint64))
+    if len(model.pairs):
         shared = rows.sparkSession.sparkContext.broadcast(model)
-        found = rows.mapInArrow(_count_hot(shared), "key bigint, n bigint, n_target bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
+        found = rows.mapInArrow(_count_hot(shared), "key bigint, word bigint, n bigint, n_target bigint").groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).toArrow()
         key = column(found, "key").view(np.uint64)
         order = np.argsort(key)
-        model.hot_keys = key[order]
-        model.hot_gain = model.gain(model.hot_keys, column(found, "n")[order], column(found, "n_target")[order])
+        place, _ = _find(column(found, "word").view(np.uint64)[order], model.words)
+        model.pairs = key[order]
+        model.pair_gain = model.pair_part(model.counts[place], column(found, "n")[order], column(found, "n_target")[order])
     return model
 
 

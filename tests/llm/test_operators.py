@@ -316,3 +316,18 @@ def test_lm_scores(spark, monkeypatch, share):
     assert got.keys() == want.keys()
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
     assert lmscore.cross_entropy_difference(table(spark, []), good).count() == 0
+
+
+def test_lm_scores_of_rare_words(spark):
+    """Words beyond the 65,536 most frequent ones keep counts of their own."""
+    texts = [" ".join(f"w{k}" for k in range(i, i + 700)) for i in range(0, 70_000, 700)] * 2 + ["rare one", "rare two", "rare one"]
+    good = spark.createDataFrame([(200,)], "doc_id bigint")
+    got = {r["doc_id"]: r["score"] for r in lmscore.cross_entropy_difference(table(spark, texts), good).collect()}
+    total, size, mu = [140_006, 2], 70_003 + 1, lmscore.MU
+    one = {"rare": [3, 1], "one": [2, 1], "two": [1, 0]}
+    two = {"one": [2, 1], "two": [1, 0]}
+    p = {w: [(c[k] + 0.5) / (total[k] + 0.5 * size) for k in (0, 1)] for w, c in one.items()}
+    for i, last in ((200, "one"), (201, "two"), (202, "one")):
+        loss = [-np.log(p["rare"][k]) - np.log((two[last][k] + mu * p[last][k]) / (one["rare"][k] + mu)) for k in (0, 1)]
+        assert abs(got[i] - (loss[0] - loss[1]) / 2) < 1e-9
+    assert len(got) == len(texts)
