@@ -331,3 +331,18 @@ def test_lm_scores_of_rare_words(spark):
         loss = [-np.log(p["rare"][k]) - np.log((two[last][k] + mu * p[last][k]) / (one["rare"][k] + mu)) for k in (0, 1)]
         assert abs(got[i] - (loss[0] - loss[1]) / 2) < 1e-9
     assert len(got) == len(texts)
+
+
+@pytest.mark.parametrize("bound", [2, 1 << 16])
+def test_lm_scores_of_words_hot_in_some_blocks(spark, monkeypatch, bound):
+    """Where a bigram is hot in one block of documents only, it still has one count."""
+    # a bound of the vocabulary, if there is one, is as small as can be
+    monkeypatch.setattr(lmscore.train, "__defaults__", (*[1 for _ in lmscore.train.__defaults__[:-1]], bound))
+    texts = [f"{words('de', 3, i)} hot pair next one {i % 7}" for i in range(150)] + [words("en", 9, i) + (" hot pair next" if i % 20 == 0 else " pair hot") for i in range(150)]
+    good = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id bigint")
+    want = brute_scores(texts, set(range(0, 300, 3)))
+    for parts in (2, 20):
+        df = table(spark, texts).repartitionByRange(parts, "doc_id")
+        got = {r["doc_id"]: r["score"] for r in lmscore.cross_entropy_difference(df, good).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i] - want[i][1]) < 1e-9 for i in want)
