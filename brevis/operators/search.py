@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from brevis.functions.quantizers import Product, Quantizer
 from brevis.functions.vectors import cosine, doubles
-from brevis.session import ship_package
+from brevis.session import ship_package, staged
 
-#: Queries of one search; they are sent to every task, so their number is checked.
+#: Queries that are sent to every task at most; beyond, blocks of queries meet blocks of codes.
 MAX_QUERIES = 4096
 
 
@@ -40,6 +40,50 @@ def encode_vectors(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
     return vectors.select("vec_id", doubles("embedding").alias("v")).mapInArrow(run, "vec_id bigint, code binary")
 
 
+def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, stored: np.ndarray, quantizer: Quantizer, size: int) -> pa.RecordBatch:
+    """The ``size`` best codes of every query."""
+    found = []
+    for at in range(0, len(names), 64):
+        scores = quantizer.scores(q[at : at + 64], stored)
+        for name, row in zip(names[at : at + 64], scores, strict=True):
+            best = np.lexsort((ids, -row))[:size]
+            found.append((np.full(len(best), name), ids[best], row[best]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["query_id", "vec_id", "approx"])
+
+
+def _stored(column: pa.Array) -> np.ndarray:
+    return np.stack([np.frombuffer(c, np.uint8) for c in column.to_pylist()])
+
+
+def _packed(rows: DataFrame, ids: str, data: str, name: str) -> DataFrame:
+    """``ids, data`` (staged): one row for every batch of identifiers and codes or query vectors."""
+    of = _stored if rows.schema[data].dataType.typeName() == "binary" else _matrix
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                cells = (b.column(ids).to_numpy().astype(np.int64), of(b.column(data)))
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], [ids, data])
+
+    return staged(rows.select(ids, data).mapInArrow(run, f"{ids} binary, {data} binary"), name)
+
+
+def _grid(codes: DataFrame, queries: DataFrame, quantizer: Quantizer, size: int) -> DataFrame:
+    """The best codes of every pair of a block of codes and a block of queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(len(b)):
+                ids, code, names, q = (b.column(c)[row].as_py() for c in ("vec_id", "code", "query_id", "q"))
+                ids, names = np.frombuffer(ids, np.int64), np.frombuffer(names, np.int64)
+                stored, q = np.frombuffer(code, np.uint8).reshape(len(ids), -1), np.frombuffer(q, np.float64).reshape(len(names), -1)
+                for at in range(0, len(names), 64):
+                    yield _best(names[at : at + 64], q[at : at + 64], ids, stored, quantizer, size)
+
+    pairs = _packed(codes, "vec_id", "code", "search-codes").crossJoin(_packed(queries, "query_id", "q", "search-queries"))
+    return pairs.mapInArrow(run, "query_id bigint, vec_id bigint, approx double")
+
+
 def shortlist(codes: DataFrame, queries: DataFrame, quantizer: Quantizer, size: int) -> DataFrame:
     """``query_id, vec_id, approx, approx_rank``: the best codes of every query.
 
@@ -48,35 +92,27 @@ def shortlist(codes: DataFrame, queries: DataFrame, quantizer: Quantizer, size:
     """
     spark = codes.sparkSession
     ship_package(spark)
-    asked = queries.select("query_id", doubles("query").alias("q")).limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries: search in parts")
-    names, q = asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks())
-    shared = spark.sparkContext.broadcast((names, q, quantizer))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q, quantizer = shared.value
-        for b in batches:
-            if not len(b) or not len(names):
-                continue
-            ids = b.column("vec_id").to_numpy()
-            stored = np.stack([np.frombuffer(c, np.uint8) for c in b.column("code").to_pylist()])
-            found = []
-            for at in range(0, len(names), 64):
-                scores = quantizer.scores(q[at : at + 64], stored)
-                for name, row in zip(names[at : at + 64], scores, strict=True):
-                    best = np.lexsort((ids, -row))[:size]
-                    found.append((np.full(len(best), name), ids[best], row[best]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["query_id", "vec_id", "approx"])
-
+    queries = queries.select("query_id", doubles("query").alias("q"))
+    asked = queries.limit(MAX_QUERIES + 1).toArrow()
+    if asked.num_rows <= MAX_QUERIES:
+        shared = spark.sparkContext.broadcast((asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks()), quantizer))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q, quantizer = shared.value
+            for b in batches:
+                if len(b) and len(names):
+                    yield _best(names, q, b.column("vec_id").to_numpy(), _stored(b.column("code")), quantizer, size)
+
+        local = codes.select("vec_id", "code").mapInArrow(run, "query_id bigint, vec_id bigint, approx double")
+    else:
+        local = _grid(codes, queries, quantizer, size)
     order = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    local = codes.select("vec_id", "code").mapInArrow(run, "query_id bigint, vec_id bigint, approx double")
     return local.withColumn("approx_rank", F.row_number().over(order)).filter(F.col("approx_rank") <= size)
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score``: candidates by exact cosine; ties keep their order."""
-    scored = candidates.join(vectors.select("vec_id", doubles("embedding").alias("_v")), "vec_id").join(F.broadcast(queries.select("query_id", doubles("query").alias("_q"))), "query_id")
+    scored = candidates.join(vectors.select("vec_id", doubles("embedding").alias("_v")), "vec_id").join(queries.select("query_id", doubles("query").alias("_q")), "query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "approx_rank")
     return scored.withColumn("score", cosine(F.col("_q"), F.col("_v"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -108,3 +108,17 @@ def test_equal_scores_keep_shortlist_order(spark):
     queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id bigint, query array<double>")
     candidates = spark.createDataFrame([(0, 2, 0.9, 1), (0, 1, 0.8, 2)], "query_id bigint, vec_id bigint, approx double, approx_rank int")
     assert [r["vec_id"] for r in search.rerank(candidates, queries, vectors).orderBy("rank").collect()] == [2, 1]
+
+
+def test_any_number_of_queries(spark, data, monkeypatch):
+    x, _ = data
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:300])], "vec_id bigint, embedding array<double>").repartition(3)
+    queries = vectors.filter("vec_id % 5 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    rows = lambda df: {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in df.collect()}
+    want = [rows(search.exact_top(vectors, queries, 10)), rows(search.search_with_rerank(vectors, queries, Rotation(3), 10, 64))]
+    monkeypatch.setattr(search, "MAX_QUERIES", 7)
+    got = [rows(search.exact_top(vectors, queries, 10)), rows(search.search_with_rerank(vectors, queries, Rotation(3), 10, 64))]
+    assert len(got[0]) == 600 and got == want
+    best = np.argsort(-(x[:300:5] @ x[:300].T), axis=1, kind="stable")[:, :10]
+    assert all(got[0][5 * i, k + 1][0] == best[i, k] for i in range(60) for k in range(10))
+    assert search.exact_top(vectors.limit(0), queries, 10).count() == 0
