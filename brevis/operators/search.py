@@ -23,8 +23,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def train_product(vectors: DataFrame, quantizer: Product, rows: int = 10_000) -> Product:
-    """Train on the ``rows`` vectors of smallest identifier (a bounded sample)."""
-    sample = vectors.orderBy("vec_id").limit(rows).select(doubles("embedding").alias("v")).toArrow().column("v").combine_chunks()
+    """Train on the ``rows`` vectors of smallest hash of the identifier (a bounded random sample)."""
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select(doubles("embedding").alias("v")).toArrow().column("v").combine_chunks()
     return quantizer.train(_matrix(sample))
 
 

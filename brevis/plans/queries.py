@@ -285,7 +285,7 @@ def tq_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = search.exact_top(_table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10)
     out = None
-    for name, q in (("int8", Int8()), ("binary", Binary()), ("rotation", Rotation(3))):
+    for name, q in (("int8", Int8()), ("binary", Binary()), ("product", Product(16, 64)), ("rotation", Rotation(3))):
         part = search.recall(_short(spark, sf_dir, q), truth).agg(F.avg("recall").alias("recall")).select(F.lit(name).alias("quantizer"), "recall")
         out = part if out is None else out.union(part)
     return out

@@ -122,3 +122,17 @@ def test_any_number_of_queries(spark, data, monkeypatch):
     best = np.argsort(-(x[:300:5] @ x[:300].T), axis=1, kind="stable")[:, :10]
     assert all(got[0][5 * i, k + 1][0] == best[i, k] for i in range(60) for k in range(10))
     assert search.exact_top(vectors.limit(0), queries, 10).count() == 0
+
+
+def test_product_is_trained_on_all_of_the_table(spark):
+    vectors = spark.createDataFrame([(i, [float(i >= 300), 1.0]) for i in range(600)], "vec_id bigint, embedding array<double>")
+    book = search.train_product(vectors, Product(1, 2, 4), 100).books[0]
+    assert sorted(book[:, 0].round()) == [0, 1]
+
+
+def test_recall_of_every_quantizer(spark):
+    from brevis.plans import queries
+
+    found = {r["quantizer"]: r["recall"] for r in queries.recall_at_10(spark, "/root/testdata/sf0.001").collect()}
+    assert found.keys() == {"int8", "binary", "product", "rotation"}
+    assert all(0 < x <= 1 for x in found.values())
