@@ -18,8 +18,8 @@ and summed where the documents are. At most ``HOT`` of each are set apart; the o
 way, with the same result. What is hot is decided once, by the hash that is counted.
 
 Defined results: words are runs of bytes other than ASCII white space, ``A-Z`` lower-cased; a null
-or empty text has no tokens and score 0; rows of one identifier are scored together as one text;
-rows without identifier are left out. Without target documents all scores are those of a target
+or empty text has no tokens and score 0; every row is a text of its own, also where identifiers repeat
+or are null, which are no target then (rows are numbered where the table is read). Without target documents all scores are those of a target
 model of no counts. Other columns are ignored.
 """
 
@@ -72,17 +72,21 @@ def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """``doc_id, text, target`` where ``target`` marks the identifiers in the table ``target``."""
+    """``row, doc_id, text, target`` where ``target`` marks the identifiers in the table ``target``."""
     ids = target.select(F.col("doc_id").cast("bigint").alias("doc_id")).filter("doc_id IS NOT NULL").distinct().withColumn("target", F.lit(True))
-    side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    return own.join(side, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    if ids.count() <= BROADCAST_IDS:
+        joined = own.join(F.broadcast(ids), "doc_id", "left")
+    else:
+        # rows without identifier would all be sent to one task
+        joined = own.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left").unionByName(own.filter("doc_id IS NULL").withColumn("target", F.lit(False)))
+    return joined.select("row", "doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
 
 
-def _lexicons(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lexicon, np.ndarray, np.ndarray]]:
+def _lexicons(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Lexicon, pa.RecordBatch, np.ndarray]]:
     for b in blocks(batches):
         lex = lexicon([t.lower() for t in raw_texts(b.column("text"))])
-        yield lex, b.column("doc_id").to_numpy(), b.column("target").to_numpy(zero_copy_only=False).astype(bool)
+        yield lex, b, b.column("target").to_numpy(zero_copy_only=False).astype(bool)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +192,9 @@ def _postings(shared, parts: int):  # noqa: ANN001, ANN202
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for lex, doc_id, target in _lexicons(batches):
+        for lex, b, target in _lexicons(batches):
+            row, doc_id = b.column("row").to_numpy(), b.column("doc_id").fill_null(0).to_numpy()
+            named = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
             lengths = np.diff(lex.bounds)
             full = np.flatnonzero(lengths)
             word = np.concatenate([_hashes(lex), [_START, _END]]).astype(np.uint64)
@@ -198,10 +204,10 @@ def _postings(shared, parts: int):  # noqa: ANN001, ANN202
             history[common], opening[common] = model.history_part(model.counts[place[common]]), model.first_gain(model.counts[place[common]])
             head, tail = lex.ids[lex.bounds[full]].astype(np.int64), lex.ids[lex.bounds[full + 1] - 1].astype(np.int64)
             doc, first, second = _bigrams(lex, np.arange(len(word)))
-            known = np.bincount(doc, history[first], minlength=len(doc_id)).astype(np.float64)
+            known = np.bincount(doc, history[first], minlength=len(row)).astype(np.float64)
             known[full] += opening[head]
             at, hot = _find(_pair(word[first], word[second]), model.pairs)
-            known += np.bincount(doc[hot], model.pair_gain[at[hot]], minlength=len(doc_id))
+            known += np.bincount(doc[hot], model.pair_gain[at[hot]], minlength=len(row))
             heads, tails = ~common[head], ~common[tail]
             doc = np.concatenate([doc[~hot], full[heads], full[tails]])
             first = np.concatenate([first[~hot], np.full(heads.sum(), len(word) - 2), np.full(tails.sum(), len(word) - 1)])
@@ -210,7 +216,7 @@ def _postings(shared, parts: int):  # noqa: ANN001, ANN202
             times = np.diff(np.append(starts, len(order)))
             doc, first, second = (x[order][starts] for x in (doc, first, second))
             bucket = (mix(np.where(common[second], _pair(word[first], word[second]), word[second])) % np.uint64(parts)).astype(np.int64)
-            home = (mix(doc_id.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            home = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((doc, bucket))
             bucket, doc, first, second, times = (x[order] for x in (bucket, doc, first, second, times))
             # every bucket has its own list of words, and bigrams are places in it
@@ -231,8 +237,8 @@ def _postings(shared, parts: int):  # noqa: ANN001, ANN202
                 counts = np.diff(np.append(new, len(d)))
                 data.append(
                     b"".join((
-                        np.array([len(texts), len(d), len(words), len(own)], "<u4").tobytes(), doc_id[texts].astype("<i8").tobytes(), target[texts].astype("u1").tobytes(), words.astype("<u8").tobytes(),
-                        doc_id[own].astype("<i8").tobytes(), known[own].astype("<f8").tobytes(), lengths[own].astype("<i8").tobytes(),
+                        np.array([len(texts), len(d), len(words), len(own)], "<u4").tobytes(), row[texts].astype("<i8").tobytes(), target[texts].astype("u1").tobytes(), words.astype("<u8").tobytes(),
+                        row[own].astype("<i8").tobytes(), known[own].astype("<f8").tobytes(), lengths[own].astype("<i8").tobytes(), doc_id[own].astype("<i8").tobytes(), named[own].astype("u1").tobytes(),
                         _planes(counts), _planes(first[lo:hi]), _planes(second[lo:hi]), _planes(times[lo:hi]),
                     ))
                 )
@@ -264,14 +270,14 @@ def _sum_gains(shared, parts: int):  # noqa: ANN001, ANN202
             for block in b.column("block").to_pylist():
                 texts, entries, words, own = (int(x) for x in np.frombuffer(block, "<u4", 4))
                 at, cells = 16, []
-                for kind, size in (("<i8", texts), ("u1", texts), ("<u8", words), ("<i8", own), ("<f8", own), ("<i8", own)):
+                for kind, size in (("<i8", texts), ("u1", texts), ("<u8", words), ("<i8", own), ("<f8", own), ("<i8", own), ("<i8", own), ("u1", own)):
                     cells.append(np.frombuffer(block, kind, size, at))
                     at += cells[-1].nbytes
                 for size in (texts, entries, entries, entries):
                     cells.append(_from_planes(block, size, at))
                     at += 4 * size
-                doc_id, target, word, *home, counts, first, second, times = cells
-                columns.append((np.repeat(doc_id, counts), np.repeat(target, counts), word[first], word[second], times))
+                row, target, word, *home, counts, first, second, times = cells
+                columns.append((np.repeat(row, counts), np.repeat(target, counts), word[first], word[second], times))
                 homes.append(home)
         if not columns:
             return
@@ -282,39 +288,50 @@ def _sum_gains(shared, parts: int):  # noqa: ANN001, ANN202
         del first, second, target
         unique, at = np.unique(doc, return_inverse=True)
         sums = np.bincount(at, n * gain[where], minlength=len(unique))
+        doc, gain = np.concatenate([unique, *(h[0] for h in homes)]), np.concatenate([sums, *(h[1] for h in homes)])
         own = [np.concatenate(x) for x in zip(*homes, strict=True)]
-        doc, gain = np.concatenate([unique, own[0]]), np.concatenate([sums, own[1]])
-        tokens = np.concatenate([np.zeros(len(unique), np.int64), own[2]])
-        bucket = (mix(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
-        found = [(k, order[cuts[k] : cuts[k + 1]]) for k in range(parts) if cuts[k] < cuts[k + 1]]
-        data = [b"".join((np.array([len(o)], "<u4").tobytes(), doc[o].astype("<i8").tobytes(), gain[o].astype("<f8").tobytes(), tokens[o].astype("<u4").tobytes())) for _, o in found]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array(data, pa.binary())], ["bucket", "block"])
+        order, cuts = _dealt(doc, parts)
+        own_order, own_cuts = _dealt(own[0], parts)
+        names, data = [], []
+        for k in range(parts):
+            at, mine = order[cuts[k] : cuts[k + 1]], own_order[own_cuts[k] : own_cuts[k + 1]]
+            if len(at):
+                names.append(k)
+                data.append(b"".join((np.array([len(at), len(mine)], "<u4").tobytes(), doc[at].astype("<i8").tobytes(), gain[at].astype("<f8").tobytes(), *(own[i][mine].tobytes() for i in (0, 2, 3, 4)))))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(data, pa.binary())], ["bucket", "block"])
 
     return run
 
 
+def _dealt(row: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by their bucket, and where buckets begin."""
+    bucket = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(parts + 1))
+
+
 def _sum_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    docs, gains, tokens = [], [], []
+    rows, gains, homes = [], [], []
     for b in batches:
         for block in b.column("block").to_pylist():
-            n = int(np.frombuffer(block, "<u4", 1)[0])
-            docs.append(np.frombuffer(block, "<i8", n, 4))
-            gains.append(np.frombuffer(block, "<f8", n, 4 + 8 * n))
-            tokens.append(np.frombuffer(block, "<u4", n, 4 + 16 * n))
-    if not docs:
+            n, own = (int(x) for x in np.frombuffer(block, "<u4", 2))
+            rows.append(np.frombuffer(block, "<i8", n, 8))
+            gains.append(np.frombuffer(block, "<f8", n, 8 + 8 * n))
+            at = 8 + 16 * n
+            homes.append([np.frombuffer(block, kind, own, at + 8 * own * i) for i, kind in enumerate(("<i8", "<i8", "<i8", "u1"))])
+    if not rows:
         return
-    unique, at = np.unique(np.concatenate(docs), return_inverse=True)
-    gain = np.bincount(at, np.concatenate(gains), minlength=len(unique))
-    n_tokens = np.bincount(at, np.concatenate(tokens), minlength=len(unique)).astype(np.int64)
-    for lo in range(0, len(unique), 1 << 16):
+    row, tokens, doc_id, named = (np.concatenate(x) for x in zip(*homes, strict=True))
+    order = np.argsort(row)
+    row, tokens, doc_id, named = row[order], tokens[order], doc_id[order], named[order] == 1
+    score = np.bincount(np.searchsorted(row, np.concatenate(rows)), np.concatenate(gains), minlength=len(row)) / np.maximum(tokens, 1)
+    for lo in range(0, len(row), 1 << 16):
         part = slice(lo, lo + (1 << 16))
-        yield pa.RecordBatch.from_arrays([pa.array(unique[part]), pa.array(n_tokens[part]), pa.array(gain[part] / np.maximum(n_tokens[part], 1))], ["doc_id", "n_tokens", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[part], mask=~named[part]), pa.array(tokens[part]), pa.array(score[part])], ["doc_id", "n_tokens", "score"])
 
 
 def train(rows: DataFrame, hot: int = HOT) -> Model:
-    """Totals, hot words and hot bigrams of ``doc_id, text, target`` rows; ``hot`` bounds what is set
+    """Totals, hot words and hot bigrams of the rows of :func:`marked`; ``hot`` bounds what is set
     apart, not what is counted."""
     counts = rows.mapInArrow(_count_words, "kind int, key bigint, n bigint, n_target bigint, often bigint").groupBy("kind", "key").agg(*(F.sum(c).alias(c) for c in ("n", "n_target", "often")))
     counts = staged(counts, "lm-words")
@@ -335,7 +352,7 @@ def train(rows: DataFrame, hot: int = HOT) -> Model:
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, parts: int | None = None) -> DataFrame:
-    """``doc_id, n_tokens, score`` of every document; ``target`` holds the target's identifiers."""
+    """``doc_id, n_tokens, score`` of every row; ``target`` holds the target's identifiers."""
     spark = docs.sparkSession
     ship_package(spark)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -346,3 +346,13 @@ def test_lm_scores_of_words_hot_in_some_blocks(spark, monkeypatch, bound):
         got = {r["doc_id"]: r["score"] for r in lmscore.cross_entropy_difference(df, good).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[i] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_lm_scores_of_every_row(spark):
+    texts = ["a b c a b", "b c", "a b c a b", None, "d d a"]
+    df = spark.createDataFrame(list(zip([7, 7, None, None, 9], texts, strict=True)), "doc_id bigint, text string").repartition(3)
+    good = spark.createDataFrame([(7,), (None,)], "doc_id bigint")
+    got = lmscore.cross_entropy_difference(df, good).collect()
+    want = brute_scores(texts, {0, 1})
+    rows = lambda x: sorted((i or 0, n, round(s, 9)) for i, n, s in x)
+    assert rows((r["doc_id"], r["n_tokens"], r["score"]) for r in got) == rows((d, *want[i]) for i, d in enumerate([7, 7, None, None, 9]))
