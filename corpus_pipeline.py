@@ -30,12 +30,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one of smallest identifier."""
-    found = staged(ngram_join.similarity_components(docs), "pipeline-components")
-    others = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    if others.count() <= BROADCAST_IDS:
-        others = F.broadcast(others)
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of similar documents the one of smallest identifier, null ones last. Rows are
+    told apart by identifier and text; of rows that share both, one is kept."""
+    kind = docs.schema["doc_id"].dataType
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("hash"))
+    found = staged(ngram_join.similarity_components(docs.select(key.alias("doc_id"), "text")), "pipeline-components")
+    others = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_key")).distinct()
+    repeated = staged(found.filter("n_shingles > 0 AND component_id = doc_id").groupBy(F.col("doc_id").alias("_key")).count().filter("count > 1").select("_key"), "pipeline-repeated")
+    n_repeated = repeated.count()
+    side = lambda keys, n: F.broadcast(keys) if n <= BROADCAST_IDS else keys
+    kept = docs.withColumn("_key", key).join(side(others, others.count()), "_key", "left_anti")
+    if n_repeated:
+        repeated = side(repeated, n_repeated)
+        kept = kept.join(repeated, "_key", "left_anti").unionByName(kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]))
+    return kept.select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from brevis.llm import ngram_join, pii, toxicity
 from brevis.llm.queries import oracle_sql, queries, remainder
@@ -25,3 +27,15 @@ def test_one_query_for_each_operator():
     names = list(queries())
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(oracle_sql()) <= set(names)
+
+
+def test_near_copies_of_repeated_and_null_identifiers(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d + " end"), (None, a), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("en"))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    ends = [x for x in got if x[1] and x[1].startswith("d0")]
+    assert len(ends) == 1 and ends[0][0] is None
+    assert sorted((x for x in got if x not in ends), key=str) == sorted([(1, a), (2, b), (3, c), (4, ""), (4, ""), (None, None)], key=str)
