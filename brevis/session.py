@@ -50,15 +50,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` is read straight from files, row by row: a task that runs again then meets
+    the same rows in the same order."""
+    plan = df._jdf.queryExecution().optimizedPlan()  # noqa: SLF001
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a table's bytes: of its files, where it is read from some."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
+
+
+def staged(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it back. Rows are
+    parted into folders by the column ``folders``, so that a filter on it reads its own alone.
 
     This cuts the lineage: a lost executor re-reads the table instead of recomputing the plan
     above it. Unlike ``checkpoint`` the plan runs once and the rows are stored compressed.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=folders)
     out = spark.read.schema(df.schema).parquet(path)
     out._brevis_path = path  # noqa: SLF001
     return out
