@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts are put together up to so many bytes; a longer text is a block of its own.
+#: Texts are put together up to so many bytes and rows; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+BLOCK_ROWS = 1 << 14
 
 
 @dataclass
@@ -36,7 +38,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
         lengths = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         start, size = 0, 0
         for i, n in enumerate(lengths):
-            if size and size + n > BLOCK_BYTES:
+            if i - start == BLOCK_ROWS or (size and size + n > BLOCK_BYTES):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += int(n)
@@ -82,6 +84,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[*range(9, 14), 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_OF_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: An odd base of polynomials modulo 2**64 and its inverse.
+_BASE = 0x9E3779B97F4A7C13
+_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes that are hashed at once; the arrays on the way take some 40 bytes for each.
+_CHUNK = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    one = np.ones(n, np.uint64)
+    up, down = one.copy(), one.copy()
+    up[1:], down[1:] = np.uint64(_BASE), np.uint64(_INVERSE)
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of each text, ``A-Z`` lower-cased, and their bounds.
+
+    A word's hash is a polynomial in its bytes, the difference of two prefix sums, so that all
+    words of a chunk are hashed by a few array operations.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    hashes, starts = [], []
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + _CHUNK, len(data))
+        while not _IS_SPACE[data[hi - 1]]:
+            # a chunk ends with white space; the last byte of all is one
+            tail = data[hi : hi + _CHUNK]
+            blank = np.flatnonzero(_IS_SPACE[tail])
+            hi += int(blank[0]) + 1 if len(blank) else len(tail)
+        part = _LOWER[data[lo:hi]]
+        space = np.concatenate([[True], _IS_SPACE[part]])
+        first = np.flatnonzero(space[:-1] & ~space[1:])
+        after = np.flatnonzero(~space[:-1] & space[1:])
+        up, down = _powers(max(2 * _CHUNK, 1 << (len(part) - 1).bit_length()))
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_OF_BYTE[part] * up[: len(part)], out=sums[1:])
+        hashes.append(mix((sums[after] - sums[first]) * down[first]))
+        starts.append(first + lo)
+        lo = hi
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.searchsorted(np.concatenate(starts or [np.zeros(0, np.int64)]), begin)
+
+
 def word_grams(words: list[bytes], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte n-grams of each word between blanks, as (word index, bucket), by word index."""
     buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)

@@ -1,22 +1,32 @@
 """N-gram Jaccard self-join of documents: rare-first prefix filtering.
 
-A document's set holds the hashes of its distinct word shingles. Documents of equal sets are one
-*text*, known by a 64-bit hash of the set; everything below is done once per text.
-
-1. Postings (shingle, text) are dealt by shingle, packed into binary blocks. The receiving task
-   counts each shingle's texts and sends back those shared by two or more, with a rank key whose
-   order is rare first (a rounded logarithm of the count, then the hash).
-2. Dealt by text, a text's shared shingles meet. Shingles of its own come first in rare-first
-   order; if they fill the prefix (``n - ceil(t n) + 1`` shingles), no other text can be similar
-   and the text is done. The others are stored as records.
+A document's set holds the 64-bit hashes of its distinct word shingles. Documents of equal sets are
+one *text*, known by a 64-bit hash of the set.
+
+1. Texts are read once. A task gathers some 4 million shingles, a *package*, and deals them by
+   shingle: sorted, as differences, each with the text's place in the package. The package's list of
+   texts goes to one place, its home. Where shingles meet their texts are counted, and those shared by
+   two or more go to the packages' homes with a rank key whose order is rare first (a rounded
+   logarithm of the count, then the hash).
+2. At home a text's shared shingles meet. Shingles of its own come first in rare-first order; if
+   they fill the prefix (``n - ceil(t n) + 1`` shingles), no other text can be similar and the text
+   is done. The others are stored as records, one for each text.
 3. Texts that share a prefix shingle are candidates. Length and positional filters apply at once,
    the suffix filter before the exact overlap is counted. No pair is verified twice, and pairs of
    texts known to be connected are not verified at all: each list of texts is first compared with
    its most central member, components are updated, and only pairs across components remain. The
    last round takes every remaining pair, so no link between components is lost.
 
-Shingle hashes have 48 bits and text hashes 64: within a pair of 1000-shingle texts a false common
-shingle has a chance of 4e-9, and 3e9 texts hold one equal pair of hashes with a chance of 0.25.
+The list of a shingle that very many texts share is dealt in *cells* of about ``CELL`` texts: in the
+first rounds each cell has a central member of its own, in the last one each pair of cells meets.
+A pair is dealt by its less central text, so that the pairs of a central one spread over all tasks.
+
+Set sizes count 64-bit hashes. Overlaps are counted on 56 of the bits: within a pair of 1000-shingle
+texts a false common shingle has a chance of 1e-11. 3e9 texts hold one equal pair of set hashes with
+a chance of 0.25.
+
+A package's places depend on the order of rows, which a lost task must meet again: documents that do
+not come straight from a stored table are stored first.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a
 text of fewer words than a shingle has its whole sequence as one; repeated rows are linked as
@@ -25,57 +35,66 @@ copies. Columns other than identifier and text are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevis.llm.lexicon import blocks, lexicon, mix, raw_texts
-from brevis.session import drop_staged, ship_package, staged
+from brevis.llm.lexicon import blocks, mix, raw_texts, word_hashes
+from brevis.session import drop_staged, is_scan, plan_bytes, ship_package, staged
 
 SIZE = 5
 #: The Jaccard similarity as a fraction.
 NUM, DEN = 75, 100
 STAR_ROUNDS = 2
-#: Postings that a task holds before it sends them on.
-FLUSH = 4 << 20
-HASH_BITS = np.uint64(48)
-_MASK = np.uint64((1 << 48) - 1)
+#: Shingles of a package, and texts, whose places take two bytes.
+PACKAGE, PACKAGE_TEXTS = 4 << 20, 1 << 16
+#: Shingles that a task decodes at once where they meet.
+RANGE = 8 << 20
+#: Texts of a cell.
+CELL = 4096
+#: Bytes of stored documents to a partition, where there are not more partitions anyhow.
+PART_BYTES = 256 << 20
+KEY_BITS = np.uint64(56)
+_MASK = np.uint64((1 << 56) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_HEAD = struct.Struct("<QQII")
+#: Kinds of rows that are dealt: documents, shingles, lists of texts, shared shingles.
+DOCUMENT, SHINGLES, TEXTS, SHARED = range(4)
 
 
 def shingle_sets(texts: list[bytes], size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, with their bounds."""
-    lex = lexicon([t.lower() for t in texts])
-    n_docs = len(texts)
-    if not len(lex.ids):
-        return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    word = np.fromiter((xxhash.xxh64_intdigest(w) for w in lex.words), np.uint64, len(lex.words))[lex.ids]
-    doc = lex.doc_of
-    lengths = np.diff(lex.bounds)
-    out = []
+    """Sorted distinct 64-bit shingle hashes of each text, with their bounds."""
+    word, starts = word_hashes(texts)
+    lengths = np.diff(starts)
+    counts = np.where(lengths >= size, lengths - size + 1, (lengths > 0).astype(np.int64))
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    out = np.empty(bounds[-1], np.uint64)
+    long = np.repeat(lengths >= size, counts)
     m = len(word) - size + 1
-    if m > 0:
+    if m > 0 and long.any():
         h = np.zeros(m, np.uint64)
         for k in range(size):
             h = h * _ODD + word[k : k + m]
-        whole = doc[:m] == doc[size - 1 :]
-        out.append((doc[:m][whole], h[whole] * _ODD + np.uint64(size)))
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        out[long] = mix(h[doc[:m] == doc[size - 1 :]] * _ODD + np.uint64(size))
     for n in range(1, size):
         short = np.flatnonzero(lengths == n)
-        if len(short):
-            h = np.zeros(len(short), np.uint64)
-            for k in range(n):
-                h = h * _ODD + word[lex.bounds[short] + k]
-            out.append((short, h * _ODD + np.uint64(n)))
-    doc, h = (np.concatenate(x) for x in zip(*out, strict=True))
-    # blocks have fewer than 2**16 texts, so text and hash fit one sortable number
-    keys = np.unique((doc.astype(np.uint64) << HASH_BITS) | (mix(h) & _MASK))
-    bounds = np.searchsorted(keys, np.arange(n_docs + 1).astype(np.uint64) << HASH_BITS)
-    return keys & _MASK, bounds
+        h = np.zeros(len(short), np.uint64)
+        for k in range(n):
+            h = h * _ODD + word[starts[short] + k]
+        out[bounds[short]] = mix(h * _ODD + np.uint64(n))
+    for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if hi - lo > 1:
+            out[lo:hi].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[bounds[:-1][counts > 0]] = True
+    return out[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
 def set_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -85,175 +104,245 @@ def set_hashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total + np.diff(bounds).astype(np.uint64)).view(np.int64)
 
 
-def text_table(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """``doc_id, n_shingles, sig`` of every row; ``sig`` is null for an empty set."""
-    ship_package(docs.sparkSession)
+# ---- what is dealt: rows (bucket, kind, block, doc_id, n, sig) ----
 
+
+def _schema(id_type: str) -> str:
+    return f"bucket int, kind tinyint, block binary, doc_id {id_type}, n bigint, sig bigint"
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of numbers, byte by byte."""
+    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _from_planes(block: bytes, n: int, width: int, at: int) -> np.ndarray:
+    out = np.zeros((n, 8), "u1")
+    out[:, :width] = np.frombuffer(block, "u1", n * width, at).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _pack(package: int, base: int, keys: np.ndarray, place: np.ndarray) -> bytes:
+    """Sorted keys, ``base`` at least, as differences, with places in the package."""
+    steps = np.diff(keys, prepend=np.uint64(base))
+    width = max(1, -(-int(steps.max()).bit_length() // 8))
+    return _HEAD.pack(package, base, len(keys), width) + _planes(steps, width) + place.astype("<u2").tobytes()
+
+
+def _unpack(block: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    package, base, n, width = _HEAD.unpack_from(block)
+    keys = np.cumsum(_from_planes(block, n, width, _HEAD.size), dtype=np.uint64) + np.uint64(base)
+    return package, keys, np.frombuffer(block, "<u2", n, _HEAD.size + n * width)
+
+
+def _dealt(rows: Iterator[tuple[int, int, bytes]], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+    """(bucket, kind, block) as record batches of about 8 MB."""
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        n = len(held)
+        bucket, kind, block = zip(*held, strict=True)
+        columns = [pa.array(bucket, pa.int32()), pa.array(kind, pa.int8()), pa.array(block, pa.binary()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["bucket", "kind", "block", "doc_id", "n", "sig"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > 8 << 20:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _cuts(parts: int) -> np.ndarray:
+    """The least key of every bucket, and the bound of the last one."""
+    return np.array([-(-(b << 56) // parts) for b in range(parts + 1)], np.uint64)
+
+
+def _home(package: int, parts: int) -> int:
+    return int(mix(np.array([package], np.uint64))[0] % np.uint64(parts))
+
+
+def _postings(parts: int, size: int, package_size: int, package_texts: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            hashes, bounds = shingle_sets(raw_texts(b.column("text")), size)
-            n = np.diff(bounds)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(set_hashes(hashes, bounds), mask=n == 0)], ["doc_id", "n_shingles", "sig"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, sig bigint")
-
-
-# ---- packed blocks: texts (sig, n, count) and their shingles, dealt to buckets ----
-
-
-def _pack(bucket: np.ndarray, text: np.ndarray, sig: np.ndarray, n: np.ndarray, keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(bucket, block) of entries; ``text`` indexes ``sig`` and ``n`` and is sorted in a bucket."""
-    order = np.argsort(bucket, kind="stable")
-    bucket, text, keys = bucket[order], text[order], keys[order]
-    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    for lo, hi in zip(starts, [*starts[1:], len(bucket)], strict=True):
-        t, k = text[lo:hi], keys[lo:hi]
-        first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        counts = np.diff(np.append(first, len(t)))
-        head = np.array([len(first), len(t)], "<u4")
-        parts = (head, sig[t[first]], n[t[first]].astype("<u4"), counts.astype("<u4"), (k & np.uint64(0xFFFFFFFF)).astype("<u4"), ((k >> np.uint64(32)) & np.uint64(0xFFFF)).astype("<u2"), (k >> HASH_BITS).astype("u1"))
-        yield int(bucket[lo]), b"".join(p.tobytes() for p in parts)
-
-
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sig, n, key) of every entry of the blocks."""
-    sigs, ns, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint64)]
-    for blob in blobs:
-        texts, entries = np.frombuffer(blob, "<u4", 2)
-        at = 8
-        parts = []
-        for kind, length in (("<i8", texts), ("<u4", texts), ("<u4", texts), ("<u4", entries), ("<u2", entries), ("u1", entries)):
-            parts.append(np.frombuffer(blob, kind, length, at))
-            at += parts[-1].nbytes
-        sig, n, counts, low, high, top = parts
-        sigs.append(np.repeat(sig, counts))
-        ns.append(np.repeat(n, counts))
-        keys.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)) | (top.astype(np.uint64) << HASH_BITS))
-    return np.concatenate(sigs), np.concatenate(ns), np.concatenate(keys)
-
-
-def _blob_rows(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    """Record batches of about 16 MB."""
-    buckets, blobs, size = [], [], 0
-    for bucket, blob in rows:
-        buckets.append(bucket)
-        blobs.append(blob)
-        size += len(blob)
-        if size > 16 << 20:
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "block"])
-            buckets, blobs, size = [], [], 0
-    if buckets:
-        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "block"])
-
-
-def _deal(df: DataFrame, parts: int, column: str = "bucket") -> DataFrame:
-    return df.repartitionById(parts, F.col(column))
-
-
-def _postings(parts: int, size: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list) -> Iterator[tuple[int, bytes]]:
-            sig, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            keys = np.concatenate([x[2] for x in held])
-            text = np.repeat(np.arange(len(sig)), n)
+        task, made, cuts = TaskContext.get().partitionId(), 0, _cuts(parts)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def package() -> Iterator[tuple[int, int, bytes]]:
+            nonlocal made
+            number = task << 32 | made
+            made += 1
+            sig, n, hashes = (np.concatenate([x[k] for x in held]) for k in range(3))
+            held.clear()
             # of equal texts met here one is sent
-            _, first = np.unique(sig, return_index=True)
             once = np.zeros(len(sig), bool)
-            once[first] = True
-            keep = once[text]
-            text, keys = text[keep], keys[keep]
-            if len(keys):
-                bucket = ((keys >> np.uint64(24)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16 if parts < 65536 else np.int64)
-                yield from _pack(bucket, text, sig, n, keys)
-
-        def rows() -> Iterator[tuple[int, bytes]]:
-            held, size_held = [], 0
-            for b in blocks(batches):
-                hashes, bounds = shingle_sets(raw_texts(b.column("text")), size)
-                held.append((set_hashes(hashes, bounds), np.diff(bounds), hashes))
-                size_held += len(hashes)
-                if size_held > FLUSH:
-                    yield from flush(held)
-                    held, size_held = [], 0
-            if size_held:
-                yield from flush(held)
-
-        yield from _blob_rows(rows())
+            once[np.unique(sig, return_index=True)[1]] = True
+            once &= n > 0
+            keys = hashes[np.repeat(once, n)] >> np.uint64(8)
+            sig, n = sig[once], n[once]
+            yield _home(number, parts), TEXTS, struct.pack("<QI", number, len(sig)) + sig.astype("<i8").tobytes() + n.astype("<u4").tobytes()
+            order = np.argsort(keys)
+            place = np.repeat(np.arange(len(sig), dtype=np.uint16), n)[order]
+            keys = keys[order]
+            at = np.searchsorted(keys, cuts[:-1]).tolist() + [len(keys)]
+            for b in range(parts):
+                if at[b] < at[b + 1]:
+                    yield b, SHINGLES, _pack(number, int(cuts[b]), keys[at[b] : at[b + 1]], place[at[b] : at[b + 1]])
+
+        n_held, n_texts, rows, id_type = 0, 0, task, None
+        for b in blocks(batches):
+            ids, id_type = b.column("doc_id"), b.column("doc_id").type
+            hashes, bounds = shingle_sets(raw_texts(b.column("text")), size)
+            sig, n = set_hashes(hashes, bounds), np.diff(bounds)
+            if n_texts and (n_held + len(hashes) > package_size or n_texts + len(n) > package_texts):
+                yield from _dealt(package(), id_type)
+                n_held = n_texts = 0
+            bucket = (np.arange(rows, rows + len(n)) % parts).astype(np.int32)
+            rows += len(n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(bucket), pa.array(np.zeros(len(n), np.int8)), pa.nulls(len(n), pa.binary()), ids, pa.array(n), pa.array(sig, mask=n == 0)],
+                ["bucket", "kind", "block", "doc_id", "n", "sig"],
+            )
+            held.append((sig, n, hashes))
+            n_held, n_texts = n_held + len(hashes), n_texts + len(n)
+        if n_texts:
+            yield from _dealt(package(), id_type)
 
     return run
 
 
-def _count_shared(parts: int):  # noqa: ANN202
-    """Blocks by shingle to blocks by text: shingles of two texts or more, with rank keys."""
+def _meet(parts: int, at_once: int):  # noqa: ANN202
+    """Shingles by bucket to shared shingles by home; other rows pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column("block").to_pylist()]
-        sig, n, key = _unpack(blobs)
-        del blobs
-        if not len(key):
-            return
-        order = np.lexsort((sig, key))
-        sig, n, key = sig[order], n[order], key[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])])
-        sig, n, key = sig[new], n[new], key[new]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(starts, len(key)))
-        shared = np.repeat(count >= 2, count)
-        rank = np.minimum(255, np.floor(8 * np.log2(np.repeat(count, count)[shared]))).astype(np.uint64)
-        sig, n, key = sig[shared], n[shared], (rank << HASH_BITS) | key[shared]
-        if not len(key):
-            return
-        order = np.lexsort((key, sig))
-        sig, n, key = sig[order], n[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        text = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sig))))
-        bucket = (mix(sig.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        yield from _blob_rows(_pack(bucket, text, sig[first], n[first], key))
+        found: list[bytes] = []
+        bucket, id_type = -1, pa.int64()
+        for b in batches:
+            id_type = b.column("doc_id").type
+            own = np.flatnonzero(b.column("kind").to_numpy() == SHINGLES)
+            if len(own):
+                bucket = b.column("bucket")[int(own[0])].as_py()
+                found += b.column("block").take(pa.array(own)).to_pylist()
+            if len(own) < len(b):
+                yield b.filter(pa.array(b.column("kind").to_numpy() != SHINGLES))
+        if found:
+            yield from _dealt(_shared(found, bucket, parts, at_once), id_type)
 
     return run
 
 
+def _shared(found: list[bytes], bucket: int, parts: int, at_once: int) -> Iterator[tuple[int, int, bytes]]:
+    cuts = _cuts(parts)
+    low, high = int(cuts[bucket]), int(cuts[bucket + 1])
+    n_ranges = -(-sum(_HEAD.unpack_from(x)[2] for x in found) // at_once)
+    for r in range(n_ranges):
+        lo, hi = (np.uint64(low + (high - low) * k // n_ranges) for k in (r, r + 1))
+        packages, keys, places = [], [], []
+        for x in found:
+            package, key, place = _unpack(x)
+            first, last = np.searchsorted(key, [lo, hi]) if n_ranges > 1 else (0, len(key))
+            packages.append(package)
+            keys.append(key[first:last])
+            places.append(place[first:last])
+        source = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        key, place = np.concatenate(keys), np.concatenate(places)
+        del keys, places
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(new, len(key)))
+        count = np.repeat(count, count)
+        kept = np.flatnonzero(count >= 2)
+        rank = np.minimum(255, np.floor(8 * np.log2(count[kept]))).astype(np.uint64)
+        key, order = (rank << KEY_BITS) | key[kept], order[kept]
+        where = source[order] << 16 | place[order]
+        order = np.argsort(where, kind="stable")
+        key, where = key[order], where[order]
+        at = np.searchsorted(where, np.arange(len(packages) + 1) << 16)
+        for k, package in enumerate(packages):
+            if at[k] < at[k + 1]:
+                own = slice(at[k], at[k + 1])
+                yield _home(package, parts), SHARED, struct.pack("<QI", package, at[k + 1] - at[k]) + (where[own] & 0xFFFF).astype("<u2").tobytes() + key[own].astype("<u8").tobytes()
+
+
 def _prefix(n, num: int, den: int):  # noqa: ANN001, ANN202
     return n - (num * n + den - 1) // den + 1
 
 
-def _gather_texts(num: int, den: int):  # noqa: ANN202
-    """Blocks by text to records of the texts whose prefix reaches a shared shingle."""
+def _gather(num: int, den: int):  # noqa: ANN202
+    """At home: records of the texts whose prefix reaches a shared shingle; documents pass."""
+    names = ["is_text", "doc_id", "n", "sig", "shared"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, n, key = _unpack([x for b in batches for x in b.column("block").to_pylist()])
-        if not len(key):
-            return
-        order = np.lexsort((key, sig))
-        sig, n, key = sig[order], n[order].astype(np.int64), key[order]
-        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.append(first, len(sig)))
-        live = np.flatnonzero(n[first] - count < _prefix(n[first], num, den))
-        for at in range(0, len(live), 4096):
-            own = live[at : at + 4096]
-            records = [key[first[i] : first[i] + count[i]].astype("<u8").tobytes() for i in own]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[first[own]]), pa.array(n[first[own]].astype(np.int64)), pa.array(records, pa.binary())], ["sig", "n", "shared"])
+        texts: dict[int, bytes] = {}
+        shared: dict[int, list[bytes]] = {}
+        id_type = pa.int64()
+        for b in batches:
+            id_type = b.column("doc_id").type
+            kind = b.column("kind").to_numpy()
+            rows = b.filter(pa.array(kind == DOCUMENT))
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), bool)), rows.column("doc_id"), rows.column("n"), rows.column("sig"), pa.nulls(len(rows), pa.binary())], names)
+            for k, block in zip(kind.tolist(), b.column("block").to_pylist(), strict=True):
+                if k == TEXTS:
+                    texts[struct.unpack_from("<Q", block)[0]] = block
+                elif k == SHARED:
+                    shared.setdefault(struct.unpack_from("<Q", block)[0], []).append(block)
+        for package in sorted(shared):
+            sig, n = _texts_of(texts.pop(package))
+            place, key = (np.concatenate(x) for x in zip(*map(_shared_of, shared.pop(package)), strict=True))
+            order = np.lexsort((key, place))
+            place, key = place[order], key[order]
+            once = np.ones(len(key), bool)
+            once[1:] = (place[1:] != place[:-1]) | (key[1:] != key[:-1])
+            place, key = place[once], key[once]
+            first = np.searchsorted(place, np.arange(len(sig) + 1))
+            count = np.diff(first)
+            live = np.flatnonzero((count > 0) & (n - count < _prefix(n, num, den)))
+            for at in range(0, len(live), 1024):
+                own = live[at : at + 1024]
+                records = [key[first[i] : first[i + 1]].astype("<u8").tobytes() for i in own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(own), bool)), pa.nulls(len(own), id_type), pa.array(n[own]), pa.array(sig[own]), pa.array(records, pa.binary())], names)
 
     return run
 
 
-def shared_records(docs: DataFrame, parts: int, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """``sig, n, shared``: texts that may have a similar one; ``shared`` holds the rank keys of
-    their shared shingles in rare-first order (little-endian, 8 bytes each)."""
-    block = "bucket int, block binary"
-    by_shingle = _deal(docs.select("doc_id", "text").mapInArrow(_postings(parts, size), block), parts)
-    by_text = _deal(by_shingle.mapInArrow(_count_shared(parts), block), parts)
-    return staged(by_text.mapInArrow(_gather_texts(num, den), "sig bigint, n bigint, shared binary"), "join-records")
+def _texts_of(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = struct.unpack_from("<QI", block)[1]
+    return np.frombuffer(block, "<i8", n, 12), np.frombuffer(block, "<u4", n, 12 + 8 * n).astype(np.int64)
+
 
+def _shared_of(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = struct.unpack_from("<QI", block)[1]
+    return np.frombuffer(block, "<u2", n, 12), np.frombuffer(block, "<u8", n, 12 + 2 * n)
+
+
+def text_records(docs: DataFrame, parts: int, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """A stored table of two kinds of rows. Without ``is_text``: ``doc_id, n, sig`` of every row of
+    ``docs``, ``sig`` null for an empty set. With it: ``n, sig, shared`` of texts that may have a
+    similar one, once or more each; ``shared`` holds the rank keys of their shared shingles in
+    rare-first order (little-endian, 8 bytes each)."""
+    ship_package(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    by_shingle = docs.mapInArrow(_postings(parts, size, PACKAGE, PACKAGE_TEXTS), _schema(id_type)).repartitionById(parts, F.col("bucket"))
+    by_home = by_shingle.mapInArrow(_meet(parts, RANGE), _schema(id_type)).repartitionById(parts, F.col("bucket"))
+    return staged(by_home.mapInArrow(_gather(num, den), f"is_text boolean, doc_id {id_type}, n bigint, sig bigint, shared binary"), "join-texts", "is_text")
+
+
+# ---- candidates ----
+
+
+def _prefix_entries(num: int, den: int, cell: int):  # noqa: ANN202
+    """``key, cells, sig, n, place, own, label`` of the shared shingles in each text's prefix;
+    ``cells`` is the number of cells of the shingle's list, from the count in its rank."""
 
-def _prefix_entries(num: int, den: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, len(b), 1024):
                 part = b.slice(at, 1024)
-                sig, n = part.column("sig").to_numpy(), part.column("n").to_numpy()
-                label = part.column("label").to_numpy()
+                sig, n, label = (part.column(c).to_numpy() for c in ("sig", "n", "label"))
                 keys = [np.frombuffer(x, "<u8") for x in part.column("shared").to_pylist()]
                 own = n - np.array([len(k) for k in keys])
                 reach = _prefix(n, num, den) - own
@@ -261,67 +350,112 @@ def _prefix_entries(num: int, den: int):  # noqa: ANN202
                 sizes = np.array([len(k) for k in keys])
                 row = np.repeat(np.arange(len(keys)), sizes)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + own[row]
+                key = np.concatenate(keys)
+                cells = np.ceil(2.0 ** (((key >> KEY_BITS).astype(np.float64) + 1) / 8) / cell).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(sig[row]), pa.array(n[row]), pa.array(place), pa.array(own[row]), pa.array(label[row])],
-                    ["key", "sig", "n", "place", "own", "label"],
+                    [pa.array(key.view(np.int64)), pa.array(cells), pa.array(sig[row]), pa.array(n[row]), pa.array(place), pa.array(own[row]), pa.array(label[row])],
+                    ["key", "cells", "sig", "n", "place", "own", "label"],
                 )
 
     return run
 
 
+_ENTRY = "key bigint, cells int, sig bigint, n bigint, place bigint, own bigint, label bigint"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Rows sorted by (key, cell), cut between its values: each list whole, several at once."""
+    held: dict[str, np.ndarray] | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        new = {c: b.column(c).to_numpy() for c in b.schema.names}
+        held = {c: np.concatenate([held[c], x]) for c, x in new.items()} if held else new
+        if len(held["key"]) < 1 << 16 and len(b) < 1 << 16:
+            continue
+        key, cell = held["key"], held["cell"]
+        last = np.flatnonzero((key != key[-1]) | (cell != cell[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield {c: x[:cut] for c, x in held.items()}
+            held = {c: x[cut:] for c, x in held.items()}
+    if held:
+        yield held
+
+
 def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
-    """Pairs of texts of different components that share a prefix shingle.
+    """Pairs (a, b) of texts of different components that share a prefix shingle, the more central
+    one (with the smaller share of shingles of its own) first.
 
     Texts are compared with the most central one of a list, or, if ``every``, all with all.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if len(b)]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        c = {k: table.column(k).to_numpy() for k in table.column_names}
-        del table, held
-        order = np.lexsort((c["sig"], c["own"] / c["n"], c["key"]))
+    def pairs_of(c: dict[str, np.ndarray]) -> np.ndarray:
+        order = np.lexsort((c["sig"], c["n"] if every else c["own"] / c["n"], c["cell"], c["key"]))
         c = {k: v[order] for k, v in c.items()}
-        starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
+        alone = c["own"] / c["n"]
+        starts = np.flatnonzero(np.concatenate([[True], (c["key"][1:] != c["key"][:-1]) | (c["cell"][1:] != c["cell"][:-1])]))
         ends = np.append(starts[1:], len(order))
         mixed = (np.minimum.reduceat(c["label"], starts) != np.maximum.reduceat(c["label"], starts)) & (ends - starts > 1)
         starts, ends = starts[mixed], ends[mixed]
-        found = [np.zeros((0, 2), np.int64)]
-        size = 0
 
         def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             n, m = c["n"][i], c["n"][j]
             least = -(-num * (n + m) // (num + den))
-            most = 1 + np.minimum(n - c["place"][i], m - c["place"][j]) - 1
-            ok = (c["label"][i] != c["label"][j]) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (most >= least)
-            a, b = c["sig"][i[ok]], c["sig"][j[ok]]
-            return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+            most = np.minimum(n - c["place"][i], m - c["place"][j])
+            ok = (c["label"][i] != c["label"][j]) & (c["sig"][i] != c["sig"][j]) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (most >= least)
+            i, j = i[ok], j[ok]
+            turn = (alone[i] > alone[j]) | ((alone[i] == alone[j]) & (c["sig"][i] > c["sig"][j]))
+            return np.stack([c["sig"][np.where(turn, j, i)], c["sig"][np.where(turn, i, j)]], axis=1)
 
         if not every:
-            if len(starts):
-                sizes = ends - starts
-                pivot = np.repeat(starts, sizes - 1)
-                other = np.arange(len(pivot)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1) + pivot + 1
-                found.append(np.unique(fit(pivot, other), axis=0))
-        else:
-            for lo, hi in zip(starts, ends, strict=True):
-                for i in range(lo, hi - 1):
-                    j = np.arange(i + 1, hi)
+            sizes = ends - starts
+            pivot = np.repeat(starts, sizes - 1)
+            return fit(pivot, np.arange(len(pivot)) - np.repeat(np.cumsum(sizes - 1) - (sizes - 1), sizes - 1) + pivot + 1)
+        found, size = [np.zeros((0, 2), np.int64)], 0
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            # by size: none beyond 1 / t times a text's size is similar to it
+            reach = lo + np.searchsorted(c["n"][lo:hi], c["n"][lo:hi] * den // num, side="right")
+            for i in range(lo, hi - 1):
+                j = np.arange(i + 1, reach[i - lo])
+                # in a cell that is a pair of parts only texts of different parts meet
+                j = j[(c["half"][i] < 0) | (c["half"][j] != c["half"][i])]
+                if len(j):
                     found.append(fit(np.full(len(j), i), j))
                     size += len(found[-1])
-                    if size > 1 << 20:
-                        found = [np.unique(np.concatenate(found), axis=0)]
-                        size = 0
-        pairs = np.unique(np.concatenate(found), axis=0)
-        for at in range(0, len(pairs), 1 << 16):
-            part = pairs[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+                if size > 1 << 20:
+                    found, size = [np.unique(np.concatenate(found), axis=0)], 0
+        return np.concatenate(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _runs(batches):
+            pairs = np.unique(pairs_of(c), axis=0)
+            for at in range(0, len(pairs), 1 << 16):
+                part = pairs[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
 
     return run
 
 
+def candidates(entries: DataFrame, parts: int, every: bool, num: int = NUM, den: int = DEN) -> DataFrame:
+    """Distinct pairs (a, b) of candidates from prefix entries."""
+    part = F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")
+    if every:
+        # only lists that hold several components are dealt; each pair of parts of a list is a cell
+        mixed = entries.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("key")
+        other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+        entries = entries.join(mixed, "key").withColumn("_part", part).withColumn("_other", other)
+        low, high = F.least("_part", "_other"), F.greatest("_part", "_other")
+        entries = entries.withColumns({"cell": low * F.col("cells") + high, "half": F.when(low == high, -1).otherwise(F.col("_part"))}).drop("_part", "_other")
+    else:
+        entries = entries.withColumns({"cell": part, "half": F.lit(-1)})
+    lists = entries.drop("cells").repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+    return lists.mapInArrow(_candidates(every, num, den), "a bigint, b bigint").distinct()
+
+
+# ---- verification ----
+
+
 def _halves_apart(x: np.ndarray, y: np.ndarray, allowed: int) -> bool:
     """Suffix filter: whether a split at the middle key shows a difference beyond ``allowed``."""
     if not len(x) or not len(y):
@@ -341,30 +475,38 @@ def similar(x: np.ndarray, nx: int, y: np.ndarray, ny: int, num: int = NUM, den:
 
 
 def _verify(num: int, den: int):  # noqa: ANN202
+    """Rows come sorted by group, and in a group all records before all pairs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        records, pairs = {}, []
+        group, records = None, {}
         for b in batches:
-            for a, other, n, shared in zip(*(b.column(k).to_pylist() for k in ("a", "b", "n", "shared")), strict=True):
-                if shared is None:
-                    pairs.append((a, other))
-                else:
+            links = []
+            for g, a, other, n, shared in zip(*(b.column(k).to_pylist() for k in ("group", "a", "b", "n", "shared")), strict=True):
+                if g != group:
+                    group, records = g, {}
+                if shared is not None:
                     records[a] = (np.frombuffer(shared, "<u8"), n)
-        links = [(a, b) for a, b in sorted(set(pairs)) if similar(*records[a], *records[b], num, den)]
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+                elif similar(*records[a], *records[other], num, den):
+                    links.append((a, other))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def verify(pairs: DataFrame, records: DataFrame, parts: int, num: int = NUM, den: int = DEN) -> DataFrame:
-    """The pairs that are similar. Pairs are dealt by their second text; the record of a first
-    text goes once to each task that needs it, that of a second text to one."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("bucket")
+    """The pairs that are similar. Pairs are dealt by their second text and an eighth of the first
+    ones, in groups of which a task holds one at a time; a record goes once to each group."""
+    group = F.pmod(F.xxhash64("b", F.pmod(F.xxhash64("a"), F.lit(8))), F.lit(64 * parts)).cast("int").alias("group")
+    dealt = pairs.select(group, "a", "b")
     none = [F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("shared")]
-    asked = pairs.select(place("b"), "a", "b", *none)
-    needed = pairs.select(place("b"), F.col("a").alias("sig")).union(pairs.select(place("b"), F.col("b").alias("sig"))).distinct()
-    given = needed.join(records, "sig").select("bucket", F.col("sig").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "shared")
-    return _deal(asked.union(given), parts).mapInArrow(_verify(num, den), "a bigint, b bigint")
+    needed = dealt.select("group", F.explode(F.array("a", "b")).alias("sig")).distinct()
+    given = needed.join(records, "sig").select("group", F.col("sig").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "shared")
+    both = given.union(dealt.select("group", "a", "b", *none)).repartition(parts, "group").sortWithinPartitions("group", F.col("b").asc_nulls_first())
+    return both.mapInArrow(_verify(num, den), "a bigint, b bigint")
+
+
+# ---- components ----
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -375,68 +517,84 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = staged(links, "join-links")
     labels = None
+    done = [edges]
     step = 0
     while edges.count():
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.*")
         down = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")).select(F.col("a").alias("node"), "to")
         down = staged(down, f"join-down{step}")
+        done.append(down)
         for _ in range(2):
             nxt = down.select(F.col("node").alias("to"), F.col("to").alias("next"))
             down = down.join(nxt, "to").select("node", F.col("next").alias("to"))
         down = staged(down, f"join-jump{step}")
+        done.append(down)
         if labels is None:
             labels = down.withColumnRenamed("to", "label")
         else:
             moved = down.select(F.col("node").alias("label"), "to")
             labels = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
         a, b = (down.select(F.col("node").alias(k), F.col("to").alias(f"to_{k}")) for k in ("a", "b"))
-        new = edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct()
-        old, edges = edges, staged(new, f"join-edges{step}")
-        drop_staged(old)
+        edges = staged(edges.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct(), f"join-edges{step}")
+        done.append(edges)
         step += 1
-    if labels is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return staged(labels, "join-labels")
+    out = staged(labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("label")), "join-labels")
+    for table in done:
+        drop_staged(table)
+    return out
 
 
 def similar_links(records: DataFrame, parts: int, num: int = NUM, den: int = DEN) -> tuple[DataFrame | None, DataFrame | None]:
     """Verified links (a, b) that connect every pair of similar texts, and ``node, label``."""
     links = labels = tried = None
+    done: list[DataFrame] = []
     for step in range(STAR_ROUNDS + 1):
         if labels is None:
             members = records.withColumn("label", F.col("sig"))
         else:
             members = records.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        entries = members.mapInArrow(_prefix_entries(num, den), "key bigint, sig bigint, n bigint, place bigint, own bigint, label bigint")
-        pairs = entries.repartition(parts, "key").mapInArrow(_candidates(step == STAR_ROUNDS, num, den), "a bigint, b bigint").distinct()
+        entries = members.mapInArrow(_prefix_entries(num, den, CELL), _ENTRY)
+        pairs = candidates(entries, parts, step == STAR_ROUNDS, num, den)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = staged(pairs, f"join-pairs{step}")
+        done.append(pairs)
         if not pairs.count():
-            if step == STAR_ROUNDS:
-                break
             continue
         found = verify(pairs, records, parts, num, den)
+        done += [x for x in (links, labels) if x is not None]
         links = staged(found if links is None else links.union(found), f"join-found{step}")
         labels = components(links)
         tried = pairs if tried is None else tried.union(pairs)
+    for table in done:
+        drop_staged(table)
     return links, labels
 
 
 def similarity_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     spark: SparkSession = docs.sparkSession
-    ship_package(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = staged(text_table(docs, size), "join-texts")
-    records = shared_records(docs, parts, size, num, den)
+    docs = docs.select("doc_id", "text")
+    stored = docs if is_scan(docs) else staged(docs, "join-documents")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(stored) // PART_BYTES))
+    whole = text_records(stored, parts, size, num, den)
+    drop_staged(stored)
+    records = staged(whole.filter("is_text").select("sig", "n", "shared").dropDuplicates(["sig"]), "join-records")
     links, labels = similar_links(records, parts, num, den)
-    least = texts.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    if labels is not None:
-        joined = least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        joined = staged(joined, "join-least")
-        of_label = joined.groupBy("label").agg(F.min("least").alias("component_id"))
-        least = joined.join(of_label, "label").select("sig", "component_id")
+    drop_staged(records)
+    texts = whole.filter("NOT is_text").select("doc_id", "n", "sig")
+    return _with_components(texts, links, labels).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _with_components(texts: DataFrame, links: DataFrame | None, labels: DataFrame | None) -> DataFrame:
+    """``texts`` with ``component_id``, null where it is the row's own identifier."""
+    least = texts.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    if labels is None:
+        least = staged(least.filter("rows > 1").select("sig", F.col("least").alias("component_id")), "join-components")
     else:
-        least = least.withColumnRenamed("least", "component_id")
-    return texts.join(least, "sig", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        joined = staged(least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").filter("rows > 1 OR label IS NOT NULL").withColumn("label", F.coalesce("label", "sig")), "join-least")
+        of_label = joined.groupBy("label").agg(F.min("least").alias("component_id"))
+        least = staged(joined.join(of_label, "label").select("sig", "component_id"), "join-components")
+        for table in (joined, links, labels):
+            drop_staged(table)
+    return texts.join(least, "sig", "left")

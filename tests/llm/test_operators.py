@@ -167,6 +167,35 @@ def test_near_copies(spark, seed):
     assert got == brute_components(texts)
 
 
+def test_near_copies_in_small_packages_and_cells(spark, monkeypatch):
+    """Lists of one shingle that are longer than a cell, and tasks of many packages and ranges."""
+    for name, value in (("PACKAGE", 300), ("PACKAGE_TEXTS", 5), ("RANGE", 40), ("CELL", 2), ("STAR_ROUNDS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(9)
+    passage = words("en", 30, 9).split()
+    texts = [*EDGE, *[" ".join(passage)] * 4]
+    for i in range(60):
+        own = words("de", r.choice([3, 6, 40]), i).split()
+        texts.append(" ".join(r.choice([passage + own, own + passage, own])))
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.similarity_components(table(spark, texts).repartition(3)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_near_copies_of_very_many_short_texts(spark):
+    """More texts in a partition than two bytes can number; one shingle in half of them."""
+    rows = spark.range(0, 70_000, numPartitions=1)
+    text = F.when(F.col("id") % 2 == 0, F.lit("one and the same")).otherwise(F.concat(F.lit("text number "), (F.col("id") - F.col("id") % 3).cast("string")))
+    got = ngram_join.similarity_components(rows.select(F.col("id").alias("doc_id"), text.alias("text")))
+    found = got.groupBy("n_shingles").agg(F.count("*").alias("n"), F.countDistinct("component_id").alias("parts")).collect()
+    assert [tuple(x) for x in found] == [(1, 70_000, 1 + len({i - i % 3 for i in range(1, 70_000, 2)}))]
+
+
+def test_shingle_sets_of_a_long_text():
+    text = " ".join(f"w{k % 50_000}" for k in range(400_000))
+    hashes, bounds = ngram_join.shingle_sets([b"", text.encode(), b"A b", b"a B"])
+    assert np.diff(bounds).tolist() == [0, 50_000, 1, 1] and hashes[-1] == hashes[-2]
+
+
 def test_near_copies_of_nothing(spark):
     assert ngram_join.similarity_components(table(spark, [])).count() == 0
 
