@@ -4,8 +4,9 @@ How pieces fill sequences depends on their lengths alone, so the plan is made on
 lengths (``capacity`` entries at most, whatever the number of documents): from the longest piece
 down, the gap that a piece leaves is looked up in an index of single, pair and triple length
 sums, and a combination that fills it exactly is consumed as often as the counts allow. Each step
-uses up at least one length. What has no exact complement is packed best-fit, longest first, again
-length by length. The plan, a list of (pattern, times), is then dealt to the pieces: pieces of a
+uses up at least one length, which then leaves the index. What has no exact complement is packed
+best-fit, longest first, again length by length; if best fit alone needs fewer sequences for all
+lengths, its plan stands. The plan, a list of (pattern, times), is then dealt to the pieces: pieces of a
 length are numbered, and a number tells pattern, sequence and offset.
 
 Numbering pieces of a length never gathers them: each piece belongs to one of many slices by its
@@ -21,6 +22,7 @@ other than identifier and text are ignored.
 from __future__ import annotations
 
 import json
+import re
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -63,8 +65,22 @@ def load_tokenizer(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
 
 
+#: A run of white space that the split pattern's look-ahead would try from every place; its engine
+#: gives up on longer ones. The characters are those of the pattern's class.
+_LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
 def encode(text: str, path: str) -> np.ndarray:
-    return load_tokenizer(path).encode_to_numpy(text, allowed_special="all", disallowed_special=())
+    tokenizer = load_tokenizer(path)
+    plain = lambda t: tokenizer.encode_to_numpy(t, allowed_special="all", disallowed_special=())
+    parts, at = [], 0
+    for m in _LONG_BLANK.finditer(text):
+        # as the pattern parts it: a run is one piece, but for its last character before a word
+        last = m.end() == len(text) or any(text.startswith(t, m.end()) for t in tokenizer.special_tokens_set)
+        end = m.end() if last else m.end() - 1
+        parts += [plain(text[at : m.start()]), np.array(tokenizer._encode_single_piece(text[m.start() : end]), np.uint32)]  # noqa: SLF001
+        at = end
+    return np.concatenate([*parts, plain(text[at:])]) if parts else plain(text)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -94,59 +110,56 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def _complement(gap: int, left: Counter, have: np.ndarray, own: int) -> list[int] | None:
-    """Lengths of which one, two or three fill ``gap`` exactly; ``own`` is the seed's length."""
+class Sums:
+    """Index of the sums of one, two and three available lengths, up to ``capacity``.
 
-    def enough(*lengths: int) -> bool:
-        return all(left[n] >= k + (n == own) for n, k in Counter(lengths).items())
+    ``two[s]`` marks the lengths that another one completes to ``s``, ``three[s]`` those that a sum
+    of two completes. A length that is used up leaves all sums that it was part of.
+    """
 
-    if gap < len(have) and have[gap] and enough(gap):
-        return [gap]
-    # sums of two: a + b = gap, longest a first
-    a = np.arange(min(gap - 1, len(have) - 1), (gap + 1) // 2 - 1, -1)
-    for x in a[have[a] & have[gap - a]] if len(a) else ():
-        if enough(int(x), gap - int(x)):
-            return [int(x), gap - int(x)]
-    for x in range(min(gap - 2, len(have) - 1), (gap + 2) // 3 - 1, -1):
-        if not have[x]:
-            continue
-        rest = gap - x
-        b = np.arange(min(x, rest - 1), (rest + 1) // 2 - 1, -1)
-        for y in b[have[b] & have[rest - b]] if len(b) else ():
-            if enough(x, int(y), rest - int(y)):
-                return [x, int(y), rest - int(y)]
-    return None
+    def __init__(self, lengths: list[int], capacity: int):
+        size = capacity + 1
+        self.one = np.zeros(size, bool)
+        self.one[lengths] = True
+        self.two, self.three = np.zeros((size, size), bool), np.zeros((size, size), bool)
+        for n in lengths:
+            self.two[n:, n] = self.one[: size - n]
+        self.pairs = self.two.any(axis=1)
+        for n in lengths:
+            self.three[n:, n] = self.pairs[: size - n]
+
+    def remove(self, n: int) -> None:
+        size = len(self.one)
+        self.one[n] = False
+        self.two[:, n] = False
+        self.two[np.arange(n, size), np.arange(size - n)] = False
+        self.three[:, n] = False
+        pairs = self.two.any(axis=1)
+        for s in np.flatnonzero(self.pairs & ~pairs):
+            self.three[np.arange(s, size), np.arange(size - s)] = False
+        self.pairs = pairs
+
+    def fills(self, gap: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of the sum ``gap``: fewest lengths first, then the longest first."""
+        if self.one[gap]:
+            yield (gap,)
+        down = lambda row: np.flatnonzero(row)[::-1].tolist()
+        for x in down(self.two[gap]):
+            if 2 * x < gap:
+                break
+            yield x, gap - x
+        for x in down(self.three[gap]):
+            if 3 * x < gap:
+                break
+            for y in down(self.two[gap - x, : x + 1]):
+                if 2 * y < gap - x:
+                    break
+                yield x, y, gap - x - y
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, number of such sequences), using every counted piece once."""
-    left = Counter({int(n): int(c) for n, c in counts.items() if c > 0})
-    have = np.zeros(capacity + 1, bool)
-    have[list(left)] = True
+def _best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Longest first into the tightest gap; open sequences are grouped by what they hold."""
     out: list[tuple[tuple[int, ...], int]] = []
-    if left[capacity]:
-        out.append(((capacity,), left.pop(capacity)))
-        have[capacity] = False
-
-    def take(lengths: list[int], times: int) -> None:
-        for n, k in Counter(lengths).items():
-            left[n] -= k * times
-            have[n] = left[n] > 0
-
-    residual: Counter = Counter()
-    for n in sorted(left, reverse=True):
-        while left[n]:
-            fill = _complement(capacity - n, left, have, n)
-            if fill is None:
-                residual[n] = left[n]
-                left[n] = 0
-                have[n] = False
-                break
-            used = Counter([n, *fill])
-            times = min(left[m] // k for m, k in used.items())
-            out.append(((n, *fill), times))
-            take([n, *fill], times)
-    # best fit: open sequences grouped by what they hold; the tightest gap first
     gaps: list[int] = []
     open_: dict[int, list[list]] = {}
 
@@ -160,8 +173,8 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
             insort(gaps, gap)
         open_[gap].append([pattern, times])
 
-    for n in sorted(residual, reverse=True):
-        count = residual[n]
+    for n in sorted(counts, reverse=True):
+        count = counts[n]
         while count:
             at = bisect_left(gaps, n)
             if at == len(gaps):
@@ -185,8 +198,43 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
                 open_[gap][-1][1] -= m
             add((*pattern, n), m)
             count -= m
-    out += [(tuple(p), t) for groups in open_.values() for p, t in groups]
-    return out
+    return out + [(tuple(p), t) for groups in open_.values() for p, t in groups]
+
+
+def _complements(counts: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements from the longest length down, then best fit of what has none."""
+    left, residual = counts.copy(), Counter()
+    index = Sums(list(left), capacity)
+    out: list[tuple[tuple[int, ...], int]] = []
+    for n in sorted(left, reverse=True):
+        while left[n]:
+            used = None
+            if n < capacity:
+                fits = (Counter((n, *fill)) for fill in index.fills(capacity - n))
+                used = next((u for u in fits if all(left[m] >= k for m, k in u.items())), None)
+            else:
+                used = Counter((n,))
+            if used is None:
+                residual[n] = left[n]
+                left[n] = 0
+                index.remove(n)
+                break
+            times = min(left[m] // k for m, k in used.items())
+            rest = used - Counter((n,))
+            out.append(((n, *sorted(rest.elements(), reverse=True)), times))
+            for m, k in used.items():
+                left[m] -= k * times
+                if not left[m]:
+                    index.remove(m)
+    return out + _best_fit(residual, capacity)
+
+
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of a sequence, number of such sequences), using every counted piece once. Where best
+    fit alone needs fewer sequences than with complements taken first, its plan is taken."""
+    whole = Counter({int(n): int(c) for n, c in counts.items() if c > 0})
+    plans = _complements(whole, capacity), _best_fit(whole, capacity)
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
 
 
 def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, with edge cases."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -121,8 +122,38 @@ def test_packing_plan(seed):
         for n in pattern:
             used[n] += times
     assert used == counts
-    least = -(-sum(n * c for n, c in counts.items()) // 1024)
-    assert sum(t for _, t in plan) <= max(1.35 * least, least + 40)
+    assert sum(t for _, t in plan) <= plain_best_fit(counts)
+
+
+def plain_best_fit(counts):
+    gaps = []
+    for n in sorted(collections.Counter(counts).elements(), reverse=True):
+        tight = min((g for g in gaps if g >= n), default=None)
+        if tight is None:
+            gaps.append(1024 - n)
+        else:
+            gaps[gaps.index(tight)] -= n
+    return len(gaps)
+
+
+def test_index_of_sums():
+    r = random.Random(1)
+    lengths = sorted(r.sample(range(1, 80), 14))
+    index = packing.Sums(lengths, 100)
+    while lengths:
+        for gap in range(1, 101):
+            want = {c for k in (1, 2, 3) for c in itertools.combinations_with_replacement(lengths, k) if sum(c) == gap}
+            got = list(index.fills(gap))
+            assert len(got) == len(set(got)) and {tuple(sorted(c)) for c in got} == want
+        index.remove(lengths.pop(r.randrange(len(lengths))))
+
+
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "a", "\n" * 1_000_000, "a" + "\t" * 5000 + "<|endoftext|> b" + "\u2003\n" * 3000 + "c  ", "x" * 300_000, "é1-" * 100_000, "-" * 300_000])
+def test_tokens_of_long_runs(text):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    assert packing.encode(text, path).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 def test_exact_complements_come_first():
