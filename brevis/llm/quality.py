@@ -3,35 +3,43 @@
 Only DataFrame expressions are used, on the main path and elsewhere. Word statistics of each whole
 text become a vector of variance-stabilised shares (angles ``2 asin(sqrt(share))``) and the log of
 the mean word length. Deviations from the group's medians are damped for short texts, whose shares
-are noisy, and rounded to integers so that sums do not depend on the order of rows. For every
-group the covariance of least determinant is sought by concentration steps: from the medians on,
-the three quarters of the rows nearest in Mahalanobis distance give the next centre and scatter.
-The scatter is scaled so that the median squared distance is that of a chi-squared variable, and
-rows beyond a cutoff are rejected.
+are noisy, and rounded to integers so that sums do not depend on the order of rows.
 
-A group is a (language, source) pair with at least ``MIN_GROUP`` rows; smaller ones take the
-estimate of their language, and small languages that of the whole table. Estimates come from all
-rows. Rows of one group never meet in one task: medians and quantiles are taken from counts of
-rounded values, sums are pre-aggregated.
+For every group the covariance of least determinant is sought by concentration steps: the three
+quarters of the rows nearest in Mahalanobis distance give the next centre and scatter, until
+determinants settle. There are three starts: medians with squared median absolute deviations, mean
+and covariance of all rows, and those of the deviations damped by a hyperbolic tangent. Of the three
+ends the one of least determinant is the group's estimate. It is scaled so that the median squared
+distance is that of a chi-squared variable, and rows beyond a cutoff are rejected.
+
+A group is a (language, source) pair of at least ``MIN_GROUP`` rows that pass the base rule. A pair
+of fewer rows, from which a scatter of four dimensions would be mostly noise, is judged by the
+estimate of its language, and a language of fewer by that of the whole table. Estimates come from
+all rows that pass the base rule. Rows of one group never meet in one task: medians and quantiles are
+taken from counts of rounded values, sums are pre-aggregated.
 
 Defined results: a null text has no words and fails the base rule; null languages and sources are
 groups of their own; repeated rows are judged each on its own; an empty table gives no rows.
-Columns beyond identifier, text, language and source are kept by :func:`keep_good` alone.
+Columns beyond identifier, text, language and source are kept by :func:`keep_good` alone, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brevis.session import staged
+from brevis.session import drop_staged, staged
 
 WHITE = r"\x20\x09-\x0D"
 #: Rows that a group needs for an estimate of its own.
-MIN_GROUP = 200
-#: Share of rows in the concentrated subset, and number of concentration steps.
+MIN_GROUP = 50
+#: Share of rows in the concentrated subset. Steps end when no determinant changes by more than
+#: ``SETTLED`` of itself, or after ``STEPS``.
 SUBSET = 0.75
-STEPS = 4
+SETTLED, STEPS = 1e-3, 16
 #: Units of the rounded vectors to one, and the least standard deviation of a component in units.
 UNIT = 1024
 FLOOR = 0.06 * UNIT
@@ -125,8 +133,9 @@ def _distance(centre: str = "_c") -> Column:
     return F.greatest(out, F.lit(0.0))
 
 
-def _precision(sums: DataFrame, *keep: str) -> DataFrame:
-    """Centre and inverse scatter of each group from its sums (Cholesky factor, then its inverse)."""
+def _precision(sums: DataFrame, *keys: str) -> DataFrame:
+    """Centre, inverse scatter and determinant of the scatter of each group from its sums (Cholesky
+    factor, then its inverse)."""
     k = range(len(STATS))
     d = sums.withColumns({f"_c{i}": F.col(f"_s{i}") / F.col("_n") for i in k})
     d = d.withColumns({f"_a{i}{j}": F.col(f"_q{i}{j}") / F.col("_n") - F.col(f"_c{i}") * F.col(f"_c{j}") + (FLOOR**2 if i == j else 0.0) for i in k for j in range(i + 1)})
@@ -136,12 +145,14 @@ def _precision(sums: DataFrame, *keep: str) -> DataFrame:
         d = d.withColumns({f"_l{i}{j}": (F.col(f"_a{i}{j}") - under(i)) / F.col(f"_l{j}{j}") for i in k if i > j})
     for i in k:
         d = d.withColumns({f"_i{i}{j}": (F.lit(1.0) if i == j else -sum((F.col(f"_l{i}{m}") * F.col(f"_i{m}{j}") for m in range(j, i)), F.lit(0.0))) / F.col(f"_l{i}{i}") for j in range(i + 1)})
-    return d.select("_lang", "_source", *keep, *(f"_c{i}" for i in k), *(sum((F.col(f"_i{m}{i}") * F.col(f"_i{m}{j}") for m in range(i, len(STATS))), F.lit(0.0)).alias(f"_p{i}{j}") for i in k for j in range(i + 1)))
+    precision = (sum((F.col(f"_i{m}{i}") * F.col(f"_i{m}{j}") for m in range(i, len(STATS))), F.lit(0.0)).alias(f"_p{i}{j}") for i in k for j in range(i + 1))
+    det = reduce(lambda x, y: x * y, (F.col(f"_l{i}{i}") * F.col(f"_l{i}{i}") for i in k))
+    return d.select(*keys, *(f"_c{i}" for i in k), *precision, det.alias("_det"))
 
 
-def _sums(rows: DataFrame) -> DataFrame:
+def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     k = range(len(STATS))
-    return rows.groupBy("_lang", "_source").agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").cast("double").alias("_n"),
         *(F.sum(f"_u{i}").alias(f"_s{i}") for i in k),
         *(F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")).alias(f"_q{i}{j}") for i in k for j in range(i + 1)),
@@ -169,33 +180,53 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
         F.when((F.col("_n") >= MIN_GROUP) | (F.col("_n_lang") >= MIN_GROUP), F.col("_lang")).otherwise(star).alias("_to_lang"),
         F.when(F.col("_n") >= MIN_GROUP, F.col("_source")).otherwise(star).alias("_to_source"),
     )
-    needed = target.select(F.col("_to_lang").alias("_lang"), F.col("_to_source").alias("_source")).distinct()
-    every = F.explode(F.array(F.struct(F.col("_lang").alias("l"), F.col("_source").alias("s")), F.struct(F.col("_lang").alias("l"), star.alias("s")), F.struct(star.alias("l"), star.alias("s"))))
-    members = rows.select("_row", *(f"_{s}" for s in STATS), "_damp", every.alias("_g")).select("_row", *(f"_{s}" for s in STATS), "_damp", F.col("_g.l").alias("_lang"), F.col("_g.s").alias("_source"))
-    members = _with(members, needed, n_groups)
-    medians = members.groupBy("_lang", "_source").agg(*(F.floor(F.percentile(f"_{s}", 0.5)).alias(f"_m_{s}") for s in STATS))
-    medians = staged(medians, "quality-medians")
+    needed = target.select(F.col("_to_lang").alias("_l"), F.col("_to_source").alias("_s")).distinct()
+    # the estimates that each pair's rows take part in: mostly their own alone
+    every = F.explode(F.array(F.struct(F.col("_lang").alias("_l"), F.col("_source").alias("_s")), F.struct(F.col("_lang").alias("_l"), star.alias("_s")), F.struct(star.alias("_l"), star.alias("_s"))))
+    parts = sizes.select("_lang", "_source", every.alias("_g")).select("_lang", "_source", "_g.*").join(needed, ["_l", "_s"])
+    parts = staged(parts.groupBy("_lang", "_source").agg(F.collect_list(F.struct("_l", "_s")).alias("_groups")), "quality-parts")
+    members = _with(rows.select("_row", "_lang", "_source", *(f"_{s}" for s in STATS), "_damp"), parts, n_groups)
+    members = members.withColumn("_g", F.explode("_groups")).select("_row", *(f"_{s}" for s in STATS), "_damp", F.col("_g._l").alias("_lang"), F.col("_g._s").alias("_source"))
+    medians = staged(members.groupBy("_lang", "_source").agg(*(F.floor(F.percentile(f"_{s}", 0.5)).alias(f"_m_{s}") for s in STATS)), "quality-medians")
     k = range(len(STATS))
     us = dict(zip((f"_u{i}" for i in k), _deviations(), strict=True))
     points = staged(_with(members, medians, n_groups).withColumns(us).select("_row", "_lang", "_source", *us), "quality-points")
-    # first scatter: squared medians of absolute deviations on the diagonal
-    mads = points.groupBy("_lang", "_source").agg(*(F.percentile(F.abs(f"_u{i}"), 0.5).alias(f"_d{i}") for i in k))
-    scale = lambda i: (F.col(f"_d{i}") * 1.4826) ** 2 + FLOOR**2
-    model = mads.select("_lang", "_source", *(F.lit(0.0).alias(f"_c{i}") for i in k), *((1 / scale(i) if i == j else F.lit(0.0)).alias(f"_p{i}{j}") for i in k for j in range(i + 1)))
+    model = staged(_starts(points, n_groups), "quality-model0")
     rounded = F.floor(F.log1p(_distance()) * _LOG_D).cast("int")
+    keys = ("_lang", "_source", "_start")
     for step in range(STEPS):
-        model = staged(model, f"quality-model{step}")
         away = _with(points, model, n_groups).withColumn("_d", rounded)
-        limit = away.groupBy("_lang", "_source").agg(F.percentile("_d", SUBSET).alias("_limit"))
-        near = _with(points, model.join(limit, ["_lang", "_source"]), n_groups).withColumn("_d", rounded).filter(F.col("_d") <= F.col("_limit"))
-        model = _precision(_sums(near))
-    model = staged(model, "quality-model")
+        limit = away.groupBy(*keys).agg(F.percentile("_d", SUBSET).alias("_limit"))
+        near = _with(points, model.join(limit, [*keys]), n_groups).withColumn("_d", rounded).filter(F.col("_d") <= F.col("_limit"))
+        new = staged(_precision(_sums(near, *keys), *keys), f"quality-model{step + 1}")
+        moved = new.join(model.select(*keys, F.col("_det").alias("_old")), [*keys]).agg(F.max(F.abs(F.col("_det") / F.col("_old") - 1))).first()[0]
+        drop_staged(model)
+        model = new
+        if moved is None or moved <= SETTLED:
+            break
+    best = F.min(F.struct("_det", "_start", *(f"_c{i}" for i in k), *(f"_p{i}{j}" for i in k for j in range(i + 1)))).alias("_best")
+    model = staged(model.groupBy("_lang", "_source").agg(best).select("_lang", "_source", "_best.*").drop("_start"), "quality-model")
     middle = _with(points, model, n_groups).withColumn("_d", rounded).groupBy("_lang", "_source").agg((F.expm1((F.percentile("_d", 0.5) + 0.5) / _LOG_D) / CHI2_MEDIAN).alias("_scale"))
     whole = model.join(middle, ["_lang", "_source"]).join(medians, ["_lang", "_source"])
     renamed = whole.withColumnsRenamed({"_lang": "_to_lang", "_source": "_to_source"})
     return staged(target.join(renamed, ["_to_lang", "_to_source"]).drop("_to_lang", "_to_source"), "quality-estimates"), n_groups
 
 
+def _starts(points: DataFrame, n_groups: int) -> DataFrame:
+    """``_lang, _source, _start``, centre, inverse scatter and determinant of the three starts."""
+    k = range(len(STATS))
+    spread = staged(points.groupBy("_lang", "_source").agg(*((F.percentile(F.abs(f"_u{i}"), 0.5) * 1.4826 + FLOOR).alias(f"_d{i}") for i in k)), "quality-spread")
+    square = lambda i: F.col(f"_d{i}") * F.col(f"_d{i}")
+    medians = spread.select(
+        "_lang", "_source", F.lit(0).alias("_start"), *(F.lit(0.0).alias(f"_c{i}") for i in k),
+        *((1 / square(i) if i == j else F.lit(0.0)).alias(f"_p{i}{j}") for i in k for j in range(i + 1)), reduce(lambda x, y: x * y, map(square, k)).alias("_det"),
+    )
+    keys = ("_lang", "_source", "_start")
+    whole = points.withColumn("_start", F.lit(1))
+    damped = _with(points, spread, n_groups).withColumns({f"_u{i}": F.floor(F.tanh(F.col(f"_u{i}") / F.col(f"_d{i}")) * F.col(f"_d{i}") + 0.5) for i in k}).withColumn("_start", F.lit(2))
+    return medians.unionByName(_precision(_sums(whole, *keys), *keys)).unionByName(_precision(_sums(damped, *keys), *keys))
+
+
 def judge(stats: DataFrame, estimates: DataFrame, n_groups: int, cutoff: float = CUTOFF) -> DataFrame:
     """``stats`` with ``distance`` (null where the base rule failed) and ``kept``."""
     rows = _vectors(stats)
@@ -210,26 +241,24 @@ def judge(stats: DataFrame, estimates: DataFrame, n_groups: int, cutoff: float =
     return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).select(*own, "distance", "kept")
 
 
-def quality_statistics(docs: DataFrame) -> DataFrame:
-    """The statistics of all rows as a stored table: identifier, group and counts, no text."""
-    numbered = docs.withColumn("_row", F.xxhash64("doc_id"))
-    return staged(text_statistics(numbered, "doc_id", "lang", "source", "_row"), "quality-stats")
+def quality_statistics(docs: DataFrame, *keep: str) -> DataFrame:
+    """The statistics of all rows as a stored table, with ``keep`` and a ``document`` of all columns
+    if that is among them; no text otherwise."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("document"))
+    own = whole.select("document", *(F.col(f"document.{c}").alias(c) for c in ("doc_id", "text", "lang", "source")), F.xxhash64("document.doc_id").alias("_row"))
+    return staged(text_statistics(own, *keep, "lang", "source", "_row"), "quality-stats")
 
 
 def quality_rules(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """``doc_id, lang, source`` and the statistics of every row, with ``distance`` and ``kept``."""
-    stats = quality_statistics(docs)
+    stats = quality_statistics(docs, "doc_id")
     estimates, n = fit(stats)
     return judge(stats, estimates, n, cutoff)
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns.
-
-    Statistics are computed a second time on the way through, which is cheaper than moving texts
-    through a join.
-    """
-    estimates, n = fit(quality_statistics(docs))
-    columns = docs.columns
-    packed = docs.withColumn("_row", F.xxhash64("doc_id")).withColumn("_all", F.struct(*(F.col(f"`{c}`") for c in columns)))
-    return judge(text_statistics(packed, "_all", "lang", "source", "_row").withColumnRenamed("_all", "document"), estimates, n, cutoff).filter("kept").select("document.*")
+    """The rows of ``docs`` that the rules keep, with all their columns. They are stored beside
+    their statistics meanwhile, as these cost more than the writing."""
+    stats = quality_statistics(docs, "document")
+    estimates, n = fit(stats)
+    return judge(stats, estimates, n, cutoff).filter("kept").select("document.*")
