@@ -4,9 +4,14 @@ A text's language family is predicted first; one-versus-one linear support vecto
 separate the languages of that family. Both levels read the same features, hashed byte n-grams
 of whole words, averaged over all words of the whole text and scaled to unit length.
 
+Families of common languages are given. Other languages get learnt ones, as many as the square root
+of their number: the mean features of languages far from each other start a family, the others join
+the nearest. So the number of machines stays near that of languages to the power of 1.5.
+
 Defined results: a text that is null or without a letter is ``und`` with score 0; without any
-training row every text is ``und``. Repeated rows are scored each on its own; columns other than
-the identifier, text and language are ignored, whatever their names.
+training row every text is ``und``. Of equal probabilities the language that sorts first is taken.
+Repeated rows are scored each on its own; columns other than the identifier, text and language are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,14 +22,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brevis.llm.lexicon import blocks, lexicon, raw_texts, sum_by_doc, word_grams
-from brevis.llm.linear import couple, low_hash, one_versus_one
+from brevis.llm.lexicon import Lexicon, blocks, lexicon, raw_texts, sum_by_doc, word_grams
+from brevis.llm.linear import couple, one_versus_one, smallest_keys
 from brevis.session import ship_package
 
-#: Families of some languages (ISO 639-1). Other languages are a family each.
+#: Families of some languages (ISO 639-1).
 FAMILIES = {
     "da": "germanic", "de": "germanic", "en": "germanic", "nl": "germanic", "no": "germanic", "sv": "germanic",
     "ca": "romance", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance", "ro": "romance",
@@ -32,9 +37,8 @@ FAMILIES = {
 }
 ORDERS = (1, 2, 3, 4)
 BITS = 13
-#: Bounds of the training sample: rows in all, and languages (the most frequent ones).
+#: Bound of the training sample: rows in all, but one for each language at least.
 MAX_ROWS = 2048
-MAX_LANGUAGES = 128
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -75,22 +79,25 @@ def training_rows(docs: DataFrame, fit_on: Column, max_rows: int = MAX_ROWS) ->
 
     The identifiers are chosen from (id, lang) alone; texts are read for the chosen rows only.
     """
-    known = docs.filter(fit_on & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("count"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return known.select("doc_id", "text", "lang").limit(0)
-    share = max(1, max_rows // len(counts))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (
-        known.filter(F.col("lang").isin([r["lang"] for r in counts]) & low_hash(F.col("lang"), F.col("doc_id"), {r["lang"]: r["ids"] for r in counts}, share))
-        .select("doc_id", "lang")
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= share)
-        .select("doc_id")
-        .collect()
-    )
-    chosen = sorted({r["doc_id"] for r in ids})
-    return known.filter(F.col("doc_id").isin(chosen)).select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
+    known = docs.filter(fit_on & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    n = known.agg(F.countDistinct("lang")).first()[0]
+    chosen = smallest_keys(known, "lang", "doc_id", max(1, max_rows // max(1, n)))
+    return known.filter(F.col("doc_id").isin(sorted(chosen))).dropDuplicates(["doc_id"]) if chosen else known.limit(0)
+
+
+def learnt_families(x: np.ndarray, lang: list[str], families: dict[str, str]) -> dict[str, str]:
+    """``families`` with those of other languages: each is named after the language it began with."""
+    others = sorted(set(lang) - set(families))
+    code = np.array(lang)
+    means = {k: x[code == k].mean(axis=0) for k in others}
+    heads: list[str] = []
+    far = dict.fromkeys(others, np.inf)
+    while len(heads) ** 2 < len(others):
+        heads.append(max(others, key=lambda k: far[k]))
+        for k in others:
+            far[k] = min(far[k], float(np.linalg.norm(means[k] - means[heads[-1]])))
+    near = {k: min(heads, key=lambda h: float(np.linalg.norm(means[k] - means[h]))) for k in others}
+    return families | {k: f"like {h}" for k, h in near.items()}
 
 
 def fit(docs: DataFrame, fit_on: Column, families: dict[str, str] = FAMILIES, max_rows: int = MAX_ROWS) -> LanguageModel | None:
@@ -116,7 +123,8 @@ def fit(docs: DataFrame, fit_on: Column, families: dict[str, str] = FAMILIES, ma
     for i, (_, _, at, value) in enumerate(rows):
         x[i, at] = value
     lang = [r[1] for r in rows]
-    family = [families.get(k, k) for k in lang]
+    families = learnt_families(x, lang, families)
+    family = [families[k] for k in lang]
     languages = {}
     for f in sorted(set(family)):
         own = [i for i, k in enumerate(family) if k == f]
@@ -143,14 +151,7 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
             letters = np.array([bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts], bool)
             if model and letters.any():
                 lex = lexicon([t.lower() for t in texts])
-                owner, bucket = word_grams(lex.words, ORDERS, BITS)
-                per_word = np.empty((len(lex.words), weights.shape[1] + 1))
-                for k in range(weights.shape[1]):
-                    per_word[:, k] = np.bincount(owner, weights[bucket, k], minlength=len(lex.words))
-                per_word[:, -1] = np.bincount(owner, minlength=len(lex.words))
-                sums = sum_by_doc(per_word[lex.ids], lex.bounds)
-                norm = _norms(lex, owner, bucket)
-                margins = sums[:, :-1] / np.maximum(norm, 1e-12)[:, None]
+                margins = _margins(lex, weights)
                 at = np.flatnonzero(letters)
                 top = model.families.probabilities(margins[at, : slices[1]] + model.families.biases)
                 best = top.argmax(axis=1)
@@ -170,18 +171,28 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(predict, f"doc_id {id_type}, lang_pred string, family_pred string, score double")
 
 
-def _norms(lex, owner: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Euclidean norms of the texts' n-gram counts, text by text in one reused count vector."""
-    first = np.searchsorted(owner, np.arange(len(lex.words) + 1))
+def _margins(lex: Lexicon, weights: np.ndarray) -> np.ndarray:
+    """Inner products of the texts' unit-length features with the columns of ``weights``.
+
+    They are additive over words: each distinct word of a block meets each column once, and each
+    distinct word of a text is added with its count, one column at a time.
+    """
+    owner, bucket = word_grams(lex.words, ORDERS, BITS)
+    width = max(1, len(lex.words))
+    keys, times = np.unique(lex.doc_of * width + lex.ids, return_counts=True)
+    word, bounds = keys % width, np.searchsorted(keys, np.arange(len(lex.bounds)) * width)
+    first = np.searchsorted(owner, np.arange(width + 1))
     size = np.diff(first)
-    out = np.zeros(len(lex.bounds) - 1)
-    for d in range(len(out)):
-        ids = lex.ids[lex.bounds[d] : lex.bounds[d + 1]]
-        if not len(ids):
-            continue
-        n = size[ids]
+    norm = np.zeros(len(lex.bounds) - 1)
+    for d in np.flatnonzero(np.diff(bounds)):
+        own = word[bounds[d] : bounds[d + 1]]
+        n = size[own]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(first[ids] - (ends - n), n)
-        counts = np.bincount(bucket[at], minlength=1 << BITS).astype(np.float64)
-        out[d] = np.sqrt(counts @ counts)
+        at = np.arange(ends[-1]) + np.repeat(first[own] - (ends - n), n)
+        counts = np.bincount(bucket[at], np.repeat(times[bounds[d] : bounds[d + 1]], n), minlength=1 << BITS)
+        norm[d] = np.sqrt(counts @ counts)
+    out = np.empty((len(norm), weights.shape[1]))
+    for k in range(weights.shape[1]):
+        per_word = np.bincount(owner, weights[bucket, k], minlength=width)
+        out[:, k] = sum_by_doc(per_word[word] * times, bounds) / np.maximum(norm, 1e-12)
     return out

@@ -134,9 +134,20 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.searchsorted(np.concatenate(starts or [np.zeros(0, np.int64)]), begin)
 
 
-def word_grams(words: list[bytes], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte n-grams of each word between blanks, as (word index, bucket), by word index."""
-    buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
+def lower_case(lex: Lexicon) -> tuple[Lexicon, list[str]]:
+    """``lex`` by words in lower case, and these words as strings."""
+    index: dict[str, int] = {}
+    own = [index.setdefault(w, len(index)) for w in (b" ".join(lex.words).decode("utf-8", "replace").lower().split(" ") if lex.words else ())]
+    return Lexicon([w.encode() for w in index], np.array(own, np.int32)[lex.ids], lex.bounds), list(index)
+
+
+def word_grams(words: list[bytes] | list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of each word between blanks, of bytes or of the code points of strings, as
+    (word index, bucket), by word index."""
+    if words and isinstance(words[0], str):
+        buf = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), "<u4").astype(np.uint64)
+    else:
+        buf = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint64)
     blank = np.cumsum(buf == 32)
     owner, bucket = [], []
     for n in orders:

@@ -2,32 +2,47 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: How many times the wanted rows a hash threshold lets pass, so that the wanted ones are among them.
+#: How many times the wanted keys a hash threshold lets pass, so that the wanted ones are among them.
 _MARGIN = 4
 
 
-def low_hash(group: Column, key: Column, counts: dict, wanted: int) -> Column:
-    """A filter by numbers of distinct keys that passes, of each group, about ``_MARGIN * wanted`` rows of smallest hash (all of
-    a small group). It leaves a group's ranking few rows to rank, however large the group is."""
-    passes = F.lit(True)
-    for name, n in counts.items():
-        if n > 2 * _MARGIN * wanted:
-            limit = -(1 << 63) + int((1 << 64) * (_MARGIN * wanted / n))
-            passes = F.when(group == F.lit(name), F.xxhash64(key) < F.lit(limit)).otherwise(passes)
-    return passes
+def smallest_keys(rows: DataFrame, group: str, key: str, wanted: int) -> dict:
+    """key -> group: of every group of ``rows`` (group, key) the ``wanted`` keys of smallest hash.
+
+    A threshold on the hash, from each group's number of distinct keys, leaves ``2 * _MARGIN *
+    wanted`` keys of a group or so, however large it is; only these reach the driver.
+    """
+    hashed = F.xxhash64(key)
+    counts = rows.groupBy(group).agg(F.approx_count_distinct(key).alias("n")).collect()
+    if not counts:
+        return {}
+    limit = lambda n: (1 << 63) - 1 if n <= 2 * _MARGIN * wanted else -(1 << 63) + int((1 << 64) * (_MARGIN * wanted / n))
+    limits = rows.sparkSession.createDataFrame([(r[group], limit(r["n"])) for r in counts], f"{group} {rows.schema[group].dataType.simpleString()}, _limit bigint")
+    # one row per group
+    found = rows.join(F.broadcast(limits), group).filter(hashed <= F.col("_limit")).select(group, key, hashed.alias("_hash")).distinct().collect()
+    out, taken = {}, Counter()
+    for r in sorted(found, key=lambda r: (r["_hash"], str(r[key]))):
+        if r[key] not in out and taken[r[group]] < wanted:
+            out[r[key]] = r[group]
+            taken[r[group]] += 1
+    return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and bias of a squared-hinge support vector machine (dual coordinate descent).
+def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 100, tolerance: float = 0.02) -> tuple[np.ndarray, float]:
+    """Weights and bias of a squared-hinge support vector machine (dual coordinate descent, until no
+    projected gradient is beyond ``tolerance``).
 
     ``y`` holds +1 and -1. The bias is the weight of a constant feature of value 1.
     """
@@ -36,14 +51,18 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12)
     norms = np.einsum("ij,ij->i", x, x) + 1.0 + 1.0 / (2 * c)
     order = np.random.default_rng(1)
     for _ in range(epochs):
+        worst = 0.0
         for i in order.permutation(n):
             gradient = y[i] * (x[i] @ w + bias) - 1.0 + alpha[i] / (2 * c)
+            worst = max(worst, abs(gradient) if alpha[i] else -gradient)
             new = max(0.0, alpha[i] - gradient / norms[i])
             step = (new - alpha[i]) * y[i]
             if step:
                 alpha[i] = new
                 w += step * x[i]
                 bias += step
+        if worst <= tolerance:
+            break
     return w, float(bias)
 
 
@@ -71,31 +90,66 @@ def couple(margins: np.ndarray, pairs: list[tuple[int, int]], k: int, slope: flo
 
 
 class SparseRows:
-    """Compressed sparse rows with the two products that a gradient needs."""
+    """Compressed sparse rows with the two products that a gradient needs, made part by part."""
+
+    PART = 1 << 20
 
     def __init__(self, bounds: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
         self.bounds, self.columns, self.values, self.width = bounds, columns, values, width
         self.row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
 
+    def _parts(self) -> Iterator[slice]:
+        return (slice(at, at + self.PART) for at in range(0, len(self.columns), self.PART))
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.values * w[self.columns], minlength=len(self.bounds) - 1)
+        out = np.zeros(len(self.bounds) - 1)
+        for p in self._parts():
+            out += np.bincount(self.row[p], self.values[p] * w[self.columns[p]], minlength=len(out))
+        return out
 
     def t_dot(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.columns, self.values * g[self.row], minlength=self.width)
-
-
-def logistic(x: SparseRows, y: np.ndarray, weight: np.ndarray, l2: float, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L2-regularised logistic regression (full-batch Adam with decay)."""
-    w, bias = np.zeros(x.width), 0.0
-    m, v, mb, vb = np.zeros(x.width), np.zeros(x.width), 0.0, 0.0
-    total = weight.sum()
-    for t in range(1, steps + 1):
-        g = weight * (sigmoid(x.dot(w) + bias) - y) / total
-        grad, grad_b = x.t_dot(g) + l2 * w, g.sum()
-        rate = 0.05 * (1 - t / (steps + 1))
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        mb, vb = 0.9 * mb + 0.1 * grad_b, 0.999 * vb + 0.001 * grad_b**2
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= rate * (m / c1) / (np.sqrt(v / c2) + 1e-9)
-        bias -= rate * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    return w, float(bias)
+        out = np.zeros(self.width)
+        for p in self._parts():
+            out += np.bincount(self.columns[p], self.values[p] * g[self.row[p]], minlength=self.width)
+        return out
+
+
+def logistic(x: SparseRows, y: np.ndarray, l2: float, steps: int = 60, tolerance: float = 1e-5, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least mean logistic loss plus ``l2 / 2`` of the squared weights
+    (limited-memory BFGS; the bias is not regularised)."""
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        margin = x.dot(w[:-1]) + w[-1]
+        g = (sigmoid(margin) - y) / len(y)
+        value = float(np.logaddexp(0, np.where(y > 0.5, -margin, margin)).mean() + l2 / 2 * (w[:-1] @ w[:-1]))
+        return value, np.append(x.t_dot(g) + l2 * w[:-1], g.sum())
+
+    w = np.zeros(x.width + 1)
+    value, gradient = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(gradient).max() < tolerance:
+            break
+        d, weights = gradient.copy(), []
+        for s, z, r in reversed(past):
+            weights.append(r * (s @ d))
+            d -= weights[-1] * z
+        if past:
+            s, z, r = past[-1]
+            d /= r * (z @ z)
+        else:
+            d /= max(1.0, np.linalg.norm(gradient))
+        for (s, z, r), a in zip(past, reversed(weights), strict=True):
+            d += s * (a - r * (z @ d))
+        slope, step = gradient @ d, 1.0
+        while True:
+            new = w - step * d
+            new_value, new_gradient = loss(new)
+            if new_value <= value - 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        s, z = new - w, new_gradient - gradient
+        w, value, gradient = new, new_value, new_gradient
+        if s @ z > 1e-12:
+            past = [*past[-memory + 1 :], (s, z, 1.0 / (s @ z))]
+    return w[:-1], float(w[-1])

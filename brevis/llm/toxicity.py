@@ -1,7 +1,7 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes log-count ratio features.
 
-A text's features are the hashed byte n-grams of its distinct words, each counted once for every
-distinct word that holds it. Feature values are scaled by the log-count ratio of toxic and other
+A text's features are the hashed n-grams of code points of its distinct words in lower case, each
+counted once for every distinct word that holds it. Feature values are scaled by the log-count ratio of toxic and other
 labelled texts, and a logistic regression is fitted on the scaled values. As scores are additive
 over distinct words, each distinct word of a block of texts is scored once.
 
@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brevis.llm.lexicon import Lexicon, blocks, lexicon, raw_texts, sum_by_doc, word_grams
-from brevis.llm.linear import SparseRows, logistic, low_hash, sigmoid
+from brevis.llm.lexicon import Lexicon, blocks, lexicon, lower_case, raw_texts, sum_by_doc, word_grams
+from brevis.llm.linear import SparseRows, logistic, sigmoid, smallest_keys
 from brevis.session import ship_package
 
 ORDERS = (3, 4, 5)
@@ -31,7 +31,6 @@ BITS = 17
 MAX_PER_CLASS = 1500
 ALPHA = 1.0
 L2 = 1e-3
-STEPS = 160
 
 
 @dataclass
@@ -49,11 +48,11 @@ def _distinct(lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches):
-        lex = lexicon([t.lower() for t in raw_texts(b.column("text"))])
+        lex, words = lower_case(lexicon([t.lower() for t in raw_texts(b.column("text"))]))
         at, value = [], []
         if lex.words:
             ids, bounds = _distinct(lex)
-            owner, bucket = word_grams(lex.words, ORDERS, BITS)
+            owner, bucket = word_grams(words, ORDERS, BITS)
             first = np.searchsorted(owner, np.arange(len(lex.words) + 1))
             for d in range(len(b)):
                 own = [bucket[first[w] : first[w + 1]] for w in ids[bounds[d] : bounds[d + 1]]]
@@ -70,12 +69,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, fit_on: Column, max_per_class: int) -> DataFrame:
     """``doc_id, text, toxic`` of at most ``max_per_class`` labelled texts of either class."""
-    known = labels.filter(fit_on & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = {r["toxic"]: r["ids"] for r in labels.filter(fit_on & F.col("toxic").isin(0, 1)).groupBy("toxic").agg(F.approx_count_distinct("doc_id").alias("ids")).collect()}
-    known = known.filter(low_hash(F.col("toxic"), F.col("doc_id"), counts, max_per_class))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_per_class).select("doc_id", "toxic")
-    toxic_of = {r["doc_id"]: int(r["toxic"]) for r in picked.collect()}
+    known = labels.filter(fit_on & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    toxic_of = smallest_keys(known, "toxic", "doc_id", max_per_class)
     spark = docs.sparkSession
     chosen = spark.createDataFrame(sorted(toxic_of.items()), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int")
     # the sample has 2 * max_per_class rows at most, so its side may be broadcast
@@ -92,16 +87,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on: Column, max_per_class: int =
     y = rows.column("toxic").to_numpy()[order].astype(np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, float(np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))) if len(y) else -30.0)
-    at, value = rows.column("at").combine_chunks(), rows.column("value").combine_chunks()
+    rows = rows.select(["at", "value"]).take(pa.array(order)).combine_chunks()
+    at, value = (rows.column(c).combine_chunks() for c in ("at", "value"))
     del rows
-    at, value = at.take(pa.array(order)), value.take(pa.array(order))
     bounds = at.offsets.to_numpy().astype(np.int64)
-    bounds -= bounds[0]
-    x = SparseRows(bounds, at.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float32), 1 << BITS)
+    x = SparseRows(bounds - bounds[0], at.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float32), 1 << BITS)
+    del at, value
     p, q = ALPHA + x.t_dot(y), ALPHA + x.t_dot(1 - y)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     x.values = (x.values * ratio[x.columns]).astype(np.float32)
-    w, bias = logistic(x, y, np.ones(len(y)), L2, STEPS)
+    w, bias = logistic(x, y, L2)
     return ToxicityModel((w * ratio).astype(np.float32), bias)
 
 
@@ -131,10 +126,10 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
 
 
 def probabilities(texts: list[bytes], model: ToxicityModel) -> np.ndarray:
-    lex = lexicon([t.lower() for t in texts])
+    lex, words = lower_case(lexicon([t.lower() for t in texts]))
     margin = np.full(len(texts), model.bias)
     if lex.words and model.weights is not None:
-        owner, bucket = word_grams(lex.words, ORDERS, BITS)
+        owner, bucket = word_grams(words, ORDERS, BITS)
         per_word = np.bincount(owner, model.weights[bucket], minlength=len(lex.words))
         ids, bounds = _distinct(lex)
         margin += sum_by_doc(per_word[ids], bounds)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brevis.llm import langid, lmscore, ngram_join, packing, pii, quality, topk, toxicity, urlgraph, wfst
+from brevis.llm import langid, linear, lmscore, ngram_join, packing, pii, quality, topk, toxicity, urlgraph, wfst
 from brevis.llm.queries import remainder, tokenizer_path
 
 EDGE = ["", None, "   \n\t", "a", "one two three", "x " * 3000, "é" * 500, "SAME text here for all", "SAME text here for all"]
@@ -49,6 +49,68 @@ def test_language_held_out(spark):
     assert langid.identify(df.limit(2), None).first()["lang_pred"] == "und"
 
 
+def test_languages_beyond_the_listed_families(spark):
+    """Every language can be predicted, and learnt families are about the square root of them."""
+    r = random.Random(8)
+    letters = {f"x{k:02d}": [chr(97 + r.randrange(26)) + chr(97 + r.randrange(26)) for _ in range(6)] for k in range(30)}
+    make = lambda k: " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(1, 3))) for _ in range(60))
+    rows = [(i, make(k), k) for i, k in enumerate(sorted(letters) * 12)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, remainder("doc_id", 4) != 2)
+    assert len(model.families.classes) == 6 and sum(len(v.classes) for v in model.languages.values()) == 30
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(df, model).collect()}
+    held = [(i, k) for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(got[i] == k for i, k in held) >= 0.9 * len(held)
+
+
+def test_language_scores_against_plain_features(spark):
+    rows = [(i, words(k, 30, i), k) for i, k in enumerate(["en", "de", "fr", "es"] * 15)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df, F.lit(True))
+    x = langid._features([t.encode() for _, t, _ in rows])
+    top = model.families.probabilities(x @ model.families.weights + model.families.biases)
+    for r, p, f in zip(sorted(langid.identify(df, model).collect()), top, x, strict=True):
+        family = model.families.classes[p.argmax()]
+        level = model.languages[family]
+        q = level.probabilities(f[None] @ level.weights + level.biases)[0]
+        assert (r["family_pred"], r["lang_pred"]) == (family, level.classes[q.argmax()])
+        assert abs(r["score"] - p.max() * q.max()) < 1e-5
+
+
+def test_support_vector_machine_is_near_the_least_loss():
+    g = np.random.default_rng(0)
+    x = g.normal(size=(80, 6))
+    y = np.where(x @ g.normal(size=6) + 0.5 * g.normal(size=80) > 0, 1.0, -1.0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    loss = lambda w, b: (w @ w + b * b) / 2 + 10 * (np.maximum(0, 1 - y * (x @ w + b)) ** 2).sum()
+    w, b = np.zeros(6), 0.0
+    for _ in range(20_000):
+        slack = np.maximum(0, 1 - y * (x @ w + b)) * y
+        w, b = w - 1e-3 * (w - 20 * slack @ x), b - 1e-3 * (b - 20 * slack.sum())
+    assert loss(*linear.linear_svm(x, y, epochs=500)) <= loss(w, b) * 1.001
+
+
+def test_logistic_regression_is_the_least_loss():
+    g = np.random.default_rng(1)
+    x = (g.random((60, 40)) < 0.2) * g.normal(size=(60, 40))
+    y = (g.random(60) < 0.4).astype(np.float64)
+    rows = [np.flatnonzero(r) for r in x]
+    sparse = linear.SparseRows(np.cumsum([0, *map(len, rows)]), np.concatenate(rows), x[x != 0].astype(np.float32), 40)
+    got = linear.logistic(sparse, y, 1e-2, steps=300)
+    w, b = np.zeros(40), 0.0
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(x @ w + b))) - y
+        w, b = w - 0.5 * (x.T @ p / 60 + 1e-2 * w), b - 0.5 * p.mean()
+    assert np.abs(got[0] - w).max() < 1e-3 and abs(got[1] - b) < 1e-3
+
+
+def test_toxicity_ignores_case_beyond_ascii():
+    g = np.random.default_rng(2)
+    model = toxicity.ToxicityModel(g.normal(size=1 << toxicity.BITS), 0.0)
+    a, b = (toxicity.probabilities([t.encode()], model)[0] for t in ("Élan ÀÇÉ vital", "élan àçé vital"))
+    assert a == b
+
+
 def base_statistics(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
@@ -74,6 +136,69 @@ def test_quality_statistics(spark, docs):
     assert sorted(quality.keep_good(df).columns) == sorted(df.columns)
 
 
+def brute_kept(rows):
+    """``kept`` of (text, lang, source) rows by plain arrays, from the description of the method."""
+    import regex
+
+    stats = [base_statistics(t) for t, _, _ in rows]
+    x, damp = np.zeros((len(rows), 4)), np.zeros(len(rows))
+    for i, ((text, _, _), (n, chars, symbols, *_)) in enumerate(zip(rows, stats, strict=True)):
+        marks = len(regex.findall(r"[^\p{L}\p{N}\x20\x09-\x0D]", text or ""))
+        share = [min(1, c / max(chars, 1)) for c in (symbols, len(regex.findall(r"\p{Lu}", text or "")), marks)]
+        x[i] = [*(np.floor(2 * np.arcsin(np.sqrt(v)) * 1024 + 0.5) for v in share), np.floor(np.log(max(chars, 1) / max(n, 1)) * 512 + 0.5)]
+        damp[i] = np.sqrt(chars / (chars + 400))
+    ok = np.array([not s[-1] for s in stats])
+    pair, lang = [(a, b) for _, a, b in rows], [a for _, a, _ in rows]
+    count = collections.Counter(p for p, k in zip(pair, ok, strict=True) if k)
+    of_lang = collections.Counter(a for a, k in zip(lang, ok, strict=True) if k)
+    group = [p if count[p] >= 50 else (p[0], "*") if of_lang[p[0]] >= 50 else ("*", "*") for p in pair]
+    member = {g: ok & np.array([g in (p, (p[0], "*"), ("*", "*")) for p in pair]) for g in set(group)}
+    kept = np.zeros(len(rows), bool)
+    for g, own in member.items():
+        if not own.any():
+            continue
+        middle = np.floor(np.percentile(x[own], 50, axis=0))
+        u = np.floor((x - middle) * damp[:, None] + 0.5)
+        v, floor = u[own], (0.06 * 1024) ** 2 * np.eye(4)
+        scatter = lambda z: (z.mean(axis=0), z.T @ z / len(z) - np.outer(z.mean(axis=0), z.mean(axis=0)) + floor)  # noqa: B023, E731
+        mad = np.percentile(np.abs(v), 50, axis=0) * 1.4826 + 0.06 * 1024
+        ends = []
+        for centre, cov in ((np.zeros(4), np.diag(mad**2)), scatter(v), scatter(np.floor(np.tanh(v / mad) * mad + 0.5))):
+            for _ in range(16):
+                d = np.floor(np.log1p(np.einsum("ij,jk,ik->i", v - centre, np.linalg.inv(cov), v - centre)) * 256)
+                old = np.linalg.det(cov)
+                centre, cov = scatter(v[d <= np.percentile(d, 75)])
+                if abs(np.linalg.det(cov) / old - 1) <= 1e-9:
+                    break
+            ends.append((np.linalg.det(cov), centre, cov))
+        _, centre, cov = min(ends, key=lambda e: e[0])
+        far = lambda z: np.einsum("ij,jk,ik->i", z - centre, np.linalg.inv(cov), z - centre)  # noqa: B023, E731
+        scale = max(1.0, np.expm1((np.percentile(np.floor(np.log1p(far(v)) * 256), 50) + 0.5) / 256) / 3.3567)
+        at = np.array([k == g for k in group]) & ok
+        kept[at] = far(u[at]) / scale <= 30
+    return kept
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_quality_outliers_against_plain_arrays(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = docs.collect()
+    want = dict(zip((r["doc_id"] for r in rows), brute_kept([tuple(r)[1:] for r in rows]).tolist(), strict=True))
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
+    assert sum(got[i] != want[i] for i in want) <= len(want) // 1000
+    assert 0.6 < np.mean(list(got.values())) < 0.95
+
+
+def test_quality_keeps_all_columns(spark):
+    texts = [f"{words('en', 40, i)} end {i}" for i in range(80)] + ["#$% " * 30, None, "short"]
+    df = table(spark, texts, _row="mine", document=1, kept="clash", _all=2).withColumn("a.b", F.lit(3))
+    kept = quality.keep_good(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert all(r["_row"] == "mine" and r["document"] == 1 and r["a.b"] == 3 for r in got)
+    assert {r["doc_id"] for r in got} >= set(range(75)) and not {r["doc_id"] for r in got} & {80, 81, 82}
+
+
 def test_quality_groups_beyond_the_broadcast_bound(docs, monkeypatch):
     want = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs).collect()}
     monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
