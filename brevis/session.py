@@ -50,6 +50,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+class scratch:  # noqa: N801
+    """A block of work whose staged tables are deleted at its end, but for those it keeps."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def keep(self, df: DataFrame) -> None:
+        self.tables = [t for t in self.tables if t is not df]
+
+    def __enter__(self) -> scratch:
+        _SCOPES.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _SCOPES.remove(self)
+        for df in self.tables:
+            drop_staged(df)
+
+
+_SCOPES: list[scratch] = []
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether ``df`` is read straight from files, row by row: a task that runs again then meets
     the same rows in the same order."""
@@ -76,6 +98,8 @@ def staged(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path, partitionBy=folders)
     out = spark.read.schema(df.schema).parquet(path)
     out._brevis_path = path  # noqa: SLF001
+    if _SCOPES:
+        _SCOPES[-1].tables.append(out)
     return out
 
 
