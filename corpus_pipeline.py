@@ -2,7 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a
 DataFrame; all but the last return the columns of ``documents``. :func:`run` writes every stage's
-result as Parquet to the shared scratch folder and reads it back for the next one.
+result as Parquet to the shared scratch folder and reads it back for the next one; what a stage
+stored on the way is deleted then.
+
+Defined results, for every stage: a null text counts as an empty one; the first stage rejects both,
+as they have fewer words than its base rule asks for, and the other stages keep them (packed, they
+are an end token each). Rows that repeat are judged each on its own, but of rows with equal texts,
+or with one identifier and one text, near copies leave one. An empty table gives an empty result
+with the same columns. Further columns are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -12,7 +19,7 @@ from pyspark.sql import functions as F
 
 from brevis.llm import ngram_join, packing, pii, quality, toxicity
 from brevis.llm.queries import remainder, table, tokenizer_path
-from brevis.session import staged
+from brevis.session import drop_staged, scratch, staged
 
 #: Identifiers to drop that are broadcast at most; beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -52,9 +59,10 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in training sequences."""
-    pieces = packing.tokenize_pieces(docs, tokenizer_path("byte_bpe_50k.json"))
-    return packing.pack(staged(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces"))
+    """The pieces of all documents, their token ids (``ids``, little-endian unsigned 32-bit) and
+    their places in training sequences. Null and empty texts are an end token each."""
+    pieces = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
 STAGES = [
@@ -72,5 +80,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+        with scratch() as used:
+            out = staged(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-').lower()}")
+            used.keep(out)
+        drop_staged(docs)
+        docs = out
     return docs
