@@ -10,6 +10,10 @@ import json
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from typing import Protocol
+
+import numpy as np
 
 from brevis.functions.text import SPACE
 
@@ -31,12 +35,16 @@ _SUMMARY = re.compile(rf"\b[0-9]+{_S}+(?:passing|failing|passed|failed|skipped|p
 _CONTEXT = re.compile(rf"expected|received|assert|caused by|^{_S}*[-+>]|=>|diff|line{_S}+[0-9]+", re.I | re.A)
 _ODD_ROW = re.compile(rf"\b(?:error|null|nan|none|missing|undefined|fail(?:ed)?|invalid|timeout)\b|,,|\|{_S}*\||^{_S}*,|,{_S}*$", re.I | re.A)
 _RULE_ROW = re.compile(rf"^[{SPACE}|:.-]*-[{SPACE}|:.-]*$")
-_STOPWORDS = frozenset(
+_CODE_STEPS = ((r"/\*.*?\*/", "", re.S), (r"([^:\"'`])//[^\n]*", r"\1", 0), (rf"^{_S}*#[^\n]*$", "", re.M), (r"[ \t]+$", "", re.M))
+_NAME_MARK = re.compile(r"[_/.\\{}()=<>:#@\[\]]")
+STOPWORDS = (
     "a an the of to in on at for and or but nor so yet is are was were be been being am it its this that these those with as by from into onto "
     "than then there here i you he she they we us them him her my your his their our me do does did has have had will would shall can could should "
-    "may might must not no yes just very really quite too also about over under again more most some any all each every".split()
+    "may might must not no yes just very really quite too also about over under again more most some any all each every"
 )
 # ----------------------------------------------------------------
+_STOPWORDS = frozenset(STOPWORDS.split())
+_WORD, _NOT_BARE, _DIGIT = re.compile(f"[^{SPACE}]+"), re.compile("[^a-z0-9]"), re.compile("[0-9]")
 
 
 def _lines(text: str) -> list[str]:
@@ -162,7 +170,7 @@ def rewrite_json(text: str, level: str = "safe", sample: int = 2, max_string: in
 
 def rewrite_code(text: str, level: str = "safe") -> str:
     """Comments and needless blanks go. The rules work on text and do not know strings."""
-    steps = [(r"/\*.*?\*/", "", re.S), (r"([^:\"'`])//[^\n]*", r"\1", 0), (rf"^{_S}*#[^\n]*$", "", re.M), (r"[ \t]+$", "", re.M)]
+    steps = list(_CODE_STEPS)
     if level == "aggressive":
         steps += [(rf"^{_S}*\n", "", re.M), (r"^[ \t]+", lambda m: " " * -(-len(m.group()) // 2), re.M)]
     else:
@@ -241,35 +249,64 @@ def rewrite_table(text: str, level: str = "safe") -> str:
     return "\n".join([*rows[:shown], *odd, *([f"… {hidden} more rows …"] if hidden else [])])
 
 
+#: Words whose worth is remembered by a worker.
+_REMEMBERED = 1 << 17
+
+
+@lru_cache(maxsize=_REMEMBERED)
+def _word_worth(word: str) -> tuple[str, float]:
+    """The bare form of a word and its worth before its frequency is taken off; none has 0.05."""
+    bare = _NOT_BARE.sub("", word.lower())
+    if not bare:
+        return "", 0.05
+    worth = 1.0
+    for term in (
+        -0.85 if bare in _STOPWORDS else 0.0,
+        1.5 if _DIGIT.search(word) else 0.0,
+        0.6 if "A" <= word[0] <= "Z" else 0.0,
+        0.8 if _NAME_MARK.search(word) else 0.0,
+        min(len(bare) / 8, 0.8),
+    ):
+        worth += term
+    return bare, worth
+
+
 def rewrite_prose(text: str, keep: float = 0.5) -> str:
     """The most telling share of the words, in their order."""
-    words = re.findall(f"[^{SPACE}]+", text)
+    words = _WORD.findall(text)
     if len(words) <= 3:
         return text
-    plain = [re.sub("[^a-z0-9]", "", w.lower()) for w in words]
-    times = Counter(p for p in plain if p)
+    bare, worth = zip(*map(_word_worth, words), strict=True)
+    times = Counter(bare)
+    del times[""]
     most = max(times.values(), default=1)
+    off = {b: 0.4 * (n / most) for b, n in times.items()}
+    off[""] = 0.0
+    score = np.array(worth) - np.array([off[b] for b in bare])
+    n = max(1, math.floor(len(words) * min(1.0, max(0.05, keep)) + 0.5))
+    best = np.sort(np.argsort(-score, kind="stable")[:n])
+    return " ".join([words[i] for i in best.tolist()])
 
-    def worth(word: str, p: str) -> float:
-        if not p:
-            return 0.05
-        terms = (
-            1.0,
-            -0.85 if p in _STOPWORDS else 0.0,
-            1.5 if re.search("[0-9]", word) else 0.0,
-            0.6 if "A" <= word[0] <= "Z" else 0.0,
-            0.8 if re.search(r"[_/.\\{}()=<>:#@\[\]]", word) else 0.0,
-            min(len(p) / 8, 0.8),
-            -(0.4 * (times[p] / most)),
-        )
-        score = 0.0
-        for t in terms:
-            score += t
-        return score
 
-    n = max(1, math.floor(len(words) * min(1.0, max(0.05, keep)) + 0.5))
-    rank = sorted(range(len(words)), key=lambda i: (-worth(words[i], plain[i]), i))
-    return " ".join(words[i] for i in sorted(rank[:n]))
+class Scorer(Protocol):
+    """What the pruner by surprisal needs of a language model."""
+
+    def encode(self, text: str) -> list[int]: ...
+
+    def surprisal(self, ids: list[int]) -> list[float]:
+        """``-log p`` of every token after those to its left; infinite for the first."""
+
+    def decode(self, ids: list[int]) -> str: ...
+
+
+def prune_by_surprisal(text: str, scorer: Scorer, keep: float = 0.5) -> str:
+    """The least predictable share of a model's tokens, in their order."""
+    ids = scorer.encode(text)
+    if len(ids) <= 4:
+        return text
+    n = max(1, math.floor(len(ids) * min(1.0, max(0.05, keep)) + 0.5))
+    best = np.sort(np.argsort(-np.asarray(scorer.surprisal(ids), np.float64), kind="stable")[:n])
+    return re.sub(f"^{_S}+|{_S}+$", "", scorer.decode([ids[i] for i in best.tolist()]))
 
 
 def rewrite(text: str, kind: str, level: str = "safe", keep: float | None = None) -> str:

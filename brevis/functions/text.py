@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Fixed value: white space of the text rules (ASCII, NBSP, BOM and Unicode space separators).
 SPACE = "\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
+#: The same class, character by character.
+SPACES = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 LINE_BREAK = r"\r?\n"
 
 
@@ -16,7 +18,7 @@ def _col(c: str | Column) -> Column:
 
 
 def trimmed(text: str | Column) -> Column:
-    return F.regexp_replace(_col(text), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(_col(text), F.lit(SPACES))
 
 
 def utf16_length(text: str | Column) -> Column:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -12,18 +15,47 @@ from brevis.functions.text import SPACE, base36, estimate_tokens, lines, saving,
 from brevis.session import ship_package
 
 MARK = "brevis"
-
-
-@F.pandas_udf(BooleanType())
-def _is_json(text: pd.Series) -> pd.Series:
-    def ok(x: str | None) -> bool:
-        try:
-            rewriting.parse_json(x or "")
-        except ValueError:
-            return False
-        return True
-
-    return text.map(ok).astype(bool)
+HANDLE = "ccr_[a-z0-9]+"
+#: Characters of an original that a retrieval returns at most, unless another limit is given.
+RETRIEVE_LIMIT = 100_000
+KEEP_RANGE = (0.05, 1.0)
+#: A token counter: a column of texts to a column of counts.
+Counter = Callable[[Column], Column]
+
+# ---- fixed values: patterns of content types ----
+_WORD, _END = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+_CALL_FRAME = rf"(?md)^[{SPACE}]*at[{SPACE}]+.+:[0-9]+:[0-9]+"
+_FILE_FRAME = rf'(?md)^[{SPACE}]*File ".*", line [0-9]+'
+_TRACEBACK = "Traceback (most recent call last)"
+_TEST_MARK = rf"[✗✕✘✖✓✔]|{_WORD}PASS{_END}|{_WORD}FAIL(?:ED)?{_END}|{_WORD}not ok [0-9]+|{_WORD}[0-9]+ (?:passing|failing|passed|failed){_END}"
+_RULE_ROW = rf"^[{SPACE}|:.-]*-[{SPACE}|:.-]*$"
+_DELIMITERS = ("\t", "|", ",")
+_LOG_LINE = (
+    f"(?i){_WORD}(?:error|warn|warning|info|debug|trace|fatal|critical){_END}",
+    "[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]",
+    rf"^[{SPACE}]+at[{SPACE}]",
+    r"^\[[0-9]",
+)
+_CODE_MARK = f"[{{}}();]|=>|{_WORD}(?:function|const|let|def|class|import|export|return|public|private|fn|func){_END}"
+# -------------------------------------------------
+
+
+def _is_json(text: Column) -> Column:
+    """Whether a text is strict JSON; null is not. The package is shipped to the workers first."""
+    ship_package(SparkSession.active())
+
+    @F.pandas_udf(BooleanType())
+    def check(texts: pd.Series) -> pd.Series:
+        def ok(x: str | None) -> bool:
+            try:
+                rewriting.parse_json(x or "")
+            except ValueError:
+                return False
+            return True
+
+        return texts.map(ok).astype(bool)
+
+    return check(text)
 
 
 def bound(x: Column, use) -> Column:  # noqa: ANN001
@@ -35,24 +67,40 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def has_delimiter(rows: Column) -> Column:
-    """Whether most rows hold one delimiter equally often.
+def _agreed_count(counts: Column, n_rows: Column) -> Column:
+    """The count that most rows agree on, or null.
 
     A count that six tenths of the counted rows share is the middle one of the sorted counts.
     """
     def agreed(counts: Column) -> Column:
         usual = F.get(counts, F.floor(F.size(counts) / 2).cast("int"))
         agree = F.size(F.filter(counts, lambda n: n == usual))
-        return (F.size(counts) >= F.greatest(F.lit(2.0), F.size(rows) * 0.6)) & (agree >= F.size(counts) * 0.6)
+        return F.when((F.size(counts) >= F.greatest(F.lit(2.0), n_rows * 0.6)) & (agree >= F.size(counts) * 0.6), usual)
+
+    return bound(F.sort_array(counts), agreed)
+
 
+def _delimiter_of(rows: Column) -> Column:
+    """struct(delimiter, columns) of non-blank rows, or null."""
     def counted(plain: Column) -> Column:
-        found = F.lit(False)
-        for mark in ("\t", "|", ","):
-            counts = F.sort_array(F.filter(F.transform(plain, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))), lambda n: n > 0))  # noqa: B023
-            found = found | bound(counts, agreed)
+        found = F.lit(None).cast("struct<delimiter:string,columns:int>")
+        for mark in reversed(_DELIMITERS):
+            counts = F.filter(F.transform(plain, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))), lambda n: n > 0)  # noqa: B023
+            usual = _agreed_count(counts, F.size(rows))
+            found = F.coalesce(F.get(F.transform(F.filter(F.array(usual), lambda n: n.isNotNull()), lambda n: F.struct(F.lit(mark).alias("delimiter"), (n + 1).cast("int").alias("columns"))), F.lit(0)), found)  # noqa: B023
         return found
 
-    return bound(F.filter(rows, lambda x: ~x.rlike(rf"^[{SPACE}|:.-]*-[{SPACE}|:.-]*$")), counted)
+    return bound(F.filter(rows, lambda x: ~x.rlike(_RULE_ROW)), counted)
+
+
+def _full_lines(text: Column) -> Column:
+    return F.filter(lines(text), lambda x: x.rlike(f"[^{SPACE}]"))
+
+
+def pick_delimiter(text: str | Column) -> Column:
+    """struct(delimiter, columns) that most of a text's lines agree on, or null: tab, bar or comma."""
+    c = F.col(text) if isinstance(text, str) else text
+    return bound(_full_lines(c), _delimiter_of)
 
 
 def detect_type(text: str | Column) -> Column:
@@ -67,22 +115,15 @@ def detect_type(text: str | Column) -> Column:
 
 
 def _type_of_trimmed(t: Column) -> Column:
-    word, end = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-    frames = _matches(t, rf"(?md)^[{SPACE}]*at[{SPACE}]+.+:[0-9]+:[0-9]+")
-    files = _matches(t, rf'(?md)^[{SPACE}]*File ".*", line [0-9]+')
-    tests = _matches(t, rf"[✗✕✘✖✓✔]|{word}PASS{end}|{word}FAIL(?:ED)?{end}|{word}not ok [0-9]+|{word}[0-9]+ (?:passing|failing|passed|failed){end}")
-    full = F.filter(lines(t), lambda x: x.rlike(f"[^{SPACE}]"))
-
     def logged(every: Column) -> Column:
-        hit = F.filter(every, lambda x: x.rlike(f"(?i){word}(?:error|warn|warning|info|debug|trace|fatal|critical){end}") | x.rlike("[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]") | x.rlike(rf"^[{SPACE}]+at[{SPACE}]") | x.rlike(r"^\[[0-9]"))
+        hit = F.filter(every, lambda x: reduce(lambda a, b: a | b, (x.rlike(p) for p in _LOG_LINE)))
         return (F.size(every) >= 4) & (F.size(hit) / F.size(every) >= 0.3)
 
-    coded = _matches(t, f"[{{}}();]|=>|{word}(?:function|const|let|def|class|import|export|return|public|private|fn|func){end}")
     return (
-        F.when((frames >= 2) | (files >= 2) | t.contains("Traceback (most recent call last)") | (tests >= 3), "trace")
-        .when(bound(full, lambda rows: (F.size(rows) >= 3) & has_delimiter(rows)), "table")
+        F.when((_matches(t, _CALL_FRAME) >= 2) | (_matches(t, _FILE_FRAME) >= 2) | t.contains(_TRACEBACK) | (_matches(t, _TEST_MARK) >= 3), "trace")
+        .when(bound(_full_lines(t), lambda rows: (F.size(rows) >= 3) & _delimiter_of(rows).isNotNull()), "table")
         .when(bound(lines(t), logged), "log")
-        .when(coded >= F.greatest(F.lit(8.0), F.length(t) / 80), "code")
+        .when(_matches(t, _CODE_MARK) >= F.greatest(F.lit(8.0), F.length(t) / 80), "code")
         .otherwise("prose")
     )
 
@@ -96,9 +137,10 @@ def handle_of(key: str | Column) -> Column:
     return F.concat(F.lit("ccr_"), base36(key))
 
 
-def compress_content(df: DataFrame, text: str = "text", level: str = "safe", kind: str | None = None, keep: float | None = None, key: str | None = None) -> DataFrame:
+def compress_content(df: DataFrame, text: str = "text", level: str = "safe", kind: str | None = None, keep: float | None = None, key: str | None = None, count: Counter = estimate_tokens) -> DataFrame:
     """``df`` with ``type, compressed, original_tokens, compressed_tokens, ratio, saved`` and, with
-    ``key``, a ``handle`` whose marker is appended. Null texts count as empty."""
+    ``key``, a ``handle`` whose marker is appended. Null texts count as empty; ``count`` counts the
+    tokens of a text."""
     if level not in rewriting.LEVELS or kind not in (None, *rewriting.TYPES):
         raise ValueError(f"unknown level or type: {level}, {kind}")
     ship_package(df.sparkSession)
@@ -113,7 +155,7 @@ def compress_content(df: DataFrame, text: str = "text", level: str = "safe", kin
     out = typed.withColumn("compressed", run(source, F.col("type")))
     if key:
         out = out.withColumn("handle", handle_of(key)).withColumn("compressed", F.concat("compressed", F.lit("\n"), marker(F.col("handle"))))
-    out = out.withColumns({"original_tokens": estimate_tokens(source), "compressed_tokens": estimate_tokens("compressed")})
+    out = out.withColumns({"original_tokens": count(source), "compressed_tokens": count(F.col("compressed"))})
     ratio, saved = saving("original_tokens", "compressed_tokens")
     return out.withColumns({"ratio": ratio, "saved": saved})
 
@@ -133,9 +175,50 @@ def retrieve(handles: DataFrame, originals: DataFrame, limit: int | None = None)
     return out.withColumns({"original": F.when(cut, note).otherwise(F.col("original")), "truncated": F.coalesce(cut, F.lit(False))})
 
 
+def compress_tool(calls: DataFrame, key: str, text: str = "content", level: str = "safe", kind: str = "auto", keep: float | None = None, count: Counter = estimate_tokens) -> DataFrame:
+    """The compression tool over a table of calls: as :func:`compress_content`, always with a handle.
+
+    A call without content has an ``error`` and no result; an unknown type or level, or a share to
+    keep outside ``KEEP_RANGE``, is refused for all calls."""
+    if keep is not None and not KEEP_RANGE[0] <= keep <= KEEP_RANGE[1]:
+        raise ValueError(f"keep: from {KEEP_RANGE[0]} to {KEEP_RANGE[1]}")
+    out = compress_content(calls, text, level, None if kind == "auto" else kind, keep, key, count)
+    empty = F.coalesce(F.length(text), F.lit(0)) == 0
+    made = ("type", "compressed", "original_tokens", "compressed_tokens", "ratio", "saved", "handle")
+    return out.withColumns({c: F.when(~empty, F.col(c)) for c in made}).withColumn("error", F.when(empty, "content must not be empty"))
+
+
+def retrieve_tool(calls: DataFrame, originals: DataFrame, limit: int = RETRIEVE_LIMIT) -> DataFrame:
+    """The retrieval tool over a table of calls (``handle``): :func:`retrieve` with an ``error``."""
+    found = retrieve(calls, originals.withColumn("_known", F.lit(True)), limit)
+    error = F.when(~F.coalesce(F.col("handle").rlike(f"^{HANDLE}$"), F.lit(False)), "a handle is ccr_ and letters or digits").when(F.col("_known").isNull(), "unknown handle")
+    return found.withColumn("error", error).drop("_known")
+
+
+def prune_with_model(df: DataFrame, make_scorer: Callable[[], rewriting.Scorer], keep: float = 0.5, text: str = "text") -> DataFrame:
+    """``df`` with ``pruned``: the least predictable share of each text's tokens under a language
+    model. ``make_scorer`` loads the model once in every task. Null texts count as empty."""
+    ship_package(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = make_scorer()
+        for texts in batches:
+            yield texts.map(lambda t: rewriting.prune_by_surprisal(t or "", scorer, keep))
+
+    return df.withColumn("pruned", run(F.coalesce(F.col(text), F.lit(""))))
+
+
+def signal_recall(df: DataFrame, compressed: str, markers: str) -> DataFrame:
+    """``df`` with ``n_markers`` and ``n_surviving``: how many of a row's marker texts (an array) its
+    compressed text still holds."""
+    kept = F.filter(markers, lambda m: F.contains(F.col(compressed), m))
+    return df.withColumns({"n_markers": F.size(markers).cast("bigint"), "n_surviving": F.size(kept).cast("bigint")})
+
+
 def retrieve_all(df: DataFrame, compressed: str, originals: DataFrame, *keys: str) -> DataFrame:
     """The known handles that each text names, once each, with their originals."""
-    named = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(compressed, F.lit(f"«{MARK}:retrieve (ccr_[a-z0-9]+)»"), 1))).alias("handle"))
+    named = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(compressed, F.lit(f"«{MARK}:retrieve ({HANDLE})»"), 1))).alias("handle"))
     return named.join(originals, "handle")
 
 

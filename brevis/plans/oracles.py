@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
+from brevis.functions.rewriting import STOPWORDS
 from brevis.plans.queries import CUSTOMER_TABLES, EVENT_LOGS, EVERY, KEEP
 
 #: Fixed value: white space of the text rules, for RE2.
 _S = r"\t-\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+#: Patterns of the log rules, for RE2 (alternatives in full).
 _ALARM = r"(?i)\b(error|err|fatal|critical|crit|exception|traceback|panic|fail|failed|failure|warn|warning|assert|assertion)\b"
 _STACK = rf"^[{_S}]+at[{_S}]|^[{_S}]+File[{_S}]\"|^Traceback|^[{_S}]+\.\.\."
 _TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.,]+Z?"
-_STOP = (
-    "a an the of to in on at for and or but nor so yet is are was were be been being am it its this that these those with as by from into onto "
-    "than then there here i you he she they we us them him her my your his their our me do does did has have had will would shall can could should "
-    "may might must not no yes just very really quite too also about over under again more most some any all each every"
-)
 
 
 def _trim(x: str) -> str:
@@ -53,7 +50,7 @@ WHEN {codes} >= greatest(8, length(t) / 80) THEN 'code' ELSE 'prose' END AS type
 
 
 def _prose(source: str, key: str, keep: float) -> str:
-    stop = ", ".join(f"'{w}'" for w in _STOP.split())
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS.split())
     return f"""
 WITH s AS ({source}),
 w AS (SELECT {key}, word, pos FROM (SELECT {key}, regexp_extract_all(text, '[^{_S}]+') AS ws FROM s), unnest(ws) WITH ORDINALITY AS u(word, pos)),

@@ -13,7 +13,7 @@ from brevis.functions.providers import OfflineProvider
 from brevis.functions.quantizers import Binary, Int8, Product, Rotation
 from brevis.functions.text import estimate_tokens, saving
 from brevis.operators import content, memory, search
-from brevis.session import ship_package
+from brevis.session import ship_package, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Small memories, as the conversations have eight turns at most.
@@ -24,6 +24,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts, over all cores where it is small."""
+    return spread(_table(spark, sf_dir, name))
+
+
 def _joined(df: DataFrame, key: str, order: str, line: Column, head: str | None = None) -> DataFrame:
     """``key, text``: the lines of every key in order, one text each."""
     ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l"))))
@@ -81,24 +86,24 @@ def _compressed(df: DataFrame, key: str, **how: str | float) -> DataFrame:
 
 
 def tokens_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(estimate_tokens("text")).alias("tokens"))
+    return _texts(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum(estimate_tokens("text")).alias("tokens"))
 
 
 def detect_type_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", content.detect_type("text").alias("type"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", content.detect_type("text").alias("type"))
 
 
 def detect_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [_table(spark, sf_dir, t).select(F.lit(t).alias("table_name"), content.detect_type(c).alias("type")) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
+    parts = [_texts(spark, sf_dir, t).select(F.lit(t).alias("table_name"), content.detect_type(c).alias("type")) for t, c in (("documents", "text"), ("pages", "html"), ("conversations", "text"))]
     return parts[0].union(parts[1]).union(parts[2]).groupBy("table_name", "type").agg(F.count("*").alias("n"))
 
 
 def prose_prune_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compressed(_table(spark, sf_dir, "documents"), "doc_id", kind="prose")
+    return _compressed(_texts(spark, sf_dir, "documents"), "doc_id", kind="prose")
 
 
 def prose_prune_aggr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compressed(_table(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", kind="prose", level="aggressive")
+    return _compressed(_texts(spark, sf_dir, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn")), "id", kind="prose", level="aggressive")
 
 
 def log_compress_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +127,7 @@ def trace_compress_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compressed(_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id", kind="code")
+    return _compressed(_texts(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id", kind="code")
 
 
 def json_compress_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +139,7 @@ def json_compress_aggr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_and_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = content.compress_content(_table(spark, sf_dir, "documents"))
+    d = content.compress_content(_texts(spark, sf_dir, "documents"))
     total = d.groupBy("type").agg(F.count("*").alias("n"), F.sum("original_tokens").alias("tokens_in"), F.sum("compressed_tokens").alias("tokens_out"))
     return total.withColumn("saved", saving("tokens_in", "tokens_out")[1])
 
@@ -163,7 +168,7 @@ def retrieve_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir, "documents")
     calls = content.compress_content(docs.filter(F.col("text").isNotNull()), kind="code")
     return content.session_stats(calls, content.store(docs, "doc_id"))
 
@@ -192,7 +197,7 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series(list(OfflineProvider().embed(list(texts.fillna("")))))
 
-    d = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(embed("text")).alias("dim", "x"))
+    d = _texts(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(embed("text")).alias("dim", "x"))
     return d.filter("x <> 0").select("conv_id", "turn", "dim", _rounded(F.col("x")).alias("x"))
 
 

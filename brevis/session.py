@@ -86,6 +86,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # noqa: SLF001
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it is read from fewer file splits than there are cores. Only tables
+    too small for that are dealt anew; a large one is read as it is."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()  # noqa: SLF001
+    if not is_scan(df) or plan_bytes(df) >= cores * split or len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def staged(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared scratch folder and read it back. Rows are
     parted into folders by the column ``folders``, so that a filter on it reads its own alone.
