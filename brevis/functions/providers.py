@@ -6,6 +6,7 @@ import json
 import math
 import os
 import re
+import time
 import urllib.request
 from typing import Protocol
 
@@ -60,16 +61,25 @@ def bucket(word: str) -> int:
 class HttpProvider:
     """A messages endpoint over HTTP; made once per task. It has no embeddings."""
 
-    def __init__(self, url: str, model: str, key: str | None = None, key_variable: str = "BREVIS_API_KEY"):
+    def __init__(self, url: str, model: str, key: str | None = None, key_variable: str = "BREVIS_API_KEY", timeout: float = 60.0, tries: int = 3, pause: float = 1.0):
         self.url, self.model, self.key = url, model, key or os.environ.get(key_variable)
+        self.timeout, self.tries, self.pause = timeout, tries, pause
         if not self.key:
             raise ValueError(f"give a key or set {key_variable}")
 
     def complete(self, prompt: str, max_tokens: int = 1024) -> str:
         body = {"model": self.model, "max_tokens": max_tokens, "messages": [{"role": "user", "content": prompt}]}
         request = urllib.request.Request(self.url, json.dumps(body).encode(), {"content-type": "application/json", "x-api-key": self.key})
-        with urllib.request.urlopen(request) as reply:  # other than 2xx raises
-            return "".join(part.get("text", "") for part in json.load(reply)["content"] if part.get("type") == "text")
+        for left in range(self.tries - 1, -1, -1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as reply:  # other than 2xx raises
+                    return "".join(part.get("text", "") for part in json.load(reply)["content"] if part.get("type") == "text")
+            except OSError as e:
+                # too many requests, a server's own failure or a lost connection may pass
+                if not left or getattr(e, "code", 500) not in (408, 429) and getattr(e, "code", 500) < 500:
+                    raise
+            time.sleep(self.pause * (self.tries - left))
+        raise AssertionError("unreachable")
 
 
 def distill(transcript: str, provider: Provider) -> list[str]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -60,3 +63,30 @@ def softmax(score: Column, over) -> Column:  # noqa: ANN001
 def kl_term(p: Column, q: Column) -> Column:
     """A row's term of the Kullback-Leibler divergence of p from q."""
     return F.when(p > 0, p * F.ln(p / F.greatest(q, F.lit(1e-12)))).otherwise(0.0)
+
+
+def weighted_sum(df: DataFrame, weight: str, vector: str, *keys: str) -> DataFrame:
+    """``keys, dim, x``: the sum of each group's vectors times their weights, by dimension."""
+    d = df.select(*keys, F.col(weight).alias("_w"), F.posexplode(doubles(vector)).alias("dim", "_x"))
+    return d.groupBy(*keys, "dim").agg(F.sum(F.col("_w") * F.coalesce("_x", F.lit(0.0))).alias("x"))
+
+
+def relative_error(exact: Column, approx: Column) -> Column:
+    """Length of the difference of two vectors over the length of the exact one."""
+    off = F.zip_with(exact, approx, lambda x, y: F.coalesce(y, F.lit(0.0)) - F.coalesce(x, F.lit(0.0)))
+    return F.sqrt(dot(off, off)) / F.sqrt(dot(exact, exact))
+
+
+def uniforms(seed: int) -> Iterator[float]:
+    """Numbers in [0, 1] of a 32-bit linear congruential generator."""
+    state = seed & 0xFFFFFFFF
+    while True:
+        state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
+        yield state / 0xFFFFFFFF
+
+
+def gaussians(seed: int) -> Iterator[float]:
+    """Normal numbers by the Box-Muller transform of :func:`uniforms`, one of a pair."""
+    u = uniforms(seed)
+    for a in u:
+        yield math.sqrt(-2 * math.log(a + 1e-12)) * math.cos(2 * math.pi * next(u))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from brevis.functions.quantizers import Product, Quantizer
 from brevis.functions.vectors import cosine, doubles
 from brevis.session import ship_package, staged
 
-#: Queries that are sent to every task at most; beyond, blocks of queries meet blocks of codes.
+#: Queries that are sent to every task in a round.
 MAX_QUERIES = 4096
 
 
@@ -40,74 +41,100 @@ def encode_vectors(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
     return vectors.select("vec_id", doubles("embedding").alias("v")).mapInArrow(run, "vec_id bigint, code binary")
 
 
-def _best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, stored: np.ndarray, quantizer: Quantizer, size: int) -> pa.RecordBatch:
-    """The ``size`` best codes of every query."""
-    found = []
-    for at in range(0, len(names), 64):
-        scores = quantizer.scores(q[at : at + 64], stored)
-        for name, row in zip(names[at : at + 64], scores, strict=True):
-            best = np.lexsort((ids, -row))[:size]
-            found.append((np.full(len(best), name), ids[best], row[best]))
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found])) for k in range(3)], ["query_id", "vec_id", "approx"])
+#: Codes that are scored at once, and queries.
+SCORED, ASKED = 8192, 64
 
 
 def _stored(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(c, np.uint8) for c in column.to_pylist()])
 
 
-def _packed(rows: DataFrame, ids: str, data: str, name: str) -> DataFrame:
-    """``ids, data`` (staged): one row for every batch of identifiers and codes or query vectors."""
-    of = _stored if rows.schema[data].dataType.typeName() == "binary" else _matrix
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                cells = (b.column(ids).to_numpy().astype(np.int64), of(b.column(data)))
-                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], [ids, data])
-
-    return staged(rows.select(ids, data).mapInArrow(run, f"{ids} binary, {data} binary"), name)
-
-
-def _grid(codes: DataFrame, queries: DataFrame, quantizer: Quantizer, size: int) -> DataFrame:
-    """The best codes of every pair of a block of codes and a block of queries."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in range(len(b)):
-                ids, code, names, q = (b.column(c)[row].as_py() for c in ("vec_id", "code", "query_id", "q"))
-                ids, names = np.frombuffer(ids, np.int64), np.frombuffer(names, np.int64)
-                stored, q = np.frombuffer(code, np.uint8).reshape(len(ids), -1), np.frombuffer(q, np.float64).reshape(len(names), -1)
-                for at in range(0, len(names), 64):
-                    yield _best(names[at : at + 64], q[at : at + 64], ids, stored, quantizer, size)
-
-    pairs = _packed(codes, "vec_id", "code", "search-codes").crossJoin(_packed(queries, "query_id", "q", "search-queries"))
-    return pairs.mapInArrow(run, "query_id bigint, vec_id bigint, approx double")
+class Best:
+    """The ``size`` best codes so far of every query; ties go to the smaller identifier."""
+
+    def __init__(self, n_queries: int, size: int):
+        self.size = size
+        self.ids = [np.zeros(0, np.int64)] * n_queries
+        self.scores = [np.zeros(0)] * n_queries
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(self.ids[q]) == self.size and self.size:
+            # the last one kept is the least
+            worth = np.flatnonzero(scores >= self.scores[q][-1])
+            if not len(worth):
+                return
+            ids, scores = ids[worth], scores[worth]
+        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
+        best = np.lexsort((ids, -scores))[: self.size]
+        self.ids[q], self.scores[q] = ids[best], scores[best]
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        n = [len(x) for x in self.ids]
+        columns = np.repeat(names, n), np.concatenate([*self.ids, np.zeros(0, np.int64)]), np.concatenate([*self.scores, np.zeros(0)])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "approx"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to ``SCORED`` rows or more."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= SCORED:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def query_blocks(queries: DataFrame, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(identifiers, matrix) of all queries in blocks of about ``size``, by the identifier's hash."""
+    queries = queries.select("query_id", doubles("query").alias("q"))
+    n = queries.count()
+    blocks = -(-n // size)
+    if blocks > 1:
+        queries = staged(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "search-queries")
+    for b in range(blocks):
+        asked = (queries.filter(F.col("_block") == b) if blocks > 1 else queries).toArrow()
+        if asked.num_rows:
+            yield asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks())
 
 
 def shortlist(codes: DataFrame, queries: DataFrame, quantizer: Quantizer, size: int) -> DataFrame:
     """``query_id, vec_id, approx, approx_rank``: the best codes of every query.
 
-    Each batch of codes gives its own best ``size``, so at most that many rows per query and
-    batch are shuffled.
+    Queries are sent to the codes, ``MAX_QUERIES`` in a round. A task keeps the best ``size`` of each
+    over all its codes, so at most that many rows per query and partition are shuffled.
     """
     spark = codes.sparkSession
     ship_package(spark)
-    queries = queries.select("query_id", doubles("query").alias("q"))
-    asked = queries.limit(MAX_QUERIES + 1).toArrow()
-    if asked.num_rows <= MAX_QUERIES:
-        shared = spark.sparkContext.broadcast((asked.column("query_id").to_numpy(), _matrix(asked.column("q").combine_chunks()), quantizer))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q, quantizer = shared.value
-            for b in batches:
-                if len(b) and len(names):
-                    yield _best(names, q, b.column("vec_id").to_numpy(), _stored(b.column("code")), quantizer, size)
-
-        local = codes.select("vec_id", "code").mapInArrow(run, "query_id bigint, vec_id bigint, approx double")
-    else:
-        local = _grid(codes, queries, quantizer, size)
+    found = []
+    n = queries.count()
+    if n > MAX_QUERIES:
+        # every round reads the codes again
+        codes = staged(codes.select("vec_id", "code"), "search-codes")
+    for names, q in query_blocks(queries, MAX_QUERIES):
+        shared = spark.sparkContext.broadcast((names, q, quantizer))
+        local = codes.select("vec_id", "code").mapInArrow(_scan(shared, size), "query_id bigint, vec_id bigint, approx double")
+        found.append(staged(local, "search-round") if n > MAX_QUERIES else local)
+    if not found:
+        found = [codes.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("approx")).limit(0)]
     order = Window.partitionBy("query_id").orderBy(F.desc("approx"), "vec_id")
-    return local.withColumn("approx_rank", F.row_number().over(order)).filter(F.col("approx_rank") <= size)
+    return reduce(DataFrame.union, found).withColumn("approx_rank", F.row_number().over(order)).filter(F.col("approx_rank") <= size)
+
+
+def _scan(shared, size: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, quantizer = shared.value
+        best = Best(len(names), size)
+        for t in _gathered(batches):
+            ids, stored = t.column("vec_id").to_numpy(), _stored(t.column("code"))
+            for at in range(0, len(names), ASKED):
+                for k, row in enumerate(quantizer.scores(q[at : at + ASKED], stored)):
+                    best.add(at + k, ids, row)
+        yield best.batch(names)
+
+    return run
 
 
 def rerank(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
@@ -154,3 +181,32 @@ def recall(found: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
 def estimator_bias(estimated: DataFrame) -> DataFrame:
     """Mean signed error, correlation and slope of ``estimate`` on ``actual``."""
     return estimated.agg(F.avg(F.col("estimate") - F.col("actual")).alias("mean_error"), F.corr("estimate", "actual").alias("correlation"), F.regr_slope("estimate", "actual").alias("slope"))
+
+
+def estimator_moments(vectors: DataFrame, queries: DataFrame, quantizer: Quantizer) -> DataFrame:
+    """As :func:`estimator_bias`, of every query's estimated and actual inner products with every
+    vector. A pair is never a row: each task adds up its pairs' moments."""
+    spark = vectors.sparkSession
+    ship_package(spark)
+    names = ["n", "e", "a", "ee", "aa", "ea"]
+    parts = []
+    for _, q in query_blocks(queries, MAX_QUERIES):
+        shared = spark.sparkContext.broadcast((q, quantizer))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            q, quantizer = shared.value
+            total = np.zeros(6)
+            for t in _gathered(batches):
+                x = _matrix(t.column("v").combine_chunks())
+                codes = quantizer.encode(x)
+                for at in range(0, len(q), ASKED):
+                    e, a = quantizer.scores(q[at : at + ASKED], codes).ravel(), (q[at : at + ASKED] @ x.T).ravel()
+                    total += [len(e), e.sum(), a.sum(), e @ e, a @ a, e @ a]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names)
+
+        parts.append(vectors.select(doubles("embedding").alias("v")).mapInArrow(run, ", ".join(f"{c} double" for c in names)))
+    none = spark.range(0).select(*(F.lit(0.0).alias(c) for c in names))
+    total = reduce(DataFrame.union, parts, none).agg(*(F.sum(c).alias(c) for c in names))
+    n, e, a, ee, aa, ea = map(F.col, names)
+    covariance, of_e, of_a = ea - e * a / n, ee - e * e / n, aa - a * a / n
+    return total.select(((e - a) / n).alias("mean_error"), (covariance / F.sqrt(of_e * of_a)).alias("correlation"), (covariance / of_a).alias("slope"))

@@ -317,11 +317,7 @@ def kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tq_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _table(spark, sf_dir, "embeddings")
-    every = vectors.count()
-    found = search.shortlist(search.encode_vectors(vectors, Rotation(3)), _queries(spark, sf_dir), Rotation(3), every)
-    actual = found.join(vectors.select("vec_id", V.doubles("embedding").alias("v")), "vec_id").join(_queries(spark, sf_dir).select("query_id", V.doubles("query").alias("q")), "query_id")
-    return search.estimator_bias(actual.select(F.col("approx").alias("estimate"), V.dot(F.col("q"), F.col("v")).alias("actual")))
+    return search.estimator_moments(_table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), Rotation(3))
 
 
 # ---- streams ----

@@ -124,6 +124,20 @@ def test_any_number_of_queries(spark, data, monkeypatch):
     assert search.exact_top(vectors.limit(0), queries, 10).count() == 0
 
 
+def test_moments_are_those_of_all_pairs(spark, data, monkeypatch):
+    x, _ = data
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:120])], "vec_id bigint, embedding array<double>").repartition(3)
+    queries = vectors.filter("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    q = x[:120:10]
+    e, a = Rotation(3).scores(q, Rotation(3).encode(x[:120])).ravel(), (q @ x[:120].T).ravel()
+    pairs = spark.createDataFrame([(float(u), float(v)) for u, v in zip(e, a, strict=True)], "estimate double, actual double")
+    want = search.estimator_bias(pairs).first()
+    for most in (4096, 5):
+        monkeypatch.setattr(search, "MAX_QUERIES", most)
+        got = search.estimator_moments(vectors, queries, Rotation(3)).first()
+        assert np.allclose(tuple(got), tuple(want), atol=1e-9)
+
+
 def test_product_is_trained_on_all_of_the_table(spark):
     vectors = spark.createDataFrame([(i, [float(i >= 300), 1.0]) for i in range(600)], "vec_id bigint, embedding array<double>")
     book = search.train_product(vectors, Product(1, 2, 4), 100).books[0]
