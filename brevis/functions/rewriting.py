@@ -24,7 +24,7 @@ TYPES = ("json", "log", "code", "prose", "trace", "table")
 # ---- fixed values: word lists and line patterns of the rules ----
 _ALARM = re.compile(r"\b(?:error|err|fatal|critical|crit|exception|traceback|panic|fail(?:ed|ure)?|warn(?:ing)?|assert(?:ion)?)\b", re.I | re.A)
 _STACK = re.compile(rf'^{_S}+at{_S}|^{_S}+File{_S}"|^Traceback|^{_S}+\.\.\.')
-_TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.,]+Z?"
+TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.,]+Z?"
 _NUMBER = re.compile(r"\b[0-9]+(?:\.[0-9]+)?\b", re.A)
 _ODD_ITEM = re.compile(r"error|fail|exception|warn|null|missing|invalid", re.I | re.A)
 _FRAME = re.compile(rf'^{_S}*(?:at{_S}|File{_S}")')
@@ -57,7 +57,7 @@ def _blank(line: str) -> bool:
 
 def log_template(line: str) -> str:
     """A line with times, numbers and hashes named by kind."""
-    for pattern, name in ((_TIME, "<ts>"), (_NUMBER, "<n>"), (r"0x[0-9a-fA-F]+", "<hex>"), (r"(?ai:\b[0-9a-f]{8,}\b)", "<hash>")):
+    for pattern, name in ((TIME, "<ts>"), (_NUMBER, "<n>"), (r"0x[0-9a-fA-F]+", "<hex>"), (r"(?ai:\b[0-9a-f]{8,}\b)", "<hash>")):
         line = re.sub(pattern, name, line)
     return line
 
@@ -76,7 +76,7 @@ def rewrite_log(text: str, level: str = "safe") -> str:
     for i in routine:
         times[first.setdefault(log_template(lines[i]), i)] += 1
     for i, n in times.items():
-        general = _NUMBER.sub("#", re.sub(rf"^{_S}*{_TIME}{_S}*", "", lines[i]))
+        general = _NUMBER.sub("#", re.sub(rf"^{_S}*{TIME}{_S}*", "", lines[i]))
         kept[i] = lines[i] if n == 1 else f"{n}× {general}"
     return "\n".join(kept[i] for i in sorted(kept))
 

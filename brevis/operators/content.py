@@ -128,6 +128,15 @@ def _type_of_trimmed(t: Column) -> Column:
     )
 
 
+def log_template(line: str | Column) -> Column:
+    """A log line with times, numbers and hashes named by kind."""
+    c = F.col(line) if isinstance(line, str) else line
+    number, word = rf"{_WORD}[0-9]+(?:\.[0-9]+)?{_END}", rf"(?i){_WORD}[0-9a-f]{{8,}}{_END}"
+    for pattern, name in ((rewriting.TIME, "<ts>"), (number, "<n>"), ("0x[0-9a-fA-F]+", "<hex>"), (word, "<hash>")):
+        c = F.regexp_replace(c, pattern, name)
+    return c
+
+
 def marker(handle: Column, name: str = MARK) -> Column:
     return F.concat(F.lit(f"«{name}:retrieve "), handle, F.lit("»"))
 

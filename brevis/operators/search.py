@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brevis.functions.quantizers import Product, Quantizer
-from brevis.functions.vectors import cosine, doubles
+from brevis.functions.vectors import cosine, doubles, relative_error
 from brevis.session import ship_package, staged
 
 #: Queries that are sent to every task in a round.
@@ -149,6 +149,21 @@ def search_with_rerank(vectors: DataFrame, queries: DataFrame, quantizer: Quanti
     return rerank(shortlist(encode_vectors(vectors, quantizer), queries, quantizer, size), queries, vectors, k)
 
 
+def round_trip(vectors: DataFrame, quantizer) -> DataFrame:  # noqa: ANN001
+    """One row: mean cosine and mean relative error of decoded vectors against their originals."""
+    ship_package(vectors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column("v"))
+            if len(x):
+                back = quantizer.decode(quantizer.encode(x), x.shape[1]).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(x.tolist()), pa.array(back.tolist())], ["v", "back"])
+
+    decoded = vectors.select(doubles("embedding").alias("v")).mapInArrow(run, "v array<double>, back array<double>")
+    return decoded.agg(F.avg(cosine(F.col("v"), F.col("back"))).alias("cosine"), F.avg(relative_error(F.col("v"), F.col("back"))).alias("error"))
+
+
 class Plain:
     """Vectors as they are, in double precision; scores are exact cosines."""
 

@@ -87,6 +87,29 @@ o AS (SELECT user_id, string_agg(line, chr(10) ORDER BY pos) AS compressed FROM
     return f"{base}{rest} SELECT o.user_id, 'log' AS type, compressed, {_tokens('text')} AS original_tokens, {_tokens('compressed')} AS compressed_tokens FROM o JOIN s ON o.user_id = s.user_id"
 
 
+def _templates() -> str:
+    number = r"\b[0-9]+(\.[0-9]+)?\b"
+    template = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '{_TIME}', '<ts>', 'g'), '{number}', '<n>', 'g'), '0x[0-9a-fA-F]+', '<hex>', 'g'), '(?i)\\b[0-9a-f]{{8,}}\\b', '<hash>', 'g')"
+    return f"SELECT user_id, {template} AS template, count(*) AS n FROM (SELECT user_id, unnest(string_split(text, chr(10))) AS line FROM ({EVENT_LOGS})) GROUP BY ALL"
+
+
+def _delimiters() -> str:
+    marks = (("d1", "chr(9)"), ("d2", "'|'"), ("d3", "','"))
+    counts = ", ".join(f"list_filter(list_transform(r, lambda x: length(x) - length(replace(x, {m}, ''))), lambda n: n > 0) AS {d}" for d, m in marks)
+    fits = lambda d: f"len({d}) >= greatest(2, 0.6 * len(f)) AND len(list_filter({d}, lambda n: n = list_aggregate({d}, 'mode'))) >= 0.6 * len({d})"
+    return f"""WITH c AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^{_S}]')) AS f FROM documents),
+d AS (SELECT *, list_filter(f, lambda x: NOT regexp_matches(x, '^[{_S}|:.-]*-[{_S}|:.-]*$')) AS r FROM c), e AS (SELECT *, {counts} FROM d)
+SELECT doc_id, CASE {" ".join(f"WHEN {fits(d)} THEN {m}" for d, m in marks)} ELSE 'none' END AS delimiter,
+ CAST(CASE {" ".join(f"WHEN {fits(d)} THEN list_aggregate({d}, 'mode') + 1" for d, _ in marks)} ELSE 0 END AS INTEGER) AS n_columns FROM e"""
+
+
+def _json_counts() -> str:
+    """Two items, up to three odd ones of the rest; arrays of three items or fewer are shown whole."""
+    return """WITH i AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, regexp_matches(event_type, '(?i)error|fail|exception|warn|null|missing|invalid') AS odd FROM events),
+c AS (SELECT user_id, count(*) AS n, least(3, count(*) FILTER (WHERE odd AND pos > 2)) AS extra FROM i GROUP BY user_id)
+SELECT user_id, CASE WHEN n <= 3 THEN n ELSE 2 + extra END AS n_shown, CASE WHEN n <= 3 THEN 0 ELSE n - 2 - extra END AS n_hidden FROM c"""
+
+
 def _tables(shown: int) -> str:
     odd = rf"(?i)\b(error|null|nan|none|missing|undefined|fail|failed|invalid|timeout)\b|,,|\|[{_S}]*\||^[{_S}]*,|,[{_S}]*$"
     return f"""WITH s AS ({CUSTOMER_TABLES}),
@@ -129,6 +152,57 @@ f AS (SELECT *, {_trim(f"regexp_replace(x, '(?i)^(user|assistant)[{_S}]*:[{_S}]*
 SELECT conv_id, block, start, stop, coalesce(string_agg(fact, chr(10) ORDER BY place) FILTER (WHERE fact <> ''), '') AS facts FROM f GROUP BY conv_id, block, start, stop"""
 
 
+#: Texts ``fact`` of ``source`` in order ``i`` from 1 in each conversation, folded: ``keep`` and all words kept.
+def _greedy_unlike(source: str) -> str:
+    like = "len(list_intersect(k, w.ws)) > 0 AND CAST(len(list_intersect(k, w.ws)) AS DOUBLE) / (len(k) + len(w.ws) - len(list_intersect(k, w.ws))) >= CAST(0.8 AS DOUBLE)"
+    return f"""l AS ({source}),
+w AS (SELECT *, list_distinct(regexp_extract_all(lower(fact), '[a-z0-9_]+')) AS ws FROM l),
+g AS (SELECT conv_id, i, fact, [ws] AS held, true AS keep FROM w WHERE i = 1
+ UNION ALL SELECT conv_id, i, fact, CASE WHEN alike THEN held ELSE list_append(held, ws) END, NOT alike FROM (
+ SELECT w.conv_id, w.i, w.fact, w.ws, g.held, len(list_filter(g.held, lambda k: {like})) > 0 AS alike FROM g JOIN w ON w.conv_id = g.conv_id AND w.i = g.i + 1))"""
+
+
+_MEMORY_FACTS = "SELECT conv_id, fact, row_number() OVER (PARTITION BY conv_id ORDER BY block, pos) AS i FROM (SELECT conv_id, block, string_split(facts, chr(10)) AS fs FROM b WHERE facts <> ''), unnest(fs) WITH ORDINALITY AS u(fact, pos)"
+
+
+def _memory() -> str:
+    return f"""WITH RECURSIVE b AS ({_facts()}), {_greedy_unlike(_MEMORY_FACTS)},
+k AS (SELECT conv_id, string_agg(fact, '|' ORDER BY i) AS facts FROM g WHERE keep GROUP BY conv_id)
+SELECT p.conv_id, CAST(count(*) FILTER (WHERE block IS NULL) AS INTEGER) AS n_recent, coalesce(any_value(k.facts), '') AS facts, CAST(sum({_tokens("text")}) AS BIGINT) AS raw_tokens, count(*) AS ingested
+FROM ({_SCHEDULE}) p LEFT JOIN k ON k.conv_id = p.conv_id GROUP BY p.conv_id"""
+
+
+def _context(budget: int, system: str) -> str:
+    own = -(-len(system) // 4)
+    return f"""WITH RECURSIVE b AS ({_facts()}), {_greedy_unlike(_MEMORY_FACTS)},
+s AS ({_SCHEDULE}),
+m AS (SELECT conv_id, role, text, {_tokens("text")} AS cost, position, row_number() OVER (PARTITION BY conv_id ORDER BY position DESC) AS j FROM s WHERE block IS NULL),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS j, CAST({budget - own} AS BIGINT) AS room FROM (SELECT DISTINCT conv_id FROM s)
+ UNION ALL SELECT r.conv_id, r.j + 1, CASE WHEN cost <= room THEN room - cost ELSE room END FROM r JOIN m ON m.conv_id = r.conv_id AND m.j = r.j + 1),
+t AS (SELECT m.*, old.room AS room FROM m JOIN r old ON old.conv_id = m.conv_id AND old.j = m.j - 1 WHERE cost <= old.room),
+e AS (SELECT conv_id, min(room) AS room FROM r GROUP BY conv_id),
+n AS (SELECT conv_id, fact, {_tokens("fact")} + 2 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS i FROM g WHERE keep),
+f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, room, CAST([] AS VARCHAR[]) AS taken FROM e
+ UNION ALL SELECT f.conv_id, f.i + 1, CASE WHEN cost <= room THEN room - cost ELSE room END, CASE WHEN cost <= room THEN list_append(taken, fact) ELSE taken END FROM f JOIN n ON n.conv_id = f.conv_id AND n.i = f.i + 1),
+z AS (SELECT conv_id, arg_max(taken, i) AS taken FROM f GROUP BY conv_id),
+y AS (SELECT conv_id, taken, 'Relevant memory:' || chr(10) || '- ' || array_to_string(taken, chr(10) || '- ') AS block FROM z),
+c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY position) AS talk, sum(cost) AS cost, count(*) AS n FROM t GROUP BY conv_id),
+a AS (SELECT conv_id, sum({_tokens("text")}) AS raw_tokens, count(*) FILTER (WHERE block IS NULL) AS raw_messages FROM s GROUP BY conv_id),
+o AS (SELECT y.conv_id, concat_ws(chr(10), CASE WHEN len(taken) > 0 THEN 'system: ' || y.block END, 'system: {system}', talk) AS messages, CAST(raw_tokens AS BIGINT) AS raw_tokens,
+ CAST({own} + coalesce(c.cost, 0) + CASE WHEN len(taken) > 0 THEN {_tokens("y.block")} ELSE 0 END AS BIGINT) AS packed_tokens, CAST(raw_messages AS INTEGER) AS raw_messages,
+ CAST(1 + coalesce(c.n, 0) + CASE WHEN len(taken) > 0 THEN 1 ELSE 0 END AS INTEGER) AS packed_messages, CAST(len(taken) AS INTEGER) AS memories_used FROM y JOIN a ON a.conv_id = y.conv_id LEFT JOIN c ON c.conv_id = y.conv_id)
+SELECT *, CASE WHEN packed_tokens > 0 THEN floor(raw_tokens / CAST(packed_tokens AS DOUBLE) * 100 + 0.5) / 100 ELSE 1 END AS ratio FROM o"""
+
+
+def _complete() -> str:
+    signal = r"(?i)\b(want|need|prefer|must|should|decided|use|is|are|named|called|because|so that|goal)\b"
+    return f"""WITH b AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '(?s)^.*---', '') AS t FROM conversations),
+y AS (SELECT conv_id, turn, {_trim("part")} AS x, pos FROM (SELECT *, string_split(regexp_replace(t, '([.!?])[{_S}]+', '\\1' || chr(10), 'g'), chr(10)) AS parts FROM b), unnest(parts) WITH ORDINALITY AS u(part, pos)),
+z AS (SELECT *, count(*) OVER (PARTITION BY conv_id, turn) AS n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY CASE WHEN regexp_matches(x, '{signal}') THEN 5 ELSE 0 END + least(length(x) / CAST(40 AS DOUBLE), 4) DESC, pos) AS place FROM y WHERE x <> ''),
+f AS (SELECT conv_id, turn, string_agg('- ' || regexp_replace(x, '(?i)^(user|assistant)[{_S}]*:[{_S}]*', ''), chr(10) ORDER BY place) AS completion FROM z WHERE place <= greatest(1, ceil(n / 4.0)) GROUP BY conv_id, turn)
+SELECT b.conv_id, b.turn, coalesce(completion, '') AS completion FROM b LEFT JOIN f ON f.conv_id = b.conv_id AND f.turn = b.turn"""
+
+
 def _recent(budget: int) -> str:
     return f"""WITH RECURSIVE m AS (SELECT conv_id, {_tokens("text")} AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations),
 f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST({budget} AS BIGINT) AS room, 0 AS taken FROM (SELECT DISTINCT conv_id FROM m)
@@ -146,6 +220,13 @@ b AS (SELECT conv_id, turn, CAST((CASE WHEN h < 2147483648 THEN h ELSE 429496729
 SELECT conv_id, turn, dim, CAST(floor(n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)) * 1e6 + 0.5) AS BIGINT) AS x FROM b"""
 
 
+def _aggressive_code(text: str) -> str:
+    for pattern, by in [("/\\*[\\s\\S]*?\\*/", ""), ("([^:\"''`])//[^\\n]*", "\\1"), (f"(?m)^[{_S}]*#[^\\n]*$", ""), ("(?m)[ \\t]+$", ""), (f"(?m)^[{_S}]*\\n", "")]:
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    half = "repeat(' ', CAST(ceil((length(x) - length(ltrim(x, ' ' || chr(9)))) / 2.0) AS INTEGER)) || ltrim(x, ' ' || chr(9))"
+    return _trim(f"array_to_string(list_transform(string_split({text}, chr(10)), lambda x: {half}), chr(10))")
+
+
 def _code(text: str) -> str:
     steps = [("/\\*[\\s\\S]*?\\*/", ""), ("([^:\"''`])//[^\\n]*", "\\1"), (f"(?m)^[{_S}]*#[^\\n]*$", ""), ("(?m)[ \\t]+$", ""), ("\\n{3,}", "\n\n"), (f"^[{_S}]+|[{_S}]+$", "")]
     for pattern, by in steps:
@@ -173,6 +254,30 @@ _SCORES = f"""WITH e AS (SELECT vec_id, label, {_V} AS v FROM embeddings), f AS
 s AS (SELECT e.label, vec_id, {_DOT.format("f.q", "e.v")} AS score FROM e JOIN f ON e.label = f.label)"""
 
 
+def _rerank(score: str, shortlist: int, k: int) -> str:
+    return f"""WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, {score} AS approx, {_COSINE} AS score FROM e q, e WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY approx DESC, vec_id) AS place FROM s),
+t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) AS INTEGER) AS rank FROM r WHERE place <= {shortlist})
+SELECT query_id, rank, vec_id, CAST(floor(score * 1e6 + 0.5) AS BIGINT) AS score FROM t WHERE rank <= {k}"""
+
+
+_INT8_SCORE = _DOT.format("q.v", "list_transform(" + _INT8.format("e.v") + ", lambda y: y / 127)")
+#: Scores of every label's vectors against its first, exact and with 8-bit codes, and the codes' values.
+_ATTENTION = f"""WITH e AS (SELECT vec_id, label, {_V} AS v FROM embeddings), f AS (SELECT label, arg_min(v, vec_id) AS q FROM e GROUP BY label),
+c AS (SELECT e.label, vec_id, v, list_transform({_INT8.format("v")}, lambda y: CAST(y AS DOUBLE) / 127) AS u, f.q FROM e JOIN f ON e.label = f.label),
+s AS (SELECT label, vec_id, v, u, {_DOT.format("q", "v")} AS a, {_DOT.format("q", "u")} AS b FROM c),
+w AS (SELECT label, v, u, exp(a) / sum(exp(a)) OVER (PARTITION BY label) AS p, exp(b) / sum(exp(b)) OVER (PARTITION BY label) AS r FROM s),
+o AS (SELECT label, CAST(dim - 1 AS INTEGER) AS dim, sum(p * x) AS x, sum(r * u[dim]) AS y FROM (SELECT label, p, r, u, x, dim FROM w, unnest(v) WITH ORDINALITY AS t(x, dim)) GROUP BY label, dim)"""
+
+
+def _parts_sql() -> str:
+    """``query_id, vec_id, place`` for the exact and two approximate scores."""
+    every = ", ".join(f"row_number() OVER (PARTITION BY query_id ORDER BY s_{c} DESC, vec_id) AS r_{c}" for c in ("exact", "int8", "binary"))
+    shares = " UNION ALL ".join(f"SELECT '{c}' AS quantizer, CAST(floor(avg(hits) * 1e5 + 0.5) AS BIGINT) AS recall FROM (SELECT query_id, count(*) FILTER (WHERE r_{c} <= 10) AS hits FROM r WHERE r_exact <= 10 GROUP BY query_id)" for c in ("int8", "binary"))
+    return f"""WITH e AS (SELECT vec_id, {_V} AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COSINE} AS s_exact, {_INT8_SCORE} AS s_int8, {_AGREE} AS s_binary FROM e q, e WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, vec_id, {every} FROM s) {shares}"""
+
+
 def oracle_sql() -> dict[str, str]:
     docs_type = _detect("documents", "doc_id", "text")
     size = EVERY + 1
@@ -197,6 +302,23 @@ def oracle_sql() -> dict[str, str]:
         "retrieve_truncated": f"SELECT p.doc_id, {_HANDLE} AS handle, coalesce(CAST(length(d.text) AS INTEGER), -1) AS length, coalesce(length(d.text) > 2000, false) AS truncated, coalesce(CAST(CASE WHEN length(d.text) > 2000 THEN length(substr(d.text, 1, 2000) || chr(10) || '… truncated, ' || length(d.text) || ' characters in all') ELSE length(d.text) END AS INTEGER), -1) AS returned FROM (SELECT doc_id, doc_id + 1 AS k FROM documents) p LEFT JOIN documents d ON d.doc_id = p.k",
         "session_stats": f"WITH c AS (SELECT {_tokens('text')} AS a, {_tokens(_code('text'))} AS b FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS calls, CAST(sum(a) AS BIGINT) AS tokens_in, CAST(sum(b) AS BIGINT) AS tokens_out FROM c) SELECT *, tokens_in - tokens_out AS tokens_saved, {_saved('tokens_in', 'tokens_out')} AS saved, (SELECT count(*) FROM documents) AS stored FROM t",
         "memory_flush_schedule": f"WITH p AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, position, CASE WHEN position // {size} < greatest(0, (n - {KEEP}) // {size}) THEN CAST(position // {size} AS BIGINT) ELSE -1 END AS block FROM p",
+        "memory_state": _memory(),
+        "memory_in_parts": _memory(),
+        "stream_ingest": _memory(),
+        "pack_context": _context(120, "Answer briefly."),
+        "offline_complete": _complete(),
+        "dedupe_facts": f"WITH RECURSIVE {_greedy_unlike('SELECT conv_id, turn, text AS fact, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations')} SELECT l.conv_id, l.turn FROM g JOIN l ON l.conv_id = g.conv_id AND l.i = g.i WHERE keep",
+        "trace_compress_aggr": _traces(),
+        "code_compress_aggr": f"SELECT page_id, 'code' AS type, compressed, {_tokens('html')} AS original_tokens, {_tokens('compressed')} AS compressed_tokens FROM (SELECT page_id, html, {_aggressive_code('html')} AS compressed FROM pages)",
+        "log_templates": _templates(),
+        "pick_delimiter": _delimiters(),
+        "signal_recall": "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n_markers, count(*) FILTER (WHERE event_type = 'error') AS n_surviving FROM events GROUP BY user_id",
+        "json_counts": _json_counts(),
+        "stream_stats": f"SELECT count(*) AS calls, CAST(sum({_tokens('text')}) AS BIGINT) AS tokens_in, CAST(sum({_tokens(_code('text'))}) AS BIGINT) AS tokens_out FROM conversations",
+        "rerank_binary": _rerank(_AGREE, 64, 10),
+        "recall_int8_binary": _parts_sql(),
+        "attention_output": f"{_ATTENTION} SELECT label, dim, CAST(floor(x * 1e6 + 0.5) AS BIGINT) AS x FROM o",
+        "attention_error": f"{_ATTENTION} SELECT label, CAST(floor(sqrt(sum((y - x) * (y - x))) / sqrt(sum(x * x)) * 1e6 + 0.5) AS BIGINT) AS error, CAST(floor(sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) * 1e6 + 0.5) AS BIGINT) AS cosine FROM o GROUP BY label",
         "cosine_topk": _top(_COSINE, 5),
         "int8_encode": f"SELECT vec_id, array_to_string(list_transform({_INT8.format(_V)}, lambda x: CAST(x AS INTEGER)), ',') AS codes FROM embeddings",
         "binary_encode": f"SELECT vec_id, array_to_string({_SIGNS.format(_V)}, '') AS bits FROM embeddings",

@@ -13,7 +13,7 @@ from brevis.functions.providers import OfflineProvider
 from brevis.functions.quantizers import Binary, Int8, Product, Rotation
 from brevis.functions.text import estimate_tokens, saving
 from brevis.operators import content, memory, search
-from brevis.session import ship_package, spread
+from brevis.session import ship_package, spread, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Small memories, as the conversations have eight turns at most.
@@ -130,6 +130,39 @@ def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compressed(_texts(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id", kind="code")
 
 
+def trace_compress_aggr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compressed(event_traces(spark, sf_dir), "user_id", kind="trace", level="aggressive")
+
+
+def code_compress_aggr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _compressed(_texts(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), "page_id", kind="code", level="aggressive")
+
+
+def log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each template of a user's log lines occurs."""
+    lines = event_logs(spark, sf_dir).select("user_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("user_id", content.log_template("line").alias("template")).agg(F.count("*").alias("n"))
+
+
+def pick_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _texts(spark, sf_dir, "documents").select("doc_id", content.pick_delimiter("text").alias("d"))
+    return found.select("doc_id", F.coalesce("d.delimiter", F.lit("none")).alias("delimiter"), F.coalesce("d.columns", F.lit(0)).alias("n_columns"))
+
+
+def signal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the error lines of each user's log, those that the compressed log still holds."""
+    logs = event_logs(spark, sf_dir).withColumn("markers", F.filter(F.split("text", "\n"), lambda x: F.contains(x, F.lit(" ERROR "))))
+    return content.signal_recall(content.compress_content(logs, kind="log", level="aggressive"), "compressed", "markers").select("user_id", "n_markers", "n_surviving")
+
+
+def json_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that a compressed array shows and those that its note counts."""
+    d = content.compress_content(event_json(spark, sf_dir), kind="json")
+    shown = F.regexp_count("compressed", F.lit('"event_id":')).cast("bigint")
+    hidden = F.coalesce(F.regexp_extract("compressed", "…\\(([0-9]+) more similar items\\)", 1).try_cast("bigint"), F.lit(0))
+    return d.select("user_id", shown.alias("n_shown"), hidden.alias("n_hidden"))
+
+
 def json_compress_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compressed(event_json(spark, sf_dir), "user_id", kind="json")
 
@@ -190,6 +223,21 @@ def distill_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("conv_id", "block", "start", "stop", F.array_join("facts", "\n").alias("facts"))
 
 
+def offline_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+
+    @F.pandas_udf("string")
+    def complete(prompts: pd.Series) -> pd.Series:
+        return prompts.fillna("").map(OfflineProvider().complete)
+
+    return _texts(spark, sf_dir, "conversations").select("conv_id", "turn", complete("text").alias("completion"))
+
+
+def dedupe_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of each conversation that are unlike those kept before them."""
+    return memory.dedupe_facts(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn").select("conv_id", "turn")
+
+
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
 
@@ -251,6 +299,20 @@ def _short(spark: SparkSession, sf_dir: str, quantizer, size: int = 10) -> DataF
     return found.select("query_id", F.col("approx_rank").alias("rank"), "vec_id", _rounded(F.col("approx")).alias("score"))
 
 
+def pq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search.encode_vectors(vectors, search.train_product(vectors, Product(16, 64))).select("vec_id", F.hex("code").alias("code"))
+
+
+def tq_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.encode_vectors(_table(spark, sf_dir, "embeddings"), Rotation(3)).select("vec_id", F.hex("code").alias("code"))
+
+
+def value_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean cosine and relative error of vectors that were coded by rotation and decoded again."""
+    return search.round_trip(_table(spark, sf_dir, "embeddings"), Rotation(3))
+
+
 def int8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _short(spark, sf_dir, Int8())
 
@@ -296,6 +358,12 @@ def recall_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def recall_int8_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    truth = search.exact_top(_table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10)
+    parts = [search.recall(_short(spark, sf_dir, q), truth).agg(_rounded(F.avg("recall")).alias("recall")).select(F.lit(q.name).alias("quantizer"), "recall") for q in (Int8(), Binary())]
+    return parts[0].union(parts[1])
+
+
 def _labelled_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inner products of the first vector of every label with the vectors of that label."""
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("v"))
@@ -316,6 +384,25 @@ def kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("label").agg(_rounded(F.sum(V.kl_term(F.col("p"), F.col("q")))).alias("kl"))
 
 
+def attention_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's vectors weighed by the softmax of their scores, by dimension."""
+    d = _labelled_scores(spark, sf_dir).withColumn("p", V.softmax(F.col("score"), Window.partitionBy("label")))
+    return V.weighted_sum(d, "p", "v", "label").select("label", "dim", _rounded(F.col("x")).alias("x"))
+
+
+def attention_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relative error and cosine of attention over 8-bit keys and values against exact ones."""
+    w = Window.partitionBy("label")
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", "label", V.doubles("embedding").alias("v"))
+    d = e.join(e.groupBy("label").agg(F.min_by("v", "vec_id").alias("q")), "label")
+    coded = F.transform(V.int8_codes(F.col("v")), lambda c: c / F.lit(127.0))
+    d = d.withColumn("u", coded).withColumns({"p": V.softmax(V.dot(F.col("q"), F.col("v")), w), "r": V.softmax(V.dot(F.col("q"), F.col("u")), w)})
+    exact, approx = V.weighted_sum(d, "p", "v", "label"), V.weighted_sum(d, "r", "u", "label").withColumnRenamed("x", "y")
+    both = exact.join(approx, ["label", "dim"]).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("dim", "x", "y"))).alias("o"))
+    x, y = F.col("o.x"), F.col("o.y")
+    return both.select("label", _rounded(V.relative_error(x, y)).alias("error"), _rounded(V.cosine(x, y)).alias("cosine"))
+
+
 def tq_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.estimator_moments(_table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), Rotation(3))
 
@@ -333,6 +420,23 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.withColumn("s", facts).select("conv_id", "n_recent", F.array_join("s.memories.text", "|").alias("facts"), "s.raw_tokens", "ingested")
 
 
+def stream_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of a stream of compressed messages, after the last batch."""
+    from brevis.streaming import ingest
+
+    schema = _table(spark, sf_dir, "conversations").schema
+    messages = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/conversations.parquet*")
+    return ingest.drain_counters(content.compress_content(messages, kind="code"))
+
+
+def memory_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of all conversations where their first three turns were taken in before the rest."""
+    turns = _table(spark, sf_dir, "conversations")
+    first = staged(memory.memory_state(turns.filter("turn < 3"), KEEP, EVERY), "memory-first")
+    state = memory.memory_state(turns.filter("turn >= 3"), KEEP, EVERY, before=first)
+    return state.select("conv_id", F.size("recent").alias("n_recent"), F.array_join("memories.text", "|").alias("facts"), "raw_tokens", "ingested")
+
+
 def queries() -> dict[str, Query]:
     own = (
         tokens_by_lang, detect_type_docs, detect_type_counts, prose_prune_safe, prose_prune_aggr, log_compress_safe, log_compress_aggr,
@@ -340,5 +444,7 @@ def queries() -> dict[str, Query]:
         ccr_roundtrip, ccr_retrieve_all, retrieve_truncated, session_stats, memory_flush_schedule, memory_state, distill_facts, hash_embed,
         pack_recent, pack_context, pack_ranked, cosine_topk, int8_encode, binary_encode, int8_topk, binary_topk, pq_topk, tq_topk,
         rerank_binary, pq_rerank, tq_rerank, recall_at_10, attention_softmax, kl_divergence, tq_bias, stream_ingest,
+        trace_compress_aggr, code_compress_aggr, log_templates, pick_delimiter, signal_recall, json_counts, offline_complete, dedupe_facts, pq_encode, tq_encode,
+        value_round_trip, recall_int8_binary, attention_output, attention_error, stream_stats, memory_in_parts,
     )
     return {f.__name__: f for f in own}

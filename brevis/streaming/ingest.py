@@ -61,12 +61,22 @@ def append_store(originals: DataFrame, path: str, checkpoint: str):  # noqa: ANN
     return originals.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
 
 
-def drain(stream: DataFrame, key: str, newest: str, name: str) -> DataFrame:
-    """Run an update-mode stream over what is there and return the newest row of each key."""
+def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """All rows that a stream writes while it runs over what is there."""
     spark = stream.sparkSession
-    first = staged(spark.createDataFrame([], stream.schema), name)
-    path = first._brevis_path  # noqa: SLF001
+    path = staged(spark.createDataFrame([], stream.schema), name)._brevis_path  # noqa: SLF001
     write = lambda batch, _: batch.write.mode("append").parquet(path)
-    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+def drain(stream: DataFrame, key: str, newest: str, name: str) -> DataFrame:
+    """Run an update-mode stream over what is there and return the newest row of each key."""
     order = Window.partitionBy(key).orderBy(F.desc(newest))
-    return spark.read.schema(stream.schema).parquet(path).withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    return _drained(stream, name, "update").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+
+
+def drain_counters(calls: DataFrame, name: str = "counters") -> DataFrame:
+    """The last running totals of a stream of compression results; zeros if there was none."""
+    found = _drained(session_counters(calls), name, "complete")
+    return found.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in found.columns))
