@@ -1,43 +1,43 @@
 """Exact top-k search by columnar branch and bound.
 
-Vectors become whole numbers and are stored in blocks in vertical layout, one row per dimension.
-A block of queries meets a block of candidates; scores are accumulated a few dimensions at a time,
-those of most energy first. After each step the rest of a score lies within the product of the
-remaining lengths of query and candidate (Cauchy-Schwarz); candidates whose upper bound is below
-the k-th best lower bound are dropped and the others compacted.
-
-The grid of blocks is an equi-join of block rows, each block sent once for every block of the
-other side; a task holds one block of either side. The k best of every pair of blocks are merged
-per query, k rows at a time.
+Vectors become whole numbers. Queries are sent to the candidates, ``QUERY_BLOCK`` in a round, and
+candidates stay where they are: a task puts its own into blocks in vertical layout, one row per
+dimension. Scores are accumulated a few dimensions at a time, those of most energy first. After each
+step the rest of a score lies within the product of the remaining lengths of query and candidate
+(Cauchy-Schwarz); candidates whose upper bound is below the k-th best lower bound, or below the k-th
+best score that the task has seen in earlier blocks, are dropped and the others compacted. A task
+gives the k best of every query over all its blocks, and these are merged per query.
 
 Defined results: vectors that are null or hold null or non-finite components take no part; a
 shorter vector is continued with zeros; with fewer candidates than k all are returned. Several
 rows of one query identifier are one query (any of them); candidates of the query's own identifier
-are left out, other repeated candidate rows count each. Components beyond 2**40 units are out of
-range and clipped to it; scores beyond 63 bits are clipped as well.
+are left out, other repeated candidate rows count each. Scores are exact: a component beyond 2**62
+units or a score beyond 63 bits, which no result column could hold, is refused with an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brevis.session import ship_package, staged
+from brevis.session import drop_staged, ship_package, staged
 
 UNITS = 256
 CANDIDATE_BLOCK = 8192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 16384
 STEP = 8
-_LIMIT = 1 << 40
+_LIMIT = 1 << 62
 
 
 def whole_numbers(vector: str) -> Column:
     """``floor(256 * x)`` of every component."""
-    return F.transform(vector, lambda x: F.greatest(F.lit(-_LIMIT), F.least(F.lit(_LIMIT), F.floor(UNITS * x.cast("double")))).cast("bigint"))
+    refused = F.raise_error(F.lit(f"a vector component is beyond {_LIMIT} / {UNITS}")).cast("bigint")
+    return F.transform(vector, lambda x: F.when(F.abs(UNITS * x.cast("double")) < float(_LIMIT), F.floor(UNITS * x.cast("double")).cast("bigint")).otherwise(refused))
 
 
 def usable(vector: str) -> Column:
@@ -45,28 +45,24 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All rows of a partition as one block: identifiers, and components by dimension."""
-    held = [b for b in batches if len(b)]
-    if not held:
-        return
-    ids = np.concatenate([b.column("vec_id").to_numpy() for b in held])
-    lists = [x for b in held for x in b.column("v").to_pylist()]
-    width = max(map(len, lists))
-    x = np.zeros((width, len(ids)), np.int64)
-    for i, v in enumerate(lists):
-        x[: len(v), i] = v
-    yield pa.RecordBatch.from_arrays([held[0].column("block").slice(0, 1), pa.array([width]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["block", "width", "ids", "x"])
-
-
-def _blocks(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    n = max(1, -(-vectors.count() // size))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
-    return staged(dealt.repartitionById(n, "block").mapInArrow(_pack, "block int, width bigint, ids binary, x binary"), name), n
+def vertical(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
+    """Vectors as columns, one row per dimension; shorter ones end in zeros."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = column.flatten().to_numpy()
+    width = int(sizes.max(initial=0))
+    if (sizes == width).all():
+        return np.ascontiguousarray(flat.reshape(len(sizes), width).T)
+    out = np.zeros((width, len(sizes)), np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), row] = flat
+    return out
 
 
-def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of the ``k`` best candidates of every query; vertical layouts."""
+def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, list[int]]]:
+    """(query's place, candidates, scores) of the ``k`` best candidates of every query; vertical
+    layouts. Candidates whose score is below the query's ``floors`` may be left out."""
     width = max(len(q), len(x))
     q, x = (np.pad(m, ((0, width - len(m)), (0, 0))) for m in (q, x))
     order = np.argsort(-(x.astype(np.float64) ** 2).sum(axis=1), kind="stable")
@@ -75,53 +71,92 @@ def best(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k:
     rest = lambda m: np.sqrt(np.stack([(m[c:] ** 2).sum(axis=0) for c in cuts]))
     q_rest, x_rest = rest(fq), rest(fx)
     big = float(np.abs(fq).max(initial=0)) * float(np.abs(fx).max(initial=0)) * width
-    out = []
+    # a little slack covers rounding where sums leave the exact range of doubles
+    loose = big * 1e-12 if big >= 2**52 else 1e-6
     for i, name in enumerate(q_ids):
         alive = np.flatnonzero(x_ids != name)
         score = np.zeros(len(alive))
+        floor = -np.inf if floors is None else floors[i] - loose
         for step, lo in enumerate(cuts[:-1]):
             hi = cuts[step + 1]
             score += fq[lo:hi, i] @ (fx[lo:hi] if len(alive) == len(x_ids) else fx[lo:hi, alive])
+            slack = q_rest[step + 1, i] * x_rest[step + 1, alive] * (1 + 1e-9) + loose
             if len(alive) > k:
-                # a little slack covers rounding where sums leave the exact range of doubles
-                slack = q_rest[step + 1, i] * x_rest[step + 1, alive] * (1 + 1e-9) + (big * 1e-12 if big >= 2**52 else 1e-6)
                 least = score - slack
-                floor = np.partition(least, len(least) - k)[len(least) - k]
-                keep = score + slack >= floor
-                if not keep.all():
-                    alive, score = alive[keep], score[keep]
+                floor = max(floor, np.partition(least, len(least) - k)[len(least) - k])
+            keep = score + slack >= floor
+            if not keep.all():
+                alive, score = alive[keep], score[keep]
         if big < 2**53:
             exact = score.astype(np.int64)
         else:
-            limit = (1 << 63) - 1
-            exact = np.array([max(-limit, min(limit, sum(int(a) * int(b) for a, b in zip(q[:, i], x[:, j], strict=True)))) for j in alive], np.int64)
+            exact = np.array([sum(int(a) * int(b) for a, b in zip(q[:, i], x[:, j], strict=True)) for j in alive], object)
+            if len(exact) and max(abs(e) for e in exact) >= 1 << 63:
+                raise OverflowError("a score is beyond 63 bits")
+            exact = exact.astype(np.int64)
         top = np.lexsort((x_ids[alive], -exact))[:k]
-        out += [(int(name), int(x_ids[alive[j]]), int(exact[j])) for j in top]
-    return out
+        yield i, x_ids[alive[top]], exact[top]
+
+
+def _scan(shared, k: int):  # noqa: ANN001, ANN202
+    """The ``k`` best of every query over all candidates of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, q = shared.value
+        ids = [np.zeros(0, np.int64)] * len(q_ids)
+        scores = [np.zeros(0, np.int64)] * len(q_ids)
+        floors = np.full(len(q_ids), -np.inf)
+        for t in _candidate_blocks(batches):
+            for i, found, exact in best(q, q_ids, vertical(t.column("v")), t.column("vec_id").to_numpy(), k, floors):
+                if len(found):
+                    found, exact = np.concatenate([ids[i], found]), np.concatenate([scores[i], exact])
+                    top = np.lexsort((found, -exact))[:k]
+                    ids[i], scores[i] = found[top], exact[top]
+                    if len(top) == k:
+                        floors[i] = exact[top[-1]]
+        n = [len(x) for x in ids]
+        columns = np.repeat(q_ids, n), np.concatenate([*ids, np.zeros(0, np.int64)]), np.concatenate([*scores, np.zeros(0, np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _candidate_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= CANDIDATE_BLOCK:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, vector: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for the rows where ``queries`` holds, the ``k`` rows of
     greatest inner product, ties to the smaller identifier."""
-    ship_package(vectors.sparkSession)
-    ready = staged(vectors.filter(usable(vector) & F.col("vec_id").isNotNull()).select("vec_id", whole_numbers(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked")), "topk-vectors")
-    candidates, n_candidates = _blocks(ready.select("vec_id", "v"), CANDIDATE_BLOCK, "topk-candidates")
-    asked, n_asked = _blocks(ready.filter("asked").select("vec_id", "v").dropDuplicates(["vec_id"]), QUERY_BLOCK, "topk-queries")
-    left = candidates.select(F.col("block").alias("c"), "width", "ids", "x", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1))).alias("q"))
-    right = asked.select(F.col("block").alias("q"), F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("c"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(len(b)):
-                row = {k: b.column(k)[i].as_py() for k in ("width", "ids", "x", "q_width", "q_ids", "q_x")}
-                q = np.frombuffer(row["q_x"], np.int64).reshape(row["q_width"], -1)
-                x = np.frombuffer(row["x"], np.int64).reshape(row["width"], -1)
-                found = best(q, np.frombuffer(row["q_ids"], np.int64), x, np.frombuffer(row["ids"], np.int64), k)
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    local = left.join(right, ["c", "q"]).select("width", "ids", "x", "q_width", "q_ids", "q_x").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    spark = vectors.sparkSession
+    ship_package(spark)
+    ready = vectors.filter(usable(vector) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("bigint").alias("vec_id"), whole_numbers(vector).alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    asked = staged(ready.filter("asked").select("vec_id", "v").dropDuplicates(["vec_id"]), "topk-queries")
+    rounds = -(-asked.count() // QUERY_BLOCK)
+    if rounds > 1:
+        # every round reads all candidates
+        ready = staged(ready, "topk-vectors")
+    found = []
+    for r in range(rounds):
+        part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r).toArrow()
+        if not part.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((part.column("vec_id").to_numpy(), vertical(part.column("v"))))
+        local = ready.select("vec_id", "v").mapInArrow(_scan(shared, k), "query_id bigint, vec_id bigint, score bigint")
+        found.append(staged(local, "topk-round") if rounds > 1 else local)
+    drop_staged(asked)
+    if not found:
+        found = [spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")]
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def sql(every: int, k: int = 5) -> str:

@@ -425,6 +425,32 @@ def test_top_k(spark, scale):
     assert len(topk.top_k(df.limit(3), F.col("vec_id") == 0).collect()) == 2
 
 
+def test_top_k_in_rounds_and_blocks(spark, monkeypatch):
+    """More queries than a round holds, several blocks of candidates in a task, ties, repeated rows."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    g = np.random.default_rng(4)
+    x = np.round(g.normal(size=(9000, 12)), 1)
+    x[100:200] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(77, x[77].tolist()), (8000, x[1].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)
+    got = collections.defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 300 == 0, 6).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ids = np.array([i for i, _ in rows])
+    whole = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 9000, 300):
+        score = whole @ whole[q]
+        order = [j for j in np.lexsort((ids, -score)) if ids[j] != q][:6]
+        assert got[q] == [(int(ids[j]), int(score[j])) for j in order]
+
+
+def test_top_k_refuses_what_no_column_can_hold(spark):
+    for value in (1e60, 2.0**40):
+        df = spark.createDataFrame([(0, [value]), (1, [value])], "vec_id bigint, embedding array<double>")
+        with pytest.raises(Exception, match="beyond"):
+            topk.top_k(df, F.col("vec_id") == 0).collect()
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
