@@ -3,21 +3,28 @@
 The model file is compiled into four machines over the tropical semiring (weights add along a
 path, the smallest sum wins):
 
-* a normaliser, which escapes blanks and adds the dummy prefix;
+* a normaliser: the model's character map, whose arcs read the longest source that it knows and
+  write its replacement, all other characters writing themselves; user-defined pieces pass as they
+  are; then blanks are squeezed, marked and preceded by the dummy prefix as the model says;
 * the piece machine, a trie of all pieces whose final arcs emit piece ids;
-* a byte-fallback arc for every character without a piece, which emits its UTF-8 byte pieces;
+* a fallback arc for every character without a piece of its own, which emits its UTF-8 byte pieces,
+  or, in a model without these, the unknown piece, once for a run of such characters;
 * a pair acceptor over emitted pieces. For BPE models it gives a pair of neighbours weight 0 where
   merging their joined characters by priority restores exactly this pair, else infinity: a
   sequence is the BPE segmentation exactly if all its neighbours are. For unigram models it
-  accepts all, and piece arcs weigh the negative score.
+  accepts all, and piece arcs weigh the negative score; a user-defined piece is always taken, and
+  unused ones never.
 
 An input is composed with the machines lazily: a state is a position with the piece before it, and
-the shortest path to the end is the encoding. No piece holds a character before a blank mark, so
-runs between such places are composed on their own and their paths remembered.
-
-Defined results: a null or empty text has no ids; decoding restores a text exactly unless it holds
-the blank mark itself (U+2581), which comes back as a blank. Repeated rows are encoded each on its
-own; other columns are ignored.
+the shortest path to the end is the encoding. With weights of 0 and infinity any path of weight 0 is
+a shortest one, so BPE's search goes depth first; a unigram model's states are met in the order of
+their positions. Where no piece holds a character before a blank mark, runs between such places are
+composed on their own, and BPE's paths remembered. BPE pieces that are unused are parted into those
+that make them.
+
+Defined results: a null or empty text has no ids; under a model without character map and squeezing,
+decoding restores a text exactly unless it holds the blank mark itself (U+2581), which comes back as
+a blank. Repeated rows are encoded each on its own; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from brevis.session import ship_package
 BLANK = "▁"
 #: Paths that a worker remembers, once as the young and once as the old half.
 REMEMBERED = 1 << 18
-NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
 
@@ -71,16 +78,97 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def _single(x: float) -> float:
+    """``x`` rounded to single precision."""
+    return struct.unpack("<f", struct.pack("<f", x))[0]
+
+
+class Normaliser:
+    """The compiled character map (a double-array trie over UTF-8 bytes) and the blank rules."""
+
+    def __init__(self, charsmap: bytes, user: list[str], prefix: bool, squeeze: bool, blank: str):
+        size = struct.unpack_from("<I", charsmap)[0] if charsmap else 0
+        self.units = np.frombuffer(charsmap, "<u4", size // 4, 4 if charsmap else 0).tolist()
+        self.pool = charsmap[4 + size :]
+        self.user = re.compile("|".join(map(re.escape, sorted(user, key=len, reverse=True)))) if user else None
+        self.prefix, self.squeeze, self.blank = prefix, squeeze, blank
+        self.known: dict[str, bool] = {}
+
+    @staticmethod
+    def _offset(unit: int) -> int:
+        return unit >> 10 << ((unit & 0x200) >> 6)
+
+    def arc(self, raw: bytes) -> tuple[int, str] | None:
+        """(bytes read, what is written) by the longest arc at the beginning of ``raw``."""
+        units, found = self.units, None
+        at = self._offset(units[0])
+        for k, byte in enumerate(raw):
+            at ^= byte
+            unit = units[at]
+            if unit & 0x800000FF != byte:
+                break
+            at ^= self._offset(unit)
+            if unit >> 8 & 1:
+                start = units[at] & 0x7FFFFFFF
+                found = k + 1, self.pool[start : self.pool.index(b"\0", start)].decode()
+        return found
+
+    def begins(self, c: str) -> bool:
+        """Whether an arc may begin with a character, so that it cannot simply be copied."""
+        if c not in self.known:
+            units, at, whole = self.units, self._offset(self.units[0]), True
+            for byte in c.encode():
+                at ^= byte
+                unit = units[at]
+                if unit & 0x800000FF != byte:
+                    whole = False
+                    break
+                at ^= self._offset(unit)
+            self.known[c] = whole
+        return self.known[c]
+
+    def mapped(self, text: str) -> str:
+        if not self.units:
+            return text
+        special = "".join(c for c in set(text) if self.begins(c))
+        if not special:
+            return text
+        out, at = [], 0
+        for m in re.finditer(f"[{re.escape(special)}]", text):
+            if m.start() < at:
+                continue
+            # no source of the map is longer than a few dozen bytes
+            arc = self.arc(text[m.start() : m.start() + 64].encode())
+            if arc:
+                read = len(text[m.start() : m.start() + 64].encode()[: arc[0]].decode())
+                out += [text[at : m.start()], arc[1]]
+                at = m.start() + read
+        return "".join([*out, text[at:]])
+
+    def __call__(self, text: str) -> str:
+        if self.user:
+            parts, at = [], 0
+            for m in self.user.finditer(text):
+                parts += [self.mapped(text[at : m.start()]), m.group()]
+                at = m.end()
+            text = "".join([*parts, self.mapped(text[at:])])
+        else:
+            text = self.mapped(text)
+        if self.squeeze:
+            text = re.sub("  +", " ", text.strip(" "))
+        if not text:
+            return ""
+        return (self.blank if self.prefix else "") + text.replace(" ", self.blank)
+
+
 class Transducer:
     """The compiled model; :meth:`encode` and :meth:`decode` work on whole texts."""
 
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            model = f.read()
+    def __init__(self, model: bytes):
         self.surface: list[str] = []
         self.kind: list[int] = []
         self.score: list[float] = []
-        algorithm, dummy_prefix, squeeze, escape, charsmap = UNIGRAM, True, True, True, b""
+        algorithm, dummy_prefix, squeeze, escape, charsmap, as_suffix, mark = UNIGRAM, True, True, True, b"", False, " ⁇ "
         for number, value in _fields(model):
             if number == 1:
                 piece = {1: b"", 2: b"\0\0\0\0", 3: NORMAL} | dict(_fields(value))
@@ -88,25 +176,35 @@ class Transducer:
                 self.score.append(struct.unpack("<f", piece[2])[0])
                 self.kind.append(piece[3])
             elif number == 2:
-                algorithm = dict(_fields(value)).get(3, UNIGRAM)
+                spec = dict(_fields(value))
+                algorithm, as_suffix, mark = spec.get(3, UNIGRAM), spec.get(24, 0), spec.get(44, mark.encode()).decode()
             elif number == 3:
                 spec = dict(_fields(value))
                 charsmap, dummy_prefix, squeeze, escape = spec.get(2, b""), spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
-        if charsmap or squeeze or not escape or algorithm not in (UNIGRAM, BPE):
-            raise ValueError(f"{path}: only identity normalisation with escaped blanks is compiled")
-        self.bpe, self.prefix = algorithm == BPE, BLANK if dummy_prefix else ""
+        if algorithm not in (UNIGRAM, BPE) or as_suffix:
+            raise ValueError("only unigram and BPE models with blanks before words are compiled")
+        self.bpe, self.unknown_mark = algorithm == BPE, mark
+        self.blank, self.prefix, self.squeeze = BLANK if escape else " ", bool(dummy_prefix), bool(squeeze)
+        user = [s for s, k in zip(self.surface, self.kind, strict=True) if k == USER]
+        self.normalise = Normaliser(charsmap, user, self.prefix, self.squeeze, self.blank)
         self.piece = {s: i for i, s in enumerate(self.surface) if self.kind[i] in (NORMAL, USER, UNUSED)}
         self.unknown = self.kind.index(UNKNOWN)
-        self.worst = min(self.score) - 10.0
+        normal = [x for x, k in zip(self.score, self.kind, strict=True) if k == NORMAL] or [0.0]
+        # the library's starting value for the greatest score is the least positive one
+        self.worst, self.greatest = _single(min(normal) - 10.0), max(*normal, 1.1754943508222875e-38)
         self.byte_id = {int(s[3:5], 16): i for i, s in enumerate(self.surface) if self.kind[i] == BYTE}
         self.value = {i: b for b, i in self.byte_id.items()}
         # every state of the piece machine, with the piece that ends there or -1
-        self.trie = {s[:k]: -1 for s in self.piece for k in range(1, len(s))} | self.piece
-        if any(BLANK in s.lstrip(BLANK) for s in self.piece):
-            raise ValueError(f"{path}: a piece crosses from a word into a blank")
-        # characters without a piece part the input as well: nothing joins across them
-        apart = "".join(c for c in "\n\t\r" if c not in self.piece)
-        self.runs = re.compile(f"[{apart}]|{BLANK}*[^{BLANK}{apart}]+|{BLANK}+" if apart else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        arcs = {s: i for s, i in self.piece.items() if self.kind[i] == NORMAL or self.kind[i] == (UNUSED if self.bpe else USER)}
+        self.trie = {s[:k]: -1 for s in arcs for k in range(1, len(s))} | arcs
+        self.frozen = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")") if user and self.bpe else None
+        if any(self.blank in s.lstrip(self.blank) for s in self.piece):
+            # a piece crosses from a word into a blank
+            self.runs = re.compile("(?s).+")
+        else:
+            # characters without a piece part the input as well, if they are bytes: nothing joins across them
+            apart = "".join(c for c in "\n\t\r" if not any(c in s for s in self.piece)) if self.byte_id else ""
+            self.runs = re.compile(f"[{apart}]|{self.blank}*[^{self.blank}{apart}]+|{self.blank}+" if apart else f"{self.blank}*[^{self.blank}]+|{self.blank}+")
         self.pairs: dict[tuple[int, int], float] = {}
         self.paths: dict[str, bytes] = {}
         self.old_paths: dict[str, bytes] = {}
@@ -214,76 +312,127 @@ class Transducer:
                 dead.add(path.pop()[0])
         raise ValueError("no path")
 
-    def shortest(self, run: str) -> list[int]:
-        """Ids on the shortest path through a normalised run."""
+    def ids_on(self, run: str, path: list[tuple[int, int]]) -> bytes:
+        """Ids that a path through a normalised run emits, little-endian unsigned 32-bit."""
         ids: list[int] = []
         at = 0
-        for end, p in self.accepted(run) if self.bpe else self.cheapest(run):
+        for end, p in path:
             if p >= 0:
-                ids.append(p)
+                self.used(p, ids)
             elif self.byte_id:
                 ids.extend(self.byte_id[b] for b in run[at:end].encode())
             else:
                 ids.append(self.unknown)
             at = end
-        return ids
+        return np.array(ids, "<u4").tobytes()
 
-    def cheapest(self, run: str) -> list[tuple[int, int]]:
-        """The path of least weight under a model whose arcs weigh, as (end, piece)."""
+    def used(self, p: int, ids: list[int]) -> None:
+        """Append ``p``, or, if it is unused, the pieces that make it."""
+        parts = self.parts(p) if self.kind[p] == UNUSED else None
+        if not parts or -1 in parts:
+            ids.append(p)
+        else:
+            self.used(parts[0], ids)
+            self.used(parts[1], ids)
+
+    def cheapest(self, run: str, start: float) -> tuple[list[tuple[int, int]], float]:
+        """The path of least weight under a model whose arcs weigh, as (end, piece), and the sum up to
+        its end. Sums are scores, the negative weights, rounded to single precision at every position
+        as in the library; of equal paths to a position the one met first, from the leftmost start by
+        the shortest arc, the fallback arc last."""
         n = len(run)
-        cost: list[float] = [0.0] + [np.inf] * n
+        total: list[float] = [start] + [-np.inf] * n
         last, origin = [-1] * (n + 1), [0] * (n + 1)
         for i in range(n):
-            for j, p in self.arcs(run, i):
-                total = cost[i] - (self.score[p] if p >= 0 else self.worst)
-                if total < cost[j]:
-                    cost[j], last[j], origin[j] = total, p, i
+            arcs = self.arcs(run, i)
+            for j, p in arcs[1:] + arcs[:1] if arcs[0][1] < 0 else arcs:
+                if p < 0:
+                    score = self.worst
+                elif self.kind[p] == USER:
+                    score = _single(len(run[i:j].encode()) * self.greatest - 0.1)
+                else:
+                    score = self.score[p]
+                new = _single(total[i] + score)
+                if new > total[j]:
+                    total[j], last[j], origin[j] = new, p, i
         path, at = [], n
         while at:
             path.append((at, last[at]))
             at = origin[at]
-        return path[::-1]
+        return path[::-1], total[n]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        text = self.normalise(text)
         if not text:
             return b""
+        out = []
+        for part in self.frozen.split(text) if self.frozen else (text,):
+            if self.frozen and part and self.frozen.fullmatch(part):
+                out.append(struct.pack("<I", self.piece[part]))
+            elif part:
+                out += self.encoded_runs(part)
+        ids = b"".join(out)
+        if self.byte_id:
+            return ids
+        # neighbouring unknown characters are one
+        x = np.frombuffer(ids, "<u4")
+        again = np.zeros(len(x), bool)
+        again[1:] = (x[1:] == self.unknown) & (x[:-1] == self.unknown)
+        return x[~again].tobytes()
+
+    def encoded_runs(self, text: str) -> Iterator[bytes]:
+        if not self.bpe:
+            total = 0.0
+            for run in self.runs.findall(text):
+                path, total = self.cheapest(run, total)
+                yield self.ids_on(run, path)
+            return
         if len(self.paths) > REMEMBERED:
             # paths used since the last turn are found again among the old ones
             self.paths, self.old_paths = {}, self.paths
         paths, old = self.paths, self.old_paths
-        out = []
-        for run in self.runs.findall(self.prefix + text.replace(" ", BLANK)):
+        for run in self.runs.findall(text):
             path = paths.get(run)
             if path is None:
                 path = old.get(run)
                 if path is None:
-                    path = np.array(self.shortest(run), "<u4").tobytes()
+                    path = self.ids_on(run, self.accepted(run))
                 if len(run) <= 64:
                     paths[run] = path
-            out.append(path)
-        return b"".join(out)
+            yield path
 
     def decode(self, ids: list[int]) -> str:
         out, raw = [], bytearray()
+        begun = False
         for i in ids:
             b = self.value.get(i)
             if b is not None:
                 raw.append(b)
+                begun = True
                 continue
             if raw:
                 out.append(raw.decode("utf-8", "replace"))
                 raw = bytearray()
-            out.append(self.surface[i])
+            if self.kind[i] == CONTROL:
+                continue
+            piece = self.unknown_mark if i == self.unknown else self.surface[i]
+            if not begun and i != self.unknown and (self.prefix or self.squeeze) and piece.startswith(BLANK):
+                # the dummy prefix; if blanks are squeezed, all blanks before the first word
+                piece = piece[1:]
+                begun = not self.squeeze or bool(piece)
+            else:
+                begun = begun or bool(piece)
+            out.append(piece.replace(BLANK, " "))
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(BLANK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return "".join(out)
 
 
 @lru_cache(maxsize=2)
 def compiled(path: str) -> Transducer:
-    return Transducer(path)
+    with open(path, "rb") as f:
+        return Transducer(f.read())
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

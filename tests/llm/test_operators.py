@@ -4,6 +4,7 @@ import collections
 import itertools
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -500,6 +501,92 @@ def test_sentencepiece(spark):
     assert {x["doc_id"]: x["text"] for x in wfst.decode(encoded, path).collect()} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    """A field of a protocol-buffer message: numbers, single-precision numbers, strings, messages."""
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def piece_model(algorithm, pieces, byte_fallback=False, charsmap=b"", prefix=1, squeeze=0):
+    """A model file of (piece, score, kind) rows written by hand."""
+    rows = [("<unk>", 0.0, wfst.UNKNOWN), ("<s>", 0.0, wfst.CONTROL), *pieces]
+    if byte_fallback:
+        rows += [(f"<0x{b:02X}>", 0.0, wfst.BYTE) for b in range(256)]
+    trainer = field(3, algorithm) + field(35, int(byte_fallback))
+    normaliser = (field(2, charsmap) if charsmap else b"") + field(3, prefix) + field(4, squeeze) + field(5, 1)
+    return b"".join(field(1, field(1, s) + field(2, float(x)) + field(3, k)) for s, x, k in rows) + field(2, trainer) + field(3, normaliser)
+
+
+def standard_map():
+    import sentencepiece
+
+    proto = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    return dict(wfst._fields(dict(wfst._fields(proto))[3]))[2]
+
+
+def same_as_library(model, texts):
+    import sentencepiece
+
+    reference, own = sentencepiece.SentencePieceProcessor(model_proto=model), wfst.Transducer(model)
+    for t in texts:
+        ids = np.frombuffer(own.encode(t), "<u4").tolist()
+        assert ids == reference.encode(t), t
+        assert own.decode(ids) == reference.decode(ids), t
+
+
+ODD_TEXTS = ["", " ", "   ", "a", "  a  b ", "ab ab", "aab", "zzz", "a zz b", "zz▁a", "漢字a", "<tag>a", "a<tag> <tag>b", "xy xyz", "\n a\tb"]
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+@pytest.mark.parametrize("squeeze", [0, 1])
+def test_unigram_models(byte_fallback, squeeze):
+    """Unknown runs, user-defined and unused pieces, ties, against the library."""
+    r = random.Random(11)
+    known = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁ab", "ca", "aa", "▁▁", "é", "b▁a"]
+    pieces = [(s, -1.0 - r.random() * 5, wfst.NORMAL) for s in known[:-1]] + [("<tag>", 0.0, wfst.USER), ("xy", -0.5, wfst.UNUSED), ("x", -3.0, wfst.NORMAL), ("y", -3.5, wfst.NORMAL)]
+    texts = ODD_TEXTS + ["".join(r.choice("aabbc  xyzé<tag>") for _ in range(r.randint(1, 30))) for _ in range(400)]
+    same_as_library(piece_model(wfst.UNIGRAM, pieces, byte_fallback, squeeze=squeeze), texts)
+    same_as_library(piece_model(wfst.UNIGRAM, [*pieces, (known[-1], -1.5, wfst.NORMAL)], byte_fallback, squeeze=squeeze, prefix=0), texts)
+
+
+@pytest.mark.parametrize("byte_fallback", [False, True])
+def test_bpe_models_with_user_defined_and_unused_pieces(byte_fallback):
+    r = random.Random(12)
+    merges = ["ab", "bc", "▁a", "abc", "▁ab", "aa", "ca", "xy", "xyz"]
+    pieces = [(s, -1.0 - k, wfst.NORMAL) for k, s in enumerate(merges)] + [(s, -50.0, wfst.NORMAL) for s in "▁abcxyz"] + [("<tag>", 0.0, wfst.USER), ("bb", -20.0, wfst.UNUSED)]
+    texts = ODD_TEXTS + ["".join(r.choice("aabbc  xyz<tag>é") for _ in range(r.randint(1, 30))) for _ in range(400)]
+    same_as_library(piece_model(wfst.BPE, pieces, byte_fallback), texts)
+
+
+@pytest.mark.parametrize("algorithm", [wfst.UNIGRAM, wfst.BPE])
+def test_compiled_character_map(algorithm):
+    """The library's standard normalisation, and the same inside a model."""
+    import sentencepiece
+
+    charsmap = standard_map()
+    r = random.Random(13)
+    odd = "aA bé\u0301e\u0301ﬁ½①Ａｶﾞ\u00a0\u2003\t\n\u200b\ufeff\u3000한글각㍿ǆÅ漢🙂\u0000\u007f"
+    texts = ["", " ", "ﬁne  ①", *("".join(r.choice(odd) for _ in range(r.randint(1, 25))) for _ in range(500))]
+    reference = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=False, escape_whitespaces=False, remove_extra_whitespaces=False)
+    plain = wfst.Normaliser(charsmap, [], False, False, " ")
+    for t in texts:
+        if "\0" not in t:
+            assert plain.mapped(t) == reference.normalize(t), ascii(t)
+    pieces = [(s, -1.0 - k, wfst.NORMAL) for k, s in enumerate(["▁a", "a", "b", "fi", "f", "i", "1", "▁", "é", "é1", "A"])]
+    same_as_library(piece_model(algorithm, pieces, charsmap=charsmap, squeeze=1), texts)
+
+
 def brute_scores(texts, good, vocabulary=lmscore.VOCABULARY):
     w = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
     one, two = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
