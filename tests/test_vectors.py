@@ -150,3 +150,62 @@ def test_recall_of_every_quantizer(spark):
     found = {r["quantizer"]: r["recall"] for r in queries.recall_at_10(spark, "/root/testdata/sf0.001").collect()}
     assert found.keys() == {"int8", "binary", "product", "rotation"}
     assert all(0 < x <= 1 for x in found.values())
+
+
+# ---- published figures: fixed values of seeds, sizes and results ----
+
+
+def published_vectors():
+    """2000 unit vectors around 25 centres, and a query near the fourth; seed 42."""
+    u = V.uniforms(42)
+    noise = lambda: np.array([next(u) * 2 - 1 for _ in range(128)])
+    unit = lambda v: v / np.linalg.norm(v)
+    centres = [unit(noise()) for _ in range(25)]
+    x = np.array([unit(centres[i % 25] + noise() * 0.35) for i in range(2000)])
+    return x, unit(centres[3] + noise() * 0.2)[None]
+
+
+def test_published_recall():
+    x, q = published_vectors()
+    truth = q @ x.T
+    for quantizer, plain, reranked in (
+        (Int8(), 1.0, None), (Binary(), 0.2, 0.6), (Product(16, 256, 12).train(x), 0.5, 1.0), (Rotation(2), 0.6, None), (Rotation(3), 0.7, 1.0), (Rotation(4), 0.8, None),
+    ):
+        scores = quantizer.scores(q, quantizer.encode(x))
+        assert recall(scores, truth) == plain, quantizer.name
+        if reranked is not None:
+            assert recall(scores, truth, pool=64, x=x, q=q) == reranked, quantizer.name
+    estimate = Rotation(3).scores(q, Rotation(3).encode(x))[0]
+    assert abs((estimate - truth[0]).mean() + 0.0013) < 1e-4 and abs(np.corrcoef(estimate, truth[0])[0, 1] - 0.965) < 1e-3
+
+
+def test_published_attention():
+    """Attention over 512 coded keys and values of 128 normal components; seed 7."""
+    g = V.gaussians(7)
+    keys, values = (np.array([[next(g) for _ in range(128)] for _ in range(512)]) for _ in range(2))
+    q = np.array([next(g) for _ in range(128)])
+
+    def softmax(s):
+        e = np.exp(s - s.max())
+        return e / e.sum()
+
+    weights = softmax(keys @ q / np.sqrt(128))
+    exact = weights @ values
+    for bits, cosine, error, divergence, of_values in ((2, 0.775, 0.658, 1.30e-1, 0.837), (3, 0.916, 0.404, 4.05e-2, 0.951), (4, 0.975, 0.233, 1.21e-2, 0.986)):
+        r = Rotation(bits)
+        w = softmax(r.scores(q[None], r.encode(keys))[0] / np.sqrt(128))
+        back = r.decode(r.encode(values), 128).astype(np.float64)
+        out = w @ back
+        assert abs(out @ exact / np.linalg.norm(out) / np.linalg.norm(exact) - cosine) < 1e-3
+        assert abs(np.linalg.norm(out - exact) / np.linalg.norm(exact) - error) < 1e-3
+        assert abs((weights * np.log(weights / np.maximum(w, 1e-12))).sum() / divergence - 1) < 5e-3
+        assert abs(np.mean((back * values).sum(axis=1) / np.linalg.norm(back, axis=1) / np.linalg.norm(values, axis=1)) - of_values) < 1e-3
+
+
+def test_sums_and_errors_of_vectors(spark):
+    df = spark.createDataFrame([("a", 0.25, [4.0, 8.0]), ("a", 0.75, [4.0, None]), ("b", 1.0, [1.0])], "g string, w double, v array<double>")
+    assert sorted(tuple(r) for r in V.weighted_sum(df, "w", "v", "g").collect()) == [("a", 0, 4.0), ("a", 1, 2.0), ("b", 0, 1.0)]
+    pair = spark.createDataFrame([([3.0, 4.0], [3.0, 1.0])], "x array<double>, y array<double>")
+    assert pair.select(V.relative_error(F.col("x"), F.col("y"))).first()[0] == 0.6
+    row = search.round_trip(spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0]), (1, [0.5, 0.5, 0.5, 0.5])], "vec_id bigint, embedding array<double>"), Rotation(4)).first()
+    assert row["cosine"] > 0.9 and row["error"] < 0.5
