@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Bytes of a row group of a staged table, which its writer holds in memory.
+ROW_GROUP = 32 << 20
 
 
 def build_session(app: str = "brevis", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -106,7 +108,7 @@ def staged(df: DataFrame, name: str, folders: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=folders)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path, partitionBy=folders)
     out = spark.read.schema(df.schema).parquet(path)
     out._brevis_path = path  # noqa: SLF001
     if _SCOPES:
