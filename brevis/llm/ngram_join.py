@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brevis.llm.lexicon import blocks, mix, raw_texts, word_hashes
+from brevis.llm.packages import from_planes, home, planes
 from brevis.session import drop_staged, is_scan, plan_bytes, ship_package, staged
 
 SIZE = 5
@@ -111,27 +112,16 @@ def _schema(id_type: str) -> str:
     return f"bucket int, kind tinyint, block binary, doc_id {id_type}, n bigint, sig bigint"
 
 
-def _planes(x: np.ndarray, width: int) -> bytes:
-    """The lowest ``width`` bytes of numbers, byte by byte."""
-    return np.ascontiguousarray(x.astype("<u8").view("u1").reshape(-1, 8)[:, :width].T).tobytes()
-
-
-def _from_planes(block: bytes, n: int, width: int, at: int) -> np.ndarray:
-    out = np.zeros((n, 8), "u1")
-    out[:, :width] = np.frombuffer(block, "u1", n * width, at).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 def _pack(package: int, base: int, keys: np.ndarray, place: np.ndarray) -> bytes:
     """Sorted keys, ``base`` at least, as differences, with places in the package."""
     steps = np.diff(keys, prepend=np.uint64(base))
     width = max(1, -(-int(steps.max()).bit_length() // 8))
-    return _HEAD.pack(package, base, len(keys), width) + _planes(steps, width) + place.astype("<u2").tobytes()
+    return _HEAD.pack(package, base, len(keys), width) + planes(steps, width) + place.astype("<u2").tobytes()
 
 
 def _unpack(block: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     package, base, n, width = _HEAD.unpack_from(block)
-    keys = np.cumsum(_from_planes(block, n, width, _HEAD.size), dtype=np.uint64) + np.uint64(base)
+    keys = np.cumsum(from_planes(block, n, width, _HEAD.size), dtype=np.uint64) + np.uint64(base)
     return package, keys, np.frombuffer(block, "<u2", n, _HEAD.size + n * width)
 
 
@@ -160,10 +150,6 @@ def _cuts(parts: int) -> np.ndarray:
     return np.array([-(-(b << 56) // parts) for b in range(parts + 1)], np.uint64)
 
 
-def _home(package: int, parts: int) -> int:
-    return int(mix(np.array([package], np.uint64))[0] % np.uint64(parts))
-
-
 def _postings(parts: int, size: int, package_size: int, package_texts: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made, cuts = TaskContext.get().partitionId(), 0, _cuts(parts)
@@ -181,7 +167,7 @@ def _postings(parts: int, size: int, package_size: int, package_texts: int):  #
             once &= n > 0
             keys = hashes[np.repeat(once, n)] >> np.uint64(8)
             sig, n = sig[once], n[once]
-            yield _home(number, parts), TEXTS, struct.pack("<QI", number, len(sig)) + sig.astype("<i8").tobytes() + n.astype("<u4").tobytes()
+            yield home(number, parts), TEXTS, struct.pack("<QI", number, len(sig)) + sig.astype("<i8").tobytes() + n.astype("<u4").tobytes()
             order = np.argsort(keys)
             place = np.repeat(np.arange(len(sig), dtype=np.uint16), n)[order]
             keys = keys[order]
@@ -263,7 +249,7 @@ def _shared(found: list[bytes], bucket: int, parts: int, at_once: int) -> Iterat
         for k, package in enumerate(packages):
             if at[k] < at[k + 1]:
                 own = slice(at[k], at[k + 1])
-                yield _home(package, parts), SHARED, struct.pack("<QI", package, at[k + 1] - at[k]) + (where[own] & 0xFFFF).astype("<u2").tobytes() + key[own].astype("<u8").tobytes()
+                yield home(package, parts), SHARED, struct.pack("<QI", package, at[k + 1] - at[k]) + (where[own] & 0xFFFF).astype("<u2").tobytes() + key[own].astype("<u8").tobytes()
 
 
 def _prefix(n, num: int, den: int):  # noqa: ANN001, ANN202

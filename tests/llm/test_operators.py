@@ -587,7 +587,7 @@ def test_compiled_character_map(algorithm):
     same_as_library(piece_model(algorithm, pieces, charsmap=charsmap, squeeze=1), texts)
 
 
-def brute_scores(texts, good, vocabulary=lmscore.VOCABULARY):
+def brute_scores(texts, good):
     w = {i: (t or "").encode().lower().split() for i, t in enumerate(texts)}
     one, two = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
     for i, x in w.items():
@@ -634,8 +634,7 @@ def test_lm_scores_of_rare_words(spark):
 @pytest.mark.parametrize("bound", [2, 1 << 16])
 def test_lm_scores_of_words_hot_in_some_blocks(spark, monkeypatch, bound):
     """Where a bigram is hot in one block of documents only, it still has one count."""
-    # a bound of the vocabulary, if there is one, is as small as can be
-    monkeypatch.setattr(lmscore.train, "__defaults__", (*[1 for _ in lmscore.train.__defaults__[:-1]], bound))
+    monkeypatch.setattr(lmscore, "HOT", bound)
     texts = [f"{words('de', 3, i)} hot pair next one {i % 7}" for i in range(150)] + [words("en", 9, i) + (" hot pair next" if i % 20 == 0 else " pair hot") for i in range(150)]
     good = spark.createDataFrame([(i,) for i in range(0, 300, 3)], "doc_id bigint")
     want = brute_scores(texts, set(range(0, 300, 3)))
@@ -646,6 +645,27 @@ def test_lm_scores_of_words_hot_in_some_blocks(spark, monkeypatch, bound):
         assert all(abs(got[i] - want[i][1]) < 1e-9 for i in want)
 
 
+@pytest.mark.parametrize("docs", [1, 1000])
+def test_lm_scores_in_small_packages_and_ranges(spark, monkeypatch, docs):
+    """Many packages of few documents, hot words in each or none, and ranges of few occurrences."""
+    for name, value in (("PACKAGE", 60), ("PACKAGE_TEXTS", 4), ("RANGE", 50), ("HOT_DOCS", docs), ("HOT_SHARE", 0.5), ("BROADCAST_IDS", docs)):
+        monkeypatch.setattr(lmscore, name, value)
+    texts = [words(k, 12, i) for i, k in enumerate(["en", "de"] * 30)] + EDGE + ["a", "A b", "long " * 500]
+    good = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id bigint")
+    want = brute_scores(texts, set(range(0, 60, 2)))
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in lmscore.cross_entropy_difference(table(spark, texts).repartition(3), good).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-9 for i in want)
+
+
+def test_lm_scores_of_text_identifiers(spark):
+    df = spark.createDataFrame([("x", "a b a"), ("y", "b a"), (None, "c")], "doc_id string, text string")
+    good = spark.createDataFrame([("x",)], "doc_id string")
+    want = brute_scores(["a b a", "b a", "c"], {0})
+    got = {r["doc_id"]: r["score"] for r in lmscore.cross_entropy_difference(df, good).collect()}
+    assert all(abs(got[k] - want[i][1]) < 1e-12 for i, k in enumerate(("x", "y", None)))
+
+
 def test_lm_scores_of_every_row(spark):
     texts = ["a b c a b", "b c", "a b c a b", None, "d d a"]
     df = spark.createDataFrame(list(zip([7, 7, None, None, 9], texts, strict=True)), "doc_id bigint, text string").repartition(3)
