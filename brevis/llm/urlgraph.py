@@ -7,11 +7,15 @@ follows links backwards, to the hosts that link there. A host whose distrust exc
 ``threshold`` times its trust is blocked. Hosts that neither reaches are allowed.
 
 Ranks are whole numbers (``UNIT`` to a page) rounded down at every step, so sums do not depend on
-the order of rows. Links are counted per pair of hosts before they are joined; a host with very
-many links is split by adaptive execution where ranks are too many to broadcast.
+the order of rows. Steps end when no rank changes any more, or after ``STEPS``: what is farther from
+all seeds than so many links has no rank, and a host passes on shares of one unit at least, so one
+of 850 million links or more to a page of trust passes nothing on. Links are counted per pair of hosts
+before they are joined; a host with very many links is split by adaptive execution where ranks are too
+many to broadcast.
 
 Defined results: a url that is null or without ``://`` has an empty host and path and is allowed;
-null pages have no links; repeated rows count each; an empty table gives no rows.
+null pages have no links; repeated rows count each; an empty table gives no rows. Of rules of equal
+length the later one in the list is taken, and a host of equal trust and distrust is allowed.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-UNIT = 1_000_000
+UNIT = 1_000_000_000
 DAMPING = 0.85
-STEPS = 8
+STEPS = 30
 THRESHOLD = 1.0
 #: Rank tables of at most so many hosts are broadcast (about 100 bytes each).
 BROADCAST_HOSTS = 100_000
@@ -81,13 +85,17 @@ def host_ranks(judged: DataFrame, links: DataFrame, steps: int = STEPS, damping:
     edges = staged(both.join(degree, ["flow", "host"]).select("flow", "host", "to", (F.col("n") / F.col("all")).alias("share")), "url-edges")
     ranks = seeds.select("flow", "host", F.col("seed").alias("rank"))
     small = edges.select("flow", "host").union(edges.select("flow", "to")).union(seeds.select("flow", "host")).distinct().count() <= BROADCAST_HOSTS
+    print_of = lambda r: r.agg(F.count("*"), F.sum(F.xxhash64("flow", "host", "rank").cast("decimal(38,0)"))).first()
+    seen = None
     for step in range(steps):
         given = F.broadcast(ranks) if small else ranks
         moved = edges.join(given, ["flow", "host"]).select("flow", F.col("to").alias("host"), F.floor(F.col("rank") * F.col("share") * damping).alias("rank"))
         kept = seeds.select("flow", "host", F.floor(F.col("seed") * (1 - damping)).alias("rank"))
         new = staged(moved.union(kept).groupBy("flow", "host").agg(F.sum("rank").alias("rank")), f"url-ranks{step}")
         drop_staged(ranks)
-        ranks = new
+        ranks, before, seen = new, seen, print_of(new)
+        if seen == before:
+            break
     one = lambda flow: F.coalesce(F.sum(F.when(F.col("flow") == flow, F.col("rank"))), F.lit(0))
     return ranks.groupBy("host").agg(one("t").alias("trust"), one("d").alias("distrust"))
 
@@ -112,7 +120,7 @@ def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) ->
 
 def sql(rules=RULES, steps: int = STEPS) -> str:  # noqa: ANN001
     """The same rows in DuckDB's SQL."""
-    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+    longest = sorted(reversed(rules), key=lambda r: -len(r[0] + r[1]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, _ in longest]
     name = " ".join(f"WHEN {f} THEN '{h + p}'" for f, (h, p, _) in zip(fits, longest, strict=True))
     verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, (_, _, v) in zip(fits, longest, strict=True))

@@ -409,6 +409,60 @@ def test_url_rules(spark):
     assert urlgraph.filter_urls(pages.limit(0)).count() == 0
 
 
+def brute_ranks(pages, rules, steps):
+    """Trust and distrust of every host by plain loops, in whole units."""
+    links, seeds = collections.Counter(), {"t": collections.Counter(), "d": collections.Counter()}
+    for host, path, to in pages:
+        for dst in to:
+            if dst != host:
+                links[host, dst] += 1
+        fits = [(h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            verdict = max(fits, key=lambda f: len(f[0]))[1]
+            seeds["t" if verdict == "allow" else "d"][host] += 10**9
+    out = {}
+    for flow in "td":
+        edges = collections.defaultdict(list)
+        for (a, b), n in links.items():
+            edges[a if flow == "t" else b].append((b if flow == "t" else a, n))
+        rank = dict(seeds[flow])
+        for _ in range(steps):
+            new = collections.Counter({h: int(s * (1 - 0.85)) for h, s in seeds[flow].items()})
+            for a, own in edges.items():
+                every = sum(n for _, n in own)
+                for b, n in own:
+                    new[b] += int(rank.get(a, 0) * (n / every) * 0.85)
+            rank = new
+        out[flow] = rank
+    return out
+
+
+@pytest.mark.parametrize("bound", [0, 100_000])
+def test_url_propagation_over_many_hops(spark, monkeypatch, bound):
+    """Chains, cycles, hosts without links, hubs and repeated links against plain loops."""
+    monkeypatch.setattr(urlgraph, "BROADCAST_HOSTS", bound)
+    r = random.Random(21)
+    hosts = ["good.org", "b.com", *(f"h{k}.net" for k in range(40))]
+    pages = [("good.org", "/", ["h0.net", "h0.net", "h1.net"]), ("b.com", "/de/x", [])]
+    pages += [(f"h{k}.net", "/", [f"h{k + 1}.net"]) for k in range(12)]
+    pages += [("h20.net", "/", ["b.com"]), ("h21.net", "/", ["h20.net"]), ("h22.net", "/", ["h21.net", "h20.net"]), ("h12.net", "/", ["h3.net"])]
+    pages += [(f"h{r.randrange(25, 40)}.net", "/p", r.choices(hosts, k=r.randint(0, 4))) for _ in range(60)]
+    rows = [(i, f"http://{h}{p}", "".join(f"<a href='https://{t}/'>x</a>" for t in to)) for i, (h, p, to) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    want = brute_ranks(pages, urlgraph.RULES, urlgraph.STEPS)
+    got = {x["page_id"]: x for x in urlgraph.filter_urls(df).collect()}
+    reached = 0
+    for i, (h, p, _) in enumerate(pages):
+        trust, distrust = want["t"].get(h, 0), want["d"].get(h, 0)
+        assert (got[i]["trust"], got[i]["distrust"]) == (trust, distrust), h
+        reached += distrust > 0
+        if got[i]["rule"] is None:
+            assert got[i]["verdict"] == ("block" if distrust > trust else "allow")
+    assert reached > 5 and want["t"]["h12.net"] > 0
+    again = urlgraph.filter_urls(df.union(df.limit(1)))
+    assert again.count() == len(pages) + 1
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e5])
 def test_top_k(spark, scale):
     g = np.random.default_rng(3)
