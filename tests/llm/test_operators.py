@@ -728,3 +728,59 @@ def test_lm_scores_of_every_row(spark):
     want = brute_scores(texts, {0, 1})
     rows = lambda x: sorted((i or 0, n, round(s, 9)) for i, n, s in x)
     assert rows((r["doc_id"], r["n_tokens"], r["score"]) for r in got) == rows((d, *want[i]) for i, d in enumerate([7, 7, None, None, 9]))
+
+
+MEGABYTES = " ".join(f"Word{k % 5003}, of {k % 97} things" for k in range(90_000))
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and megabyte texts, repeated rows and identifiers, clashing columns."""
+    rows = [(1, "plain words of a plain text, ten or more of them in all here", "en", "web"), (None, None, None, None), (2, None, "en", "web"), (3, "", None, "web"), (4, " \n\t ", "de", None)]
+    rows += [(5, MEGABYTES, "en", "web"), (5, MEGABYTES, "en", "web"), (6, MEGABYTES + " end", "en", "web"), (7, "x" * 1_500_000, "en", "web"), (8, " " * 1_000_000 + "y", "en", "web"), (None, "a b c", "en", "web"), (1, "other text of one identifier", "en", "web")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    clash = ["score", "kept", "sig", "n", "label", "spans", "ids", "target", "toxic", "length", "bucket", "document", "component_id", "_row", "package"]
+    return df.withColumns({c: F.lit("clash") for c in clash}), rows
+
+
+def operators(spark):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id bigint, toxic int")
+    byte, piece = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return {
+        1: lambda d: langid.identify(d, langid.fit(d, F.lit(True))),
+        2: quality.quality_rules,
+        3: lambda d: packing.pack_documents(d, byte).filter("piece = 0"),
+        4: ngram_join.similarity_components,
+        5: lambda d: toxicity.score(d, toxicity.fit(d, labels, F.lit(True))),
+        8: pii.detect,
+        9: lambda d: wfst.encode(d, piece),
+        10: lambda d: lmscore.cross_entropy_difference(d, labels.filter("toxic = 1")),
+    }
+
+
+@pytest.mark.parametrize("number", [1, 2, 3, 4, 5, 8, 9, 10])
+def test_odd_documents(spark, number):
+    df, rows = odd_documents(spark)
+    run = operators(spark)[number]
+    got = run(df).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    of = {}
+    for r in got:
+        of.setdefault(r["doc_id"], []).append(r)
+    if number == 1:
+        assert all(of[k][0]["lang_pred"] == "und" for k in (2, 3, 4)) and of[5][0] == of[5][1]
+    elif number == 2:
+        assert all(of[k][0]["base_failed"] and not of[k][0]["kept"] for k in (2, 3, 4, 7, 8)) and of[5][0]["n_words"] == 360_000
+    elif number == 3:
+        assert {of[k][0]["length"] for k in (2, 3)} == {1}
+    elif number == 4:
+        assert of[5][0]["component_id"] == of[6][0]["component_id"] == 5 and all(of[k][0]["n_shingles"] == 0 and of[k][0]["component_id"] == k for k in (2, 3, 4))
+    elif number == 5:
+        assert of[2][0]["score"] == of[3][0]["score"] == of[4][0]["score"] and of[5][0] == of[5][1]
+    elif number == 8:
+        assert all(of[k][0]["spans"] == [] for k in (2, 3, 4, 7, 8))
+    elif number == 9:
+        assert all(r["restored"] for r in got) and of[2][0]["ids"] == of[3][0]["ids"] == b""
+    else:
+        assert sorted(r["n_tokens"] for r in got) == sorted(len((t or "").split()) for _, t, _, _ in rows)
+    empty = run(df.limit(0))
+    assert empty.count() == 0 and empty.columns == run(df).columns
