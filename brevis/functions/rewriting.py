@@ -26,6 +26,7 @@ _ALARM = re.compile(r"\b(?:error|err|fatal|critical|crit|exception|traceback|pan
 _STACK = re.compile(rf'^{_S}+at{_S}|^{_S}+File{_S}"|^Traceback|^{_S}+\.\.\.')
 TIME = r"[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9:.,]+Z?"
 _NUMBER = re.compile(r"\b[0-9]+(?:\.[0-9]+)?\b", re.A)
+TEMPLATE = ((TIME, "<ts>"), (_NUMBER, "<n>"), (r"0x[0-9a-fA-F]+", "<hex>"), (re.compile(r"\b[0-9a-f]{8,}\b", re.I | re.A), "<hash>"))
 _ODD_ITEM = re.compile(r"error|fail|exception|warn|null|missing|invalid", re.I | re.A)
 _FRAME = re.compile(rf'^{_S}*(?:at{_S}|File{_S}")')
 _LIBRARY = re.compile(r"node_modules|site-packages|[\\/]dist[\\/]|internal[\\/]|\(node:|<anonymous>|[\\/]usr[\\/]lib|runtime/|\.pyenv|dist-packages", re.I | re.A)
@@ -57,7 +58,7 @@ def _blank(line: str) -> bool:
 
 def log_template(line: str) -> str:
     """A line with times, numbers and hashes named by kind."""
-    for pattern, name in ((TIME, "<ts>"), (_NUMBER, "<n>"), (r"0x[0-9a-fA-F]+", "<hex>"), (r"(?ai:\b[0-9a-f]{8,}\b)", "<hash>")):
+    for pattern, name in TEMPLATE:
         line = re.sub(pattern, name, line)
     return line
 

@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from brevis.functions import rewriting
+from brevis.functions import line_rules, rewriting
+from brevis.functions.line_rules import bound, delimiter_of, full_lines, log_template, pick_delimiter
 from brevis.functions.text import SPACE, base36, estimate_tokens, lines, saving, trimmed
 from brevis.session import ship_package
 
+__all__ = ["log_template", "pick_delimiter"]
 MARK = "brevis"
 HANDLE = "ccr_[a-z0-9]+"
 #: Characters of an original that a retrieval returns at most, unless another limit is given.
@@ -28,8 +30,6 @@ _CALL_FRAME = rf"(?md)^[{SPACE}]*at[{SPACE}]+.+:[0-9]+:[0-9]+"
 _FILE_FRAME = rf'(?md)^[{SPACE}]*File ".*", line [0-9]+'
 _TRACEBACK = "Traceback (most recent call last)"
 _TEST_MARK = rf"[✗✕✘✖✓✔]|{_WORD}PASS{_END}|{_WORD}FAIL(?:ED)?{_END}|{_WORD}not ok [0-9]+|{_WORD}[0-9]+ (?:passing|failing|passed|failed){_END}"
-_RULE_ROW = rf"^[{SPACE}|:.-]*-[{SPACE}|:.-]*$"
-_DELIMITERS = ("\t", "|", ",")
 _LOG_LINE = (
     f"(?i){_WORD}(?:error|warn|warning|info|debug|trace|fatal|critical){_END}",
     "[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]",
@@ -58,51 +58,10 @@ def _is_json(text: Column) -> Column:
     return check(text)
 
 
-def bound(x: Column, use) -> Column:  # noqa: ANN001
-    """``use(x)`` with ``x`` evaluated once, however often ``use`` mentions it."""
-    return F.get(F.transform(F.array(x), use), F.lit(0))
-
-
 def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _agreed_count(counts: Column, n_rows: Column) -> Column:
-    """The count that most rows agree on, or null.
-
-    A count that six tenths of the counted rows share is the middle one of the sorted counts.
-    """
-    def agreed(counts: Column) -> Column:
-        usual = F.get(counts, F.floor(F.size(counts) / 2).cast("int"))
-        agree = F.size(F.filter(counts, lambda n: n == usual))
-        return F.when((F.size(counts) >= F.greatest(F.lit(2.0), n_rows * 0.6)) & (agree >= F.size(counts) * 0.6), usual)
-
-    return bound(F.sort_array(counts), agreed)
-
-
-def _delimiter_of(rows: Column) -> Column:
-    """struct(delimiter, columns) of non-blank rows, or null."""
-    def counted(plain: Column) -> Column:
-        found = F.lit(None).cast("struct<delimiter:string,columns:int>")
-        for mark in reversed(_DELIMITERS):
-            counts = F.filter(F.transform(plain, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))), lambda n: n > 0)  # noqa: B023
-            usual = _agreed_count(counts, F.size(rows))
-            found = F.coalesce(F.get(F.transform(F.filter(F.array(usual), lambda n: n.isNotNull()), lambda n: F.struct(F.lit(mark).alias("delimiter"), (n + 1).cast("int").alias("columns"))), F.lit(0)), found)  # noqa: B023
-        return found
-
-    return bound(F.filter(rows, lambda x: ~x.rlike(_RULE_ROW)), counted)
-
-
-def _full_lines(text: Column) -> Column:
-    return F.filter(lines(text), lambda x: x.rlike(f"[^{SPACE}]"))
-
-
-def pick_delimiter(text: str | Column) -> Column:
-    """struct(delimiter, columns) that most of a text's lines agree on, or null: tab, bar or comma."""
-    c = F.col(text) if isinstance(text, str) else text
-    return bound(_full_lines(c), _delimiter_of)
-
-
 def detect_type(text: str | Column) -> Column:
     """Content type of a text: json, trace, table, log, code or prose; the first that fits.
 
@@ -121,22 +80,13 @@ def _type_of_trimmed(t: Column) -> Column:
 
     return (
         F.when((_matches(t, _CALL_FRAME) >= 2) | (_matches(t, _FILE_FRAME) >= 2) | t.contains(_TRACEBACK) | (_matches(t, _TEST_MARK) >= 3), "trace")
-        .when(bound(_full_lines(t), lambda rows: (F.size(rows) >= 3) & _delimiter_of(rows).isNotNull()), "table")
+        .when(bound(full_lines(t), lambda rows: (F.size(rows) >= 3) & delimiter_of(rows).isNotNull()), "table")
         .when(bound(lines(t), logged), "log")
         .when(_matches(t, _CODE_MARK) >= F.greatest(F.lit(8.0), F.length(t) / 80), "code")
         .otherwise("prose")
     )
 
 
-def log_template(line: str | Column) -> Column:
-    """A log line with times, numbers and hashes named by kind."""
-    c = F.col(line) if isinstance(line, str) else line
-    number, word = rf"{_WORD}[0-9]+(?:\.[0-9]+)?{_END}", rf"(?i){_WORD}[0-9a-f]{{8,}}{_END}"
-    for pattern, name in ((rewriting.TIME, "<ts>"), (number, "<n>"), ("0x[0-9a-fA-F]+", "<hex>"), (word, "<hash>")):
-        c = F.regexp_replace(c, pattern, name)
-    return c
-
-
 def marker(handle: Column, name: str = MARK) -> Column:
     return F.concat(F.lit(f"«{name}:retrieve "), handle, F.lit("»"))
 
@@ -156,12 +106,21 @@ def compress_content(df: DataFrame, text: str = "text", level: str = "safe", kin
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([rewriting.rewrite(t or "", k, level, keep) for t, k in zip(texts, kinds, strict=True)], dtype=object)
+        return pd.Series([None if k is None else rewriting.rewrite(t, k, level, keep) for t, k in zip(texts, kinds, strict=True)], dtype=object)
 
     source = F.coalesce(F.col(text), F.lit(""))
     # a generator parts the two Python stages: the type is made once, before texts are rewritten
     typed = df.withColumn("type", F.lit(kind)) if kind else df.select("*", F.explode(F.array(detect_type(source))).alias("type"))
-    out = typed.withColumn("compressed", run(source, F.col("type")))
+    rules = [k for k in line_rules.RULES if kind in (None, k)]
+    if kind in line_rules.RULES:
+        out = typed.withColumn("compressed", line_rules.RULES[kind](source, level))
+    else:
+        # only prose and JSON go through Python
+        own = F.col("type").isin("prose", "json")
+        made = run(F.when(own, source), F.when(own, F.col("type")))
+        for k in rules:
+            made = F.when(F.col("type") == k, line_rules.RULES[k](source, level)).otherwise(made)
+        out = typed.withColumn("compressed", made)
     if key:
         out = out.withColumn("handle", handle_of(key)).withColumn("compressed", F.concat("compressed", F.lit("\n"), marker(F.col("handle"))))
     out = out.withColumns({"original_tokens": count(source), "compressed_tokens": count(F.col("compressed"))})

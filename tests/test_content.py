@@ -147,3 +147,36 @@ print("types", [r[0] for r in spark.createDataFrame([("{}",), ("x",)], "text str
 """
     out = subprocess.run([sys.executable, "-c", code, str(Path(__file__).resolve().parents[1])], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert "types ['json', 'prose']" in out.stdout, out.stderr[-2000:]
+
+
+LINES = [
+    "", "  ", "\t", "plain line 12", "plain line 13", "plain line 13.5 of 0xAF", "2031-02-03 04:05:06 INFO job 7", "  2031-02-03T04:05:06.5Z INFO job 8", "an ERROR here", "errors only", "job_failed 3", "über b fail 3",
+    "    at x (node_modules/y.js:1:2)", "  at z (src/z.js:1:2)", '  File "/usr/lib/x.py", line 3', '  File "own.py", line 3', "✓ passed", "PASS one", "  ok 12 fine", "FAIL two", "not ok 3", "2 passing", "Tests: 5 failed", "expected 3",
+    "- minus", "SomeError: x", "a,b,c", "a,,c", ",x", "1|2|3", "-|-|-", "| null | 3 |", "deadbeef01 x", "DEADBEEF0 y", "x // note", "/* a", "b */ c", "# hash", "    indented { }", "\t\tdeep(); ", "url http://x/y", "\u00a0nbsp\u2003", "12ms 12 ms", "end\r",
+]
+
+
+@pytest.mark.parametrize("level", ["safe", "aggressive"])
+def test_line_rules_in_the_jvm_and_line_by_line(spark, level):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from brevis.functions import line_rules
+
+    r = random.Random(3)
+    texts = ["", "\n", "one", *("\n".join(r.choice(LINES) for _ in range(r.randint(1, 14))) for _ in range(600)), *("\n".join(r.choice(LINES[12:26]) for _ in range(r.randint(3, 14))) for _ in range(300))]
+    texts += ["\n".join(f"{k},{r.choice(['x', 'null', '', 'y'])},{k % 3}" for k in range(r.randint(2, 12))) for _ in range(100)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    got = df.select("text", *(rule(F.col("text"), level).alias(k) for k, rule in line_rules.RULES.items())).collect()
+    assert len(got) == len(texts)
+    for row in got:
+        for kind in line_rules.RULES:
+            assert row[kind] == R.rewrite(row["text"], kind, level), (kind, row["text"])
+
+
+def test_line_rules_need_no_python(spark):
+    df = spark.createDataFrame([("a",)], "text string")
+    for kind in ("log", "trace", "table", "code"):
+        plan = content.compress_content(df, kind=kind)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan
