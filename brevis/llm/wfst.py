@@ -183,7 +183,7 @@ class Transducer:
                 charsmap, dummy_prefix, squeeze, escape = spec.get(2, b""), spec.get(3, 1), spec.get(4, 1), spec.get(5, 1)
         if algorithm not in (UNIGRAM, BPE) or as_suffix:
             raise ValueError("only unigram and BPE models with blanks before words are compiled")
-        self.bpe, self.unknown_mark = algorithm == BPE, mark
+        self.bpe = algorithm == BPE
         self.blank, self.prefix, self.squeeze = BLANK if escape else " ", bool(dummy_prefix), bool(squeeze)
         user = [s for s, k in zip(self.surface, self.kind, strict=True) if k == USER]
         self.normalise = Normaliser(charsmap, user, self.prefix, self.squeeze, self.blank)
@@ -193,10 +193,12 @@ class Transducer:
         # the library's starting value for the greatest score is the least positive one
         self.worst, self.greatest = _single(min(normal) - 10.0), max(*normal, 1.1754943508222875e-38)
         self.byte_id = {int(s[3:5], 16): i for i, s in enumerate(self.surface) if self.kind[i] == BYTE}
-        self.value = {i: b for b, i in self.byte_id.items()}
+        # the bytes that each piece stands for
+        self.written = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (mark if k == UNKNOWN else p.replace(BLANK, " ")).encode() for p, k in zip(self.surface, self.kind, strict=True)]
         # every state of the piece machine, with the piece that ends there or -1
         arcs = {s: i for s, i in self.piece.items() if self.kind[i] == NORMAL or self.kind[i] == (UNUSED if self.bpe else USER)}
         self.trie = {s[:k]: -1 for s in arcs for k in range(1, len(s))} | arcs
+        self.some_unused = UNUSED in self.kind
         self.frozen = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")") if user and self.bpe else None
         if any(self.blank in s.lstrip(self.blank) for s in self.piece):
             # a piece crosses from a word into a blank
@@ -268,9 +270,9 @@ class Transducer:
 
     def arcs(self, run: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the arcs that leave a position, shortest first; -1: bytes."""
-        trie, out = self.trie.get, []
+        state, out = self.trie.get, []
         for end in range(at + 1, len(run) + 1):
-            p = trie(run[at:end])
+            p = state(run[at:end])
             if p is None:
                 break
             if p >= 0:
@@ -314,8 +316,10 @@ class Transducer:
 
     def ids_on(self, run: str, path: list[tuple[int, int]]) -> bytes:
         """Ids that a path through a normalised run emits, little-endian unsigned 32-bit."""
-        ids: list[int] = []
-        at = 0
+        ids: list[int] = [p for _, p in path]
+        if not self.some_unused and min(ids) >= 0:
+            return struct.pack(f"<{len(ids)}I", *ids)
+        ids, at = [], 0
         for end, p in path:
             if p >= 0:
                 self.used(p, ids)
@@ -381,52 +385,44 @@ class Transducer:
         again[1:] = (x[1:] == self.unknown) & (x[:-1] == self.unknown)
         return x[~again].tobytes()
 
-    def encoded_runs(self, text: str) -> Iterator[bytes]:
+    def encoded_runs(self, text: str) -> list[bytes]:
         if not self.bpe:
-            total = 0.0
+            out, total = [], 0.0
             for run in self.runs.findall(text):
                 path, total = self.cheapest(run, total)
-                yield self.ids_on(run, path)
-            return
+                out.append(self.ids_on(run, path))
+            return out
         if len(self.paths) > REMEMBERED:
             # paths used since the last turn are found again among the old ones
             self.paths, self.old_paths = {}, self.paths
-        paths, old = self.paths, self.old_paths
-        for run in self.runs.findall(text):
-            path = paths.get(run)
-            if path is None:
-                path = old.get(run)
-                if path is None:
-                    path = self.ids_on(run, self.accepted(run))
-                if len(run) <= 64:
-                    paths[run] = path
-            yield path
+        runs = self.runs.findall(text)
+        found = list(map(self.paths.get, runs))
+        if None in found:
+            for k, run in enumerate(runs):
+                if found[k] is None:
+                    # it may have come before in this text
+                    path = self.paths.get(run) or self.old_paths.get(run) or self.ids_on(run, self.accepted(run))
+                    if len(run) <= 64:
+                        self.paths[run] = path
+                    found[k] = path
+        return found
 
     def decode(self, ids: list[int]) -> str:
-        out, raw = [], bytearray()
-        begun = False
-        for i in ids:
-            b = self.value.get(i)
-            if b is not None:
-                raw.append(b)
-                begun = True
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            if self.kind[i] == CONTROL:
-                continue
-            piece = self.unknown_mark if i == self.unknown else self.surface[i]
-            if not begun and i != self.unknown and (self.prefix or self.squeeze) and piece.startswith(BLANK):
+        out, at = [], 0
+        while (self.prefix or self.squeeze) and at < len(ids):
+            i = ids[at]
+            if self.kind[i] == NORMAL or self.kind[i] == USER or self.kind[i] == UNUSED:
+                piece = self.surface[i]
+                if not piece.startswith(BLANK):
+                    break
                 # the dummy prefix; if blanks are squeezed, all blanks before the first word
-                piece = piece[1:]
-                begun = not self.squeeze or bool(piece)
-            else:
-                begun = begun or bool(piece)
-            out.append(piece.replace(BLANK, " "))
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        return "".join(out)
+                out.append(piece[1:].replace(BLANK, " ").encode())
+            elif self.kind[i] != CONTROL:
+                break
+            at += 1
+            if self.kind[i] != CONTROL and not (self.squeeze and out[-1] == b""):
+                break
+        return b"".join([*out, *map(self.written.__getitem__, ids[at:] if at else ids)]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
