@@ -69,6 +69,20 @@ o AS (SELECT s.{key}, s.text, CASE WHEN coalesce(z.n, 0) <= 3 THEN s.text ELSE k
 SELECT {key}, 'prose' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM o"""
 
 
+def _routes() -> str:
+    """Types, tokens in and out of the documents; types but prose and table are refused, as their rules are not said here."""
+    odd = rf"(?i)\b(error|null|nan|none|missing|undefined|fail|failed|invalid|timeout)\b|,,|\|[{_S}]*\||^[{_S}]*,|,[{_S}]*$"
+    rule = f"^[{_S}|:.-]*-[{_S}|:.-]*$"
+    return f"""WITH k AS {_detect("documents", "doc_id", "text")},
+d AS (SELECT d.doc_id, coalesce(text, '') AS text, CASE WHEN type IN ('prose', 'table') THEN type ELSE error('no SQL for documents of type ' || type) END AS type FROM documents d JOIN k ON k.doc_id = d.doc_id),
+b AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: regexp_matches(x, '[^{_S}]') AND NOT regexp_matches(x, '{rule}')) AS r FROM d WHERE type = 'table'),
+x AS (SELECT *, list_filter(r[5:], lambda x: regexp_matches(x, '{odd}'))[:3] AS o FROM b),
+t AS (SELECT doc_id, 'table' AS type, CASE WHEN len(r) < 3 THEN text ELSE array_to_string(list_concat(r[:4], o, CASE WHEN len(r) > least(len(r), 4) + len(o) THEN ['… ' || (len(r) - least(len(r), 4) - len(o)) || ' more rows …'] ELSE CAST([] AS VARCHAR[]) END), chr(10)) END AS compressed, text FROM x),
+p AS ({_prose("SELECT doc_id, text FROM d WHERE type = 'prose'", "doc_id", 0.5)}),
+e AS (SELECT type, original_tokens AS a, compressed_tokens AS b FROM p UNION ALL SELECT type, {_tokens("text")}, {_tokens("compressed")} FROM t)
+SELECT type, count(*) AS n, CAST(sum(a) AS BIGINT) AS tokens_in, CAST(sum(b) AS BIGINT) AS tokens_out, {_saved("sum(a)", "sum(b)")} AS saved FROM e GROUP BY type"""
+
+
 def _logs(aggressive: bool) -> str:
     alarm = f"(regexp_matches(line, '{_ALARM}') OR regexp_matches(line, '{_STACK}'))"
     number = r"\b[0-9]+(\.[0-9]+)?\b"
@@ -172,8 +186,15 @@ SELECT p.conv_id, CAST(count(*) FILTER (WHERE block IS NULL) AS INTEGER) AS n_re
 FROM ({_SCHEDULE}) p LEFT JOIN k ON k.conv_id = p.conv_id GROUP BY p.conv_id"""
 
 
-def _context(budget: int, system: str) -> str:
+def _context(budget: int, system: str = "", query: str = "") -> str:
+    """With a query, facts are taken in the order of their likeness to it."""
     own = -(-len(system) // 4)
+    fold = "list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(word, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+    dims = f"CAST((CASE WHEN {fold} < 2147483648 THEN {fold} ELSE 4294967296 - {fold} END) % 64 AS INTEGER)"
+    hashed = f"""SELECT conv_id, i, {dims} AS dim, count(*) AS n FROM (SELECT conv_id, i, unnest(regexp_extract_all(lower(fact), '[a-z0-9_]+')) AS word FROM g WHERE keep) GROUP BY ALL"""
+    asked = f"SELECT {dims} AS dim, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower('{query}'), '[a-z0-9_]+')) AS word) GROUP BY ALL"
+    like = f"""SELECT h.conv_id, h.i, sum(h.n * coalesce(q.n, 0)) / (sqrt(sum(h.n * h.n)) * (SELECT sqrt(sum(n * n)) FROM ({asked}))) AS score FROM ({hashed}) h LEFT JOIN ({asked}) q ON q.dim = h.dim GROUP BY h.conv_id, h.i"""
+    likes = like if query else "SELECT conv_id, i, 0 AS score FROM g"
     return f"""WITH RECURSIVE b AS ({_facts()}), {_greedy_unlike(_MEMORY_FACTS)},
 s AS ({_SCHEDULE}),
 m AS (SELECT conv_id, role, text, {_tokens("text")} AS cost, position, row_number() OVER (PARTITION BY conv_id ORDER BY position DESC) AS j FROM s WHERE block IS NULL),
@@ -181,16 +202,17 @@ r AS (SELECT conv_id, CAST(0 AS BIGINT) AS j, CAST({budget - own} AS BIGINT) AS
  UNION ALL SELECT r.conv_id, r.j + 1, CASE WHEN cost <= room THEN room - cost ELSE room END FROM r JOIN m ON m.conv_id = r.conv_id AND m.j = r.j + 1),
 t AS (SELECT m.*, old.room AS room FROM m JOIN r old ON old.conv_id = m.conv_id AND old.j = m.j - 1 WHERE cost <= old.room),
 e AS (SELECT conv_id, min(room) AS room FROM r GROUP BY conv_id),
-n AS (SELECT conv_id, fact, {_tokens("fact")} + 2 AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS i FROM g WHERE keep),
+v AS ({likes}),
+n AS (SELECT g.conv_id, fact, {_tokens("fact")} + 2 AS cost, row_number() OVER (PARTITION BY g.conv_id ORDER BY coalesce(score, 0) DESC, g.i) AS i FROM g LEFT JOIN v ON v.conv_id = g.conv_id AND v.i = g.i WHERE keep),
 f AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, room, CAST([] AS VARCHAR[]) AS taken FROM e
  UNION ALL SELECT f.conv_id, f.i + 1, CASE WHEN cost <= room THEN room - cost ELSE room END, CASE WHEN cost <= room THEN list_append(taken, fact) ELSE taken END FROM f JOIN n ON n.conv_id = f.conv_id AND n.i = f.i + 1),
 z AS (SELECT conv_id, arg_max(taken, i) AS taken FROM f GROUP BY conv_id),
 y AS (SELECT conv_id, taken, 'Relevant memory:' || chr(10) || '- ' || array_to_string(taken, chr(10) || '- ') AS block FROM z),
 c AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY position) AS talk, sum(cost) AS cost, count(*) AS n FROM t GROUP BY conv_id),
 a AS (SELECT conv_id, sum({_tokens("text")}) AS raw_tokens, count(*) FILTER (WHERE block IS NULL) AS raw_messages FROM s GROUP BY conv_id),
-o AS (SELECT y.conv_id, concat_ws(chr(10), CASE WHEN len(taken) > 0 THEN 'system: ' || y.block END, 'system: {system}', talk) AS messages, CAST(raw_tokens AS BIGINT) AS raw_tokens,
+o AS (SELECT y.conv_id, concat_ws(chr(10), CASE WHEN len(taken) > 0 THEN 'system: ' || y.block END, {f"'system: {system}'" if system else "NULL"}, talk) AS messages, CAST(raw_tokens AS BIGINT) AS raw_tokens,
  CAST({own} + coalesce(c.cost, 0) + CASE WHEN len(taken) > 0 THEN {_tokens("y.block")} ELSE 0 END AS BIGINT) AS packed_tokens, CAST(raw_messages AS INTEGER) AS raw_messages,
- CAST(1 + coalesce(c.n, 0) + CASE WHEN len(taken) > 0 THEN 1 ELSE 0 END AS INTEGER) AS packed_messages, CAST(len(taken) AS INTEGER) AS memories_used FROM y JOIN a ON a.conv_id = y.conv_id LEFT JOIN c ON c.conv_id = y.conv_id)
+ CAST({int(bool(system))} + coalesce(c.n, 0) + CASE WHEN len(taken) > 0 THEN 1 ELSE 0 END AS INTEGER) AS packed_messages, CAST(len(taken) AS INTEGER) AS memories_used FROM y JOIN a ON a.conv_id = y.conv_id LEFT JOIN c ON c.conv_id = y.conv_id)
 SELECT *, CASE WHEN packed_tokens > 0 THEN floor(raw_tokens / CAST(packed_tokens AS DOUBLE) * 100 + 0.5) / 100 ELSE 1 END AS ratio FROM o"""
 
 
@@ -306,6 +328,8 @@ def oracle_sql() -> dict[str, str]:
         "memory_in_parts": _memory(),
         "stream_ingest": _memory(),
         "pack_context": _context(120, "Answer briefly."),
+        "pack_ranked": _context(120, query="What must the next release use?"),
+        "route_and_report": _routes(),
         "offline_complete": _complete(),
         "dedupe_facts": f"WITH RECURSIVE {_greedy_unlike('SELECT conv_id, turn, text AS fact, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations')} SELECT l.conv_id, l.turn FROM g JOIN l ON l.conv_id = g.conv_id AND l.i = g.i WHERE keep",
         "trace_compress_aggr": _traces(),
