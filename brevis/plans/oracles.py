@@ -117,6 +117,21 @@ SELECT doc_id, CASE {" ".join(f"WHEN {fits(d)} THEN {m}" for d, m in marks)} ELS
  CAST(CASE {" ".join(f"WHEN {fits(d)} THEN list_aggregate({d}, 'mode') + 1" for d, _ in marks)} ELSE 0 END AS INTEGER) AS n_columns FROM e"""
 
 
+def _json(aggressive: bool) -> str:
+    """Arrays of more than a sample and one: the sample, up to three odd items of the rest and a note."""
+    sample = 0 if aggressive else 2
+    similar = "'\"…(' || hidden || ' more similar items)\"'"
+    note = f"CASE WHEN hidden > 0 THEN '\"…(' || hidden || '× {{event_id,event_type,value}})\"' ELSE {similar} END" if aggressive else similar
+    item = lambda value: f"'{{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\",\"value\":' || {value} || '}}'"
+    whole = r"regexp_replace(CAST(value AS VARCHAR), '\.0$', '')"
+    return f"""WITH i AS (SELECT user_id, event_id, {item("CAST(value AS VARCHAR)")} AS given, {item(whole)} AS item FROM events),
+l AS (SELECT user_id, '[' || string_agg(given, ',' ORDER BY event_id) || ']' AS text, list(item ORDER BY event_id) AS items FROM i GROUP BY user_id),
+o AS (SELECT *, list_filter(items[{sample + 1}:], lambda x: regexp_matches(x, '(?i)error|fail|exception|warn|null|missing|invalid'))[:3] AS odd FROM l),
+h AS (SELECT *, len(items) - {sample} - len(odd) AS hidden FROM o),
+c AS (SELECT user_id, text, '[' || array_to_string(CASE WHEN len(items) <= {sample + 1} THEN items ELSE list_concat(items[:{sample}], odd, [{note}]) END, ',') || ']' AS compressed FROM h)
+SELECT user_id, 'json' AS type, compressed, {_tokens("text")} AS original_tokens, {_tokens("compressed")} AS compressed_tokens FROM c"""
+
+
 def _json_counts() -> str:
     """Two items, up to three odd ones of the rest; arrays of three items or fewer are shown whole."""
     return """WITH i AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, regexp_matches(event_type, '(?i)error|fail|exception|warn|null|missing|invalid') AS odd FROM events),
@@ -338,6 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "pick_delimiter": _delimiters(),
         "signal_recall": "SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS n_markers, count(*) FILTER (WHERE event_type = 'error') AS n_surviving FROM events GROUP BY user_id",
         "json_counts": _json_counts(),
+        "json_compress_safe": _json(False),
+        "json_compress_aggr": _json(True),
         "stream_stats": f"SELECT count(*) AS calls, CAST(sum({_tokens('text')}) AS BIGINT) AS tokens_in, CAST(sum({_tokens(_code('text'))}) AS BIGINT) AS tokens_out FROM conversations",
         "rerank_binary": _rerank(_AGREE, 64, 10),
         "recall_int8_binary": _parts_sql(),
