@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from brevis.functions import line_rules, rewriting
-from brevis.functions.line_rules import bound, delimiter_of, full_lines, log_template, pick_delimiter
+from brevis.functions.line_rules import bound, delimiter_of, full_lines
 from brevis.functions.text import SPACE, base36, estimate_tokens, lines, saving, trimmed
 from brevis.session import ship_package
 
-__all__ = ["log_template", "pick_delimiter"]
 MARK = "brevis"
 HANDLE = "ccr_[a-z0-9]+"
 #: Characters of an original that a retrieval returns at most, unless another limit is given.

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from brevis.functions import line_rules
 from brevis.functions import vectors as V
 from brevis.functions.providers import OfflineProvider
 from brevis.functions.quantizers import Binary, Int8, Product, Rotation
@@ -141,11 +142,11 @@ def code_compress_aggr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each template of a user's log lines occurs."""
     lines = event_logs(spark, sf_dir).select("user_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("user_id", content.log_template("line").alias("template")).agg(F.count("*").alias("n"))
+    return lines.groupBy("user_id", line_rules.log_template("line").alias("template")).agg(F.count("*").alias("n"))
 
 
 def pick_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark, sf_dir, "documents").select("doc_id", content.pick_delimiter("text").alias("d"))
+    found = _texts(spark, sf_dir, "documents").select("doc_id", line_rules.pick_delimiter("text").alias("d"))
     return found.select("doc_id", F.coalesce("d.delimiter", F.lit("none")).alias("delimiter"), F.coalesce("d.columns", F.lit(0)).alias("n_columns"))
 
 

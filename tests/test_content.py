@@ -1,6 +1,7 @@
 import pytest
 from samples import JSON, LOG, SAMPLES, STACK, TESTS
 
+from brevis.functions import line_rules
 from brevis.functions import rewriting as R
 from brevis.operators import content
 
@@ -86,7 +87,7 @@ def test_marker_can_cost_more_than_it_saves(spark):
 
 def test_delimiters(spark):
     cases = {"a,b\nc,d\ne,f": (",", 2), "a\tb\tc\nd\te\tf": ("\t", 3), "a|b\n-|-\nc|d": ("|", 2), "a,b\nc,d\ne,f,g\nh,i,j": None, "a b": None, "": None}
-    df = spark.createDataFrame([(k,) for k in cases], "text string").select("text", content.pick_delimiter("text").alias("d"))
+    df = spark.createDataFrame([(k,) for k in cases], "text string").select("text", line_rules.pick_delimiter("text").alias("d"))
     assert {r["text"]: r["d"] and tuple(r["d"]) for r in df.collect()} == cases
     assert {k: R.pick_delimiter([x for x in k.split("\n") if x.strip()]) for k in cases} == cases
 
@@ -162,8 +163,6 @@ def test_line_rules_in_the_jvm_and_line_by_line(spark, level):
 
     from pyspark.sql import functions as F
 
-    from brevis.functions import line_rules
-
     r = random.Random(3)
     texts = ["", "\n", "one", *("\n".join(r.choice(LINES) for _ in range(r.randint(1, 14))) for _ in range(600)), *("\n".join(r.choice(LINES[12:26]) for _ in range(r.randint(3, 14))) for _ in range(300))]
     texts += ["\n".join(f"{k},{r.choice(['x', 'null', '', 'y'])},{k % 3}" for k in range(r.randint(2, 12))) for _ in range(100)]
