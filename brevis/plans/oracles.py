@@ -337,7 +337,7 @@ def oracle_sql() -> dict[str, str]:
         "ccr_roundtrip": f"SELECT doc_id, {_HANDLE} AS handle, md5(text) AS digest, CAST(length(text) AS INTEGER) AS length FROM (SELECT *, doc_id AS k FROM documents)",
         "ccr_retrieve_all": f"WITH p AS (SELECT doc_id, doc_id AS k FROM documents UNION ALL SELECT doc_id, doc_id + 1 FROM documents) SELECT p.doc_id, {_HANDLE} AS handle, md5(d.text) AS digest FROM p JOIN documents d ON d.doc_id = p.k",
         "retrieve_truncated": f"SELECT p.doc_id, {_HANDLE} AS handle, coalesce(CAST(length(d.text) AS INTEGER), -1) AS length, coalesce(length(d.text) > 2000, false) AS truncated, coalesce(CAST(CASE WHEN length(d.text) > 2000 THEN length(substr(d.text, 1, 2000) || chr(10) || '… truncated, ' || length(d.text) || ' characters in all') ELSE length(d.text) END AS INTEGER), -1) AS returned FROM (SELECT doc_id, doc_id + 1 AS k FROM documents) p LEFT JOIN documents d ON d.doc_id = p.k",
-        "session_stats": f"WITH c AS (SELECT {_tokens('text')} AS a, {_tokens(_code('text'))} AS b FROM documents WHERE text IS NOT NULL), t AS (SELECT count(*) AS calls, CAST(sum(a) AS BIGINT) AS tokens_in, CAST(sum(b) AS BIGINT) AS tokens_out FROM c) SELECT *, tokens_in - tokens_out AS tokens_saved, {_saved('tokens_in', 'tokens_out')} AS saved, (SELECT count(*) FROM documents) AS stored FROM t",
+        "session_stats": f"WITH c AS (SELECT {_tokens('x')} AS a, {_tokens(_code('x'))} AS b FROM (SELECT coalesce(text, '') AS x FROM documents)), t AS (SELECT count(*) AS calls, CAST(sum(a) AS BIGINT) AS tokens_in, CAST(sum(b) AS BIGINT) AS tokens_out FROM c) SELECT *, tokens_in - tokens_out AS tokens_saved, {_saved('tokens_in', 'tokens_out')} AS saved, (SELECT count(*) FROM documents) AS stored FROM t",
         "memory_flush_schedule": f"WITH p AS (SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, position, CASE WHEN position // {size} < greatest(0, (n - {KEEP}) // {size}) THEN CAST(position // {size} AS BIGINT) ELSE -1 END AS block FROM p",
         "memory_state": _memory(),
         "memory_in_parts": _memory(),

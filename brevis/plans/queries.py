@@ -203,7 +203,7 @@ def retrieve_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir, "documents")
-    calls = content.compress_content(docs.filter(F.col("text").isNotNull()), kind="code")
+    calls = content.compress_content(docs, kind="code")
     return content.session_stats(calls, content.store(docs, "doc_id"))
 
 
