@@ -83,6 +83,23 @@ def _single(x: float) -> float:
     return struct.unpack("<f", struct.pack("<f", x))[0]
 
 
+_NONE: dict[str, tuple] = {}
+
+
+def _trie(words: dict[str, int]) -> dict[str, tuple]:
+    """character -> (value or -1, states after it), from words in any order."""
+    after: dict[str, dict] = {}
+    for word in words:
+        node = after
+        for c in word:
+            node = node.setdefault(c, {})
+
+    def states(node: dict, prefix: str) -> dict[str, tuple]:
+        return {c: (words.get(prefix + c, -1), states(x, prefix + c)) for c, x in node.items()} if node else _NONE
+
+    return states(after, "")
+
+
 class Normaliser:
     """The compiled character map (a double-array trie over UTF-8 bytes) and the blank rules."""
 
@@ -195,9 +212,9 @@ class Transducer:
         self.byte_id = {int(s[3:5], 16): i for i, s in enumerate(self.surface) if self.kind[i] == BYTE}
         # the bytes that each piece stands for
         self.written = [b"" if k == CONTROL else bytes([int(p[3:5], 16)]) if k == BYTE else (mark if k == UNKNOWN else p.replace(BLANK, " ")).encode() for p, k in zip(self.surface, self.kind, strict=True)]
-        # every state of the piece machine, with the piece that ends there or -1
+        # the piece machine: by character, (the piece that ends there or -1, the states after it)
         arcs = {s: i for s, i in self.piece.items() if self.kind[i] == NORMAL or self.kind[i] == (UNUSED if self.bpe else USER)}
-        self.trie = {s[:k]: -1 for s in arcs for k in range(1, len(s))} | arcs
+        self.trie, self.longest = _trie(arcs), max(map(len, arcs), default=1)
         self.some_unused = UNUSED in self.kind
         self.frozen = re.compile("(" + "|".join(map(re.escape, sorted(user, key=len, reverse=True))) + ")") if user and self.bpe else None
         if any(self.blank in s.lstrip(self.blank) for s in self.piece):
@@ -270,11 +287,13 @@ class Transducer:
 
     def arcs(self, run: str, at: int) -> list[tuple[int, int]]:
         """(end, piece) of the arcs that leave a position, shortest first; -1: bytes."""
-        state, out = self.trie.get, []
-        for end in range(at + 1, len(run) + 1):
-            p = state(run[at:end])
-            if p is None:
+        children, out, end = self.trie, [], at
+        for c in run[at : at + self.longest]:
+            state = children.get(c)
+            if state is None:
                 break
+            end += 1
+            p, children = state
             if p >= 0:
                 out.append((end, p))
         if not out or out[0][0] > at + 1:
@@ -296,7 +315,7 @@ class Transducer:
             arcs = open_arcs[-1]
             while arcs:
                 end, p = arcs.pop()
-                if end in dead:
+                if dead and end in dead:
                     continue
                 if p >= 0:
                     weight = known((before, p))
