@@ -373,7 +373,9 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
     """Pairs (a, b) of texts of different components that share a prefix shingle, the more central
     one (with the smaller share of shingles of its own) first.
 
-    Texts are compared with the most central one of a list, or, if ``every``, all with all.
+    Texts are compared with the most central one of a list, or, if ``every``, all with all, but for
+    pairs whose smaller text holds the shingle beyond its *lead*: two similar texts have their first
+    common shingle among the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller one, of size ``n``.
     """
 
     def pairs_of(c: dict[str, np.ndarray]) -> np.ndarray:
@@ -402,7 +404,7 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
         for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
             # by size: none beyond 1 / t times a text's size is similar to it
             reach = lo + np.searchsorted(c["n"][lo:hi], c["n"][lo:hi] * den // num, side="right")
-            for i in range(lo, hi - 1):
+            for i in (lo + np.flatnonzero(c["lead"][lo:hi])).tolist():
                 j = np.arange(i + 1, reach[i - lo])
                 # in a cell that is a pair of parts only texts of different parts meet
                 j = j[(c["half"][i] < 0) | (c["half"][j] != c["half"][i])]
@@ -427,14 +429,15 @@ def candidates(entries: DataFrame, parts: int, every: bool, num: int = NUM, den:
     """Distinct pairs (a, b) of candidates from prefix entries."""
     part = F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")
     if every:
-        # only lists that hold several components are dealt; each pair of parts of a list is a cell
-        mixed = entries.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low <> _high").select("key")
+        # only lists of several components and with a leading text are dealt; each pair of parts is a cell
+        entries = entries.withColumn("lead", F.expr(f"place <= n - (2 * {num} * n + {num + den - 1}) DIV {num + den}").cast("tinyint"))
+        mixed = entries.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("lead").alias("_lead")).filter("_low <> _high AND _lead = 1").select("key")
         other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
         entries = entries.join(mixed, "key").withColumn("_part", part).withColumn("_other", other)
         low, high = F.least("_part", "_other"), F.greatest("_part", "_other")
         entries = entries.withColumns({"cell": low * F.col("cells") + high, "half": F.when(low == high, -1).otherwise(F.col("_part"))}).drop("_part", "_other")
     else:
-        entries = entries.withColumns({"cell": part, "half": F.lit(-1)})
+        entries = entries.withColumns({"cell": part, "half": F.lit(-1), "lead": F.lit(1).cast("tinyint")})
     lists = entries.drop("cells").repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
     return lists.mapInArrow(_candidates(every, num, den), "a bigint, b bigint").distinct()
 
