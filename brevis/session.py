@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -52,6 +55,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def trim(spark: SparkSession) -> None:
+    """Give back the memory that finished work has left on the driver: Arrow's and the C library's
+    free blocks, and the JVM's garbage of plans, which would only be collected once its heap is full."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 class scratch:  # noqa: N801
     """A block of work whose staged tables are deleted at its end, but for those it keeps."""
 
