@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from brevis.llm import ngram_join, packing, pii, quality, toxicity
 from brevis.llm.queries import remainder, table, tokenizer_path
-from brevis.session import drop_staged, scratch, staged
+from brevis.session import drop_staged, scratch, staged, trim
 
 #: Identifiers to drop that are broadcast at most; beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -27,11 +27,13 @@ BROADCAST_IDS = 1_000_000
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    trim(spark)
     return quality.keep_good(docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic; the model learns from labelled ones here."""
+    trim(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
     return toxicity.drop_toxic(docs, model)
 
@@ -39,6 +41,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar documents the one of smallest identifier, null ones last. Rows are
     told apart by identifier and text; of rows that share both, one is kept."""
+    trim(spark)
     kind = docs.schema["doc_id"].dataType
     key = F.struct(F.col("doc_id").isNull().alias("missing"), F.coalesce("doc_id", F.lit(0).cast(kind)).alias("id"), F.xxhash64("text").alias("hash"))
     found = staged(ngram_join.similarity_components(docs.select(key.alias("doc_id"), "text")), "pipeline-components")
