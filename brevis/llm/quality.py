@@ -39,7 +39,7 @@ MIN_GROUP = 50
 #: Share of rows in the concentrated subset. Steps end when no determinant changes by more than
 #: ``SETTLED`` of itself, or after ``STEPS``.
 SUBSET = 0.75
-SETTLED, STEPS = 1e-3, 16
+SETTLED, STEPS = 0.01, 16
 #: Units of the rounded vectors to one, and the least standard deviation of a component in units.
 UNIT = 1024
 FLOOR = 0.06 * UNIT
@@ -153,7 +153,7 @@ def _precision(sums: DataFrame, *keys: str) -> DataFrame:
 def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     k = range(len(STATS))
     return rows.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("_n"),
+        F.count("*").cast("double").alias("_n"), *([F.max("_det").alias("_old")] if "_det" in rows.columns else []),
         *(F.sum(f"_u{i}").alias(f"_s{i}") for i in k),
         *(F.sum(F.col(f"_u{i}") * F.col(f"_u{j}")).alias(f"_q{i}{j}") for i in k for j in range(i + 1)),
     )
@@ -198,8 +198,9 @@ def fit(stats: DataFrame) -> tuple[DataFrame, int]:
         away = _with(points, model, n_groups).withColumn("_d", rounded)
         limit = away.groupBy(*keys).agg(F.percentile("_d", SUBSET).alias("_limit"))
         near = _with(points, model.join(limit, [*keys]), n_groups).withColumn("_d", rounded).filter(F.col("_d") <= F.col("_limit"))
-        new = staged(_precision(_sums(near, *keys), *keys), f"quality-model{step + 1}")
-        moved = new.join(model.select(*keys, F.col("_det").alias("_old")), [*keys]).agg(F.max(F.abs(F.col("_det") / F.col("_old") - 1))).first()[0]
+        new = _precision(_sums(near, *keys), *keys, "_old").withColumn("_moved", F.abs(F.col("_det") / F.col("_old") - 1)).drop("_old")
+        new = staged(new, f"quality-model{step + 1}")
+        moved = new.agg(F.max("_moved")).first()[0]
         drop_staged(model)
         model = new
         if moved is None or moved <= SETTLED:

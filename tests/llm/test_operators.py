@@ -154,29 +154,32 @@ def brute_kept(rows):
     of_lang = collections.Counter(a for a, k in zip(lang, ok, strict=True) if k)
     group = [p if count[p] >= 50 else (p[0], "*") if of_lang[p[0]] >= 50 else ("*", "*") for p in pair]
     member = {g: ok & np.array([g in (p, (p[0], "*"), ("*", "*")) for p in pair]) for g in set(group)}
-    kept = np.zeros(len(rows), bool)
+    floor = (0.06 * 1024) ** 2 * np.eye(4)
+    scatter = lambda z: (z.mean(axis=0), z.T @ z / len(z) - np.outer(z.mean(axis=0), z.mean(axis=0)) + floor)
+    far = lambda z, centre, cov: np.einsum("ij,jk,ik->i", z - centre, np.linalg.inv(cov), z - centre)
+    points, ends = {}, {}
     for g, own in member.items():
-        if not own.any():
-            continue
-        middle = np.floor(np.percentile(x[own], 50, axis=0))
-        u = np.floor((x - middle) * damp[:, None] + 0.5)
-        v, floor = u[own], (0.06 * 1024) ** 2 * np.eye(4)
-        scatter = lambda z: (z.mean(axis=0), z.T @ z / len(z) - np.outer(z.mean(axis=0), z.mean(axis=0)) + floor)  # noqa: B023, E731
-        mad = np.percentile(np.abs(v), 50, axis=0) * 1.4826 + 0.06 * 1024
-        ends = []
-        for centre, cov in ((np.zeros(4), np.diag(mad**2)), scatter(v), scatter(np.floor(np.tanh(v / mad) * mad + 0.5))):
-            for _ in range(16):
-                d = np.floor(np.log1p(np.einsum("ij,jk,ik->i", v - centre, np.linalg.inv(cov), v - centre)) * 256)
-                old = np.linalg.det(cov)
-                centre, cov = scatter(v[d <= np.percentile(d, 75)])
-                if abs(np.linalg.det(cov) / old - 1) <= 1e-9:
-                    break
-            ends.append((np.linalg.det(cov), centre, cov))
-        _, centre, cov = min(ends, key=lambda e: e[0])
-        far = lambda z: np.einsum("ij,jk,ik->i", z - centre, np.linalg.inv(cov), z - centre)  # noqa: B023, E731
-        scale = max(1.0, np.expm1((np.percentile(np.floor(np.log1p(far(v)) * 256), 50) + 0.5) / 256) / 3.3567)
+        if own.any():
+            points[g] = np.floor((x - np.floor(np.percentile(x[own], 50, axis=0))) * damp[:, None] + 0.5)
+            v = points[g][own]
+            mad = np.percentile(np.abs(v), 50, axis=0) * 1.4826 + 0.06 * 1024
+            ends[g] = [(np.zeros(4), np.diag(mad**2)), scatter(v), scatter(np.floor(np.tanh(v / mad) * mad + 0.5))]
+    for _ in range(16):
+        moved = 0.0
+        for g, own in ends.items():
+            v = points[g][member[g]]
+            for k, (centre, cov) in enumerate(own):
+                d = np.floor(np.log1p(far(v, centre, cov)) * 256)
+                own[k] = scatter(v[d <= np.percentile(d, 75)])
+                moved = max(moved, abs(np.linalg.det(own[k][1]) / np.linalg.det(cov) - 1))
+        if moved <= 0.01:
+            break
+    kept = np.zeros(len(rows), bool)
+    for g, own in ends.items():
+        centre, cov = min(own, key=lambda e: np.linalg.det(e[1]))
+        scale = max(1.0, np.expm1((np.percentile(np.floor(np.log1p(far(points[g][member[g]], centre, cov)) * 256), 50) + 0.5) / 256) / 3.3567)
         at = np.array([k == g for k in group]) & ok
-        kept[at] = far(u[at]) / scale <= 30
+        kept[at] = far(points[g][at], centre, cov) / scale <= 30
     return kept
 
 
