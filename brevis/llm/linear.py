@@ -90,28 +90,34 @@ def couple(margins: np.ndarray, pairs: list[tuple[int, int]], k: int, slope: flo
 
 
 class SparseRows:
-    """Compressed sparse rows with the two products that a gradient needs, made part by part."""
+    """Compressed sparse rows of counts, their columns scaled, with the two products that a gradient
+    needs, made part by part."""
 
     PART = 1 << 20
 
-    def __init__(self, bounds: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int):
-        self.bounds, self.columns, self.values, self.width = bounds, columns, values, width
-        self.row = np.repeat(np.arange(len(bounds) - 1, dtype=np.int32), np.diff(bounds))
+    def __init__(self, bounds: np.ndarray, columns: np.ndarray, counts: np.ndarray, width: int):
+        self.bounds, self.columns, self.counts, self.width = bounds, columns, counts, width
+        self.scale = np.ones(width)
 
-    def _parts(self) -> Iterator[slice]:
-        return (slice(at, at + self.PART) for at in range(0, len(self.columns), self.PART))
+    def _parts(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Parts of the entries and the rows that they are of."""
+        for at in range(0, len(self.columns), self.PART):
+            end = min(at + self.PART, len(self.columns))
+            first, last = np.searchsorted(self.bounds, [at, end - 1], side="right") - 1
+            cuts = np.clip(self.bounds[first : last + 2], at, end)
+            yield slice(at, end), np.repeat(np.arange(first, last + 1), np.diff(cuts))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(self.bounds) - 1)
-        for p in self._parts():
-            out += np.bincount(self.row[p], self.values[p] * w[self.columns[p]], minlength=len(out))
+        out, w = np.zeros(len(self.bounds) - 1), w * self.scale
+        for p, row in self._parts():
+            out += np.bincount(row, self.counts[p] * w[self.columns[p]], minlength=len(out))
         return out
 
     def t_dot(self, g: np.ndarray) -> np.ndarray:
         out = np.zeros(self.width)
-        for p in self._parts():
-            out += np.bincount(self.columns[p], self.values[p] * g[self.row[p]], minlength=self.width)
-        return out
+        for p, row in self._parts():
+            out += np.bincount(self.columns[p], self.counts[p] * g[row], minlength=self.width)
+        return out * self.scale
 
 
 def logistic(x: SparseRows, y: np.ndarray, l2: float, steps: int = 60, tolerance: float = 1e-5, memory: int = 8) -> tuple[np.ndarray, float]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from brevis.llm.lexicon import Lexicon, blocks, lexicon, lower_case, raw_texts, sum_by_doc, word_grams
 from brevis.llm.linear import SparseRows, logistic, sigmoid, smallest_keys
-from brevis.session import ship_package
+from brevis.session import ship_package, trim
 
 ORDERS = (3, 4, 5)
 BITS = 17
@@ -62,8 +62,8 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             at, value = [[]] * len(b), [[]] * len(b)
         yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), b.column("toxic"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32()))],
-            ["doc_id", "toxic", "at", "value"],
+            [b.column("doc_id"), b.column("toxic"), pa.array([len(x) for x in at], pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.int32()))],
+            ["doc_id", "toxic", "n", "at", "value"],
         )
 
 
@@ -81,21 +81,24 @@ def fit(docs: DataFrame, labels: DataFrame, fit_on: Column, max_per_class: int =
     """Train on labelled rows for which ``fit_on`` (over the columns of ``labels``) holds."""
     ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = training_rows(docs, labels, fit_on, max_per_class).mapInArrow(_featurise, f"doc_id {kind}, toxic int, at array<int>, value array<int>").toArrow()
-    ids = rows.column("doc_id").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    y = rows.column("toxic").to_numpy()[order].astype(np.float64)
+    rows = training_rows(docs, labels, fit_on, max_per_class).mapInArrow(_featurise, f"doc_id {kind}, toxic int, n bigint, at array<int>, value array<int>").toArrow()
+    y = rows.column("toxic").to_numpy().astype(np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel(None, float(np.log(max(y.mean(), 1e-9) / max(1 - y.mean(), 1e-9))) if len(y) else -30.0)
-    rows = rows.select(["at", "value"]).take(pa.array(order)).combine_chunks()
-    at, value = (rows.column(c).combine_chunks() for c in ("at", "value"))
-    del rows
-    bounds = at.offsets.to_numpy().astype(np.int64)
-    x = SparseRows(bounds - bounds[0], at.flatten().to_numpy(), value.flatten().to_numpy().astype(np.float32), 1 << BITS)
-    del at, value
+    # in one order, whatever the order in which they came
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    y = y[order]
+    sizes = rows.column("n").to_numpy()
+    starts = np.cumsum(sizes) - sizes
+    at = np.concatenate([starts[i] + np.arange(sizes[i], dtype=np.int32) for i in order]).astype(np.int32)
+    columns = rows.column("at").combine_chunks().flatten().to_numpy()[at]
+    counts = rows.column("value").combine_chunks().flatten().to_numpy()[at].astype(np.float32)
+    del rows, at
+    trim(docs.sparkSession)
+    x = SparseRows(np.concatenate([[0], np.cumsum(sizes[order])]), columns, counts, 1 << BITS)
     p, q = ALPHA + x.t_dot(y), ALPHA + x.t_dot(1 - y)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    x.values = (x.values * ratio[x.columns]).astype(np.float32)
+    x.scale = ratio
     w, bias = logistic(x, y, L2)
     return ToxicityModel((w * ratio).astype(np.float32), bias)
 
