@@ -61,8 +61,8 @@ def text_statistics(docs: DataFrame, *keep: str) -> DataFrame:
     d = d.withColumn("_words", F.filter(F.split(text, f"[{WHITE}]+"), lambda w: w != ""))
     d = d.withColumns({
         "n_words": F.size("_words").cast("bigint"),
-        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("bigint"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("bigint"),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("bigint"),
         "_upper": F.regexp_count(text, F.lit(r"\p{Lu}")),
         "_marks": F.regexp_count(text, F.lit(rf"[^\p{{L}}\p{{N}}{WHITE}]")),
         "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{WHITE}]")),
