@@ -29,6 +29,8 @@ _CALL_FRAME = rf"(?md)^[{SPACE}]*at[{SPACE}]+.+:[0-9]+:[0-9]+"
 _FILE_FRAME = rf'(?md)^[{SPACE}]*File ".*", line [0-9]+'
 _TRACEBACK = "Traceback (most recent call last)"
 _TEST_MARK = rf"[✗✕✘✖✓✔]|{_WORD}PASS{_END}|{_WORD}FAIL(?:ED)?{_END}|{_WORD}not ok [0-9]+|{_WORD}[0-9]+ (?:passing|failing|passed|failed){_END}"
+#: What a text without any of these, or of the marks, need not be searched for.
+_TEST_WORDS = ("PASS", "FAIL", "not ok ", " passing", " failing", " passed", " failed")
 _LOG_LINE = (
     f"(?i){_WORD}(?:error|warn|warning|info|debug|trace|fatal|critical){_END}",
     "[0-9]{4}-[0-9]{2}-[0-9]{2}[ T][0-9]",
@@ -72,13 +74,19 @@ def detect_type(text: str | Column) -> Column:
     return F.when(bracketed & _is_json(F.when(bracketed, t)), "json").otherwise(bound(t, _type_of_trimmed))
 
 
+def _test_marks(t: Column) -> Column:
+    """How many marks of test output a text holds; most texts hold none of their words."""
+    may = reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in _TEST_WORDS)) | t.rlike("[✓-✘]")
+    return F.when(may, _matches(t, _TEST_MARK)).otherwise(0)
+
+
 def _type_of_trimmed(t: Column) -> Column:
     def logged(every: Column) -> Column:
         hit = F.filter(every, lambda x: reduce(lambda a, b: a | b, (x.rlike(p) for p in _LOG_LINE)))
         return (F.size(every) >= 4) & (F.size(hit) / F.size(every) >= 0.3)
 
     return (
-        F.when((_matches(t, _CALL_FRAME) >= 2) | (_matches(t, _FILE_FRAME) >= 2) | t.contains(_TRACEBACK) | (_matches(t, _TEST_MARK) >= 3), "trace")
+        F.when((_matches(t, _CALL_FRAME) >= 2) | (_matches(t, _FILE_FRAME) >= 2) | t.contains(_TRACEBACK) | (_test_marks(t) >= 3), "trace")
         .when(bound(full_lines(t), lambda rows: (F.size(rows) >= 3) & delimiter_of(rows).isNotNull()), "table")
         .when(bound(lines(t), logged), "log")
         .when(_matches(t, _CODE_MARK) >= F.greatest(F.lit(8.0), F.length(t) / 80), "code")
