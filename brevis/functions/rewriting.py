@@ -10,6 +10,7 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
 
@@ -272,21 +273,52 @@ def _word_worth(word: str) -> tuple[str, float]:
     return bare, worth
 
 
+#: Characters of texts whose words are indexed together.
+_TOGETHER = 1 << 20
+
+
+def rewrite_proses(texts: list[str], keep: float = 0.5) -> Iterator[str]:
+    """The most telling share of each text's words, in their order. A word's worth is looked up once
+    for all texts that are near each other."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= _TOGETHER):
+            size += len(texts[end])
+            end += 1
+        yield from _rewritten(texts[at:end], keep)
+        at = end
+
+
+def _rewritten(texts: list[str], keep: float) -> Iterator[str]:
+    index: dict[str, int] = {}
+    seen = index.setdefault
+    words = [_WORD.findall(t) for t in texts]
+    ids = [np.fromiter([seen(w, len(index)) for w in own], np.int64, len(own)) for own in words]
+    bare_index: dict[str, int] = {"": 0}
+    bare, worth = np.empty(len(index), np.int64), np.empty(len(index))
+    for i, w in enumerate(index):
+        b, worth[i] = _word_worth(w)
+        bare[i] = bare_index.setdefault(b, len(bare_index))
+    times = np.zeros(len(bare_index), np.int64)
+    for text, own, i in zip(texts, words, ids, strict=True):
+        if len(own) <= 3:
+            yield text
+            continue
+        b = bare[i]
+        np.add.at(times, b, 1)
+        n = times[b]
+        times[b] = 0
+        n[b == 0] = 0
+        score = worth[i] - 0.4 * (n / max(1, n.max()))
+        kept = max(1, math.floor(len(own) * min(1.0, max(0.05, keep)) + 0.5))
+        best = np.sort(np.argsort(-score, kind="stable")[:kept])
+        yield " ".join([own[k] for k in best.tolist()])
+
+
 def rewrite_prose(text: str, keep: float = 0.5) -> str:
     """The most telling share of the words, in their order."""
-    words = _WORD.findall(text)
-    if len(words) <= 3:
-        return text
-    bare, worth = zip(*map(_word_worth, words), strict=True)
-    times = Counter(bare)
-    del times[""]
-    most = max(times.values(), default=1)
-    off = {b: 0.4 * (n / most) for b, n in times.items()}
-    off[""] = 0.0
-    score = np.array(worth) - np.array([off[b] for b in bare])
-    n = max(1, math.floor(len(words) * min(1.0, max(0.05, keep)) + 0.5))
-    best = np.sort(np.argsort(-score, kind="stable")[:n])
-    return " ".join([words[i] for i in best.tolist()])
+    return next(rewrite_proses([text], keep))
 
 
 class Scorer(Protocol):
@@ -310,7 +342,12 @@ def prune_by_surprisal(text: str, scorer: Scorer, keep: float = 0.5) -> str:
     return re.sub(f"^{_S}+|{_S}+$", "", scorer.decode([ids[i] for i in best.tolist()]))
 
 
+def prose_keep(level: str, keep: float | None) -> float:
+    """The share of words that prose keeps, unless it is given."""
+    return (0.3 if level == "aggressive" else 0.5) if keep is None else keep
+
+
 def rewrite(text: str, kind: str, level: str = "safe", keep: float | None = None) -> str:
     if kind == "prose":
-        return rewrite_prose(text, (0.3 if level == "aggressive" else 0.5) if keep is None else keep)
+        return rewrite_prose(text, prose_keep(level, keep))
     return {"json": rewrite_json, "log": rewrite_log, "code": rewrite_code, "trace": rewrite_trace, "table": rewrite_table}[kind](text, level)

@@ -113,7 +113,11 @@ def compress_content(df: DataFrame, text: str = "text", level: str = "safe", kin
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([None if k is None else rewriting.rewrite(t, k, level, keep) for t, k in zip(texts, kinds, strict=True)], dtype=object)
+        prose = kinds == "prose"
+        rewritten = rewriting.rewrite_proses(texts[prose].tolist(), rewriting.prose_keep(level, keep))
+        out = pd.Series([None if k is None or p else rewriting.rewrite(t, k, level) for t, k, p in zip(texts, kinds, prose, strict=True)], dtype=object)
+        out[prose.to_numpy()] = list(rewritten)
+        return out
 
     source = F.coalesce(F.col(text), F.lit(""))
     # a generator parts the two Python stages: the type is made once, before texts are rewritten

@@ -3,6 +3,7 @@ from samples import JSON, LOG, SAMPLES, STACK, TESTS
 
 from brevis.functions import line_rules
 from brevis.functions import rewriting as R
+from brevis.functions.text import SPACE
 from brevis.operators import content
 
 
@@ -68,6 +69,38 @@ def test_prose_rules():
     assert R.rewrite_prose("same same same same", 0.5) == "same same"
 
 
+def plain_prose(text, keep):
+    """The prose rules word by word."""
+    import collections
+    import math
+    import re
+
+    words = [w for w in re.split(f"[{SPACE}]+", text) if w]
+    if len(words) <= 3:
+        return text
+    bare = [re.sub("[^a-z0-9]", "", w.lower()) for w in words]
+    times = collections.Counter(b for b in bare if b)
+    score = []
+    for w, b in zip(words, bare, strict=True):
+        s = 1.0
+        for term in (-0.85 if b in R.STOPWORDS.split() else 0, 1.5 if re.search("[0-9]", w) else 0, 0.6 if re.match("[A-Z]", w) else 0, 0.8 if set(w) & set("_/.\\{}()=<>:#@[]") else 0, min(len(b) / 8, 0.8)):
+            s += term
+        score.append(s - 0.4 * (times[b] / max(times.values())) if b else 0.05)
+    n = max(1, math.floor(len(words) * min(1.0, max(0.05, keep)) + 0.5))
+    best = sorted(range(len(words)), key=lambda i: (-score[i], i))[:n]
+    return " ".join(words[i] for i in sorted(best))
+
+
+@pytest.mark.parametrize("keep", [0.0, 0.3, 0.5, 1.0])
+def test_prose_of_many_texts(keep):
+    import random
+
+    r = random.Random(5)
+    words = ["the", "The", "of", "a.b", "x_1", "2024", "Ünder", "für", "漢字", "!!", "…", "Word", "word", "word,", "LONGERWORDS", "it's", "42%", "/path", "\u00a0", "zz"]
+    texts = ["", "one", "!! ?? !! ??", *(r.choice([" ", "\n", "  "]).join(r.choices(words, k=r.randint(0, 60))) for _ in range(300)), " ".join(words) * 20]
+    assert list(R.rewrite_proses(texts, keep)) == [plain_prose(t, keep) for t in texts]
+
+
 def test_store_round_trip(spark):
     texts = spark.createDataFrame([(0, "a"), (35, "b" * 50), (36, None)], "k bigint, text string")
     store = content.store(texts, "k")
