@@ -14,12 +14,15 @@ one *text*, known by a 64-bit hash of the set.
 3. Texts that share a prefix shingle are candidates. Length and positional filters apply at once,
    the suffix filter before the exact overlap is counted. No pair is verified twice, and pairs of
    texts known to be connected are not verified at all: each list of texts is first compared with
-   its most central member, components are updated, and only pairs across components remain. The
-   last round takes every remaining pair, so no link between components is lost.
+   its most central member, components are updated, and only pairs across components remain, until
+   such a round finds none. The last round takes every remaining pair, so no link between components
+   is lost.
 
-The list of a shingle that very many texts share is dealt in *cells* of about ``CELL`` texts: in the
-first rounds each cell has a central member of its own, in the last one each pair of cells meets.
-A pair is dealt by its less central text, so that the pairs of a central one spread over all tasks.
+The list of a shingle that very many texts share is dealt in *cells*. In the first round a cell of
+``STAR_CELLS * CELL`` texts or so has a central member of its own. From the second on a component is
+present with its most central text alone, so that the cells' centres meet. In the last round each pair
+of cells of about ``CELL`` texts meets. A pair is dealt by its less central text, so that the pairs of a
+central one spread over all tasks.
 
 Set sizes count 64-bit hashes. Overlaps are counted on 56 of the bits: within a pair of 1000-shingle
 texts a false common shingle has a chance of 1e-11. 3e9 texts hold one equal pair of set hashes with
@@ -51,13 +54,15 @@ from brevis.session import drop_staged, is_scan, plan_bytes, ship_package, stage
 SIZE = 5
 #: The Jaccard similarity as a fraction.
 NUM, DEN = 75, 100
-STAR_ROUNDS = 2
+#: Rounds of comparing with central texts at most; they end when one finds no candidates.
+STAR_ROUNDS = 6
 #: Shingles of a package, and texts, whose places take two bytes.
 PACKAGE, PACKAGE_TEXTS = 4 << 20, 1 << 16
 #: Shingles that a task decodes at once where they meet.
 RANGE = 8 << 20
-#: Texts of a cell.
-CELL = 4096
+#: Texts of a cell of a list; and cells of the last round to one of the first rounds, whose work is
+#: linear in a list's texts.
+CELL, STAR_CELLS = 4096, 64
 #: Bytes of stored documents to a partition, where there are not more partitions anyhow.
 PART_BYTES = 256 << 20
 KEY_BITS = np.uint64(56)
@@ -425,20 +430,25 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
     return run
 
 
-def candidates(entries: DataFrame, parts: int, every: bool, num: int = NUM, den: int = DEN) -> DataFrame:
+def candidates(entries: DataFrame, parts: int, step: int, every: bool, num: int = NUM, den: int = DEN) -> DataFrame:
     """Distinct pairs (a, b) of candidates from prefix entries."""
-    part = F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")
     if every:
         # only lists of several components and with a leading text are dealt; each pair of parts is a cell
         entries = entries.withColumn("lead", F.expr(f"place <= n - (2 * {num} * n + {num + den - 1}) DIV {num + den}").cast("tinyint"))
         mixed = entries.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.max("lead").alias("_lead")).filter("_low <> _high AND _lead = 1").select("key")
+        part = F.pmod(F.xxhash64("sig"), F.col("cells")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
         entries = entries.join(mixed, "key").withColumn("_part", part).withColumn("_other", other)
         low, high = F.least("_part", "_other"), F.greatest("_part", "_other")
         entries = entries.withColumns({"cell": low * F.col("cells") + high, "half": F.when(low == high, -1).otherwise(F.col("_part"))}).drop("_part", "_other")
     else:
-        entries = entries.withColumns({"cell": part, "half": F.lit(-1), "lead": F.lit(1).cast("tinyint")})
-    lists = entries.drop("cells").repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
+        if step:
+            # of each component in a list the most central text
+            best = F.min(F.struct((F.col("own") / F.col("n")).alias("_alone"), "sig", "n", "place", "own", "cells")).alias("_best")
+            entries = entries.groupBy("key", "label").agg(best).select("key", "label", "_best.sig", "_best.n", "_best.place", "_best.own", "_best.cells")
+        cells = F.ceil(F.col("cells") / STAR_CELLS ** (step + 1))
+        entries = entries.withColumns({"cell": F.pmod(F.xxhash64("sig"), cells).cast("int"), "half": F.lit(-1), "lead": F.lit(1).cast("tinyint")})
+    lists = entries.select("key", "cell", "sig", "n", "place", "own", "label", "half", "lead").repartition(parts, "key", "cell").sortWithinPartitions("key", "cell")
     return lists.mapInArrow(_candidates(every, num, den), "a bigint, b bigint").distinct()
 
 
@@ -537,18 +547,23 @@ def similar_links(records: DataFrame, parts: int, num: int = NUM, den: int = DEN
     """Verified links (a, b) that connect every pair of similar texts, and ``node, label``."""
     links = labels = tried = None
     done: list[DataFrame] = []
-    for step in range(STAR_ROUNDS + 1):
+    rounds = [(step, False) for step in range(STAR_ROUNDS)] + [(0, True)]
+    idle = False
+    for step, last in rounds:
+        if idle and not last:
+            continue
         if labels is None:
             members = records.withColumn("label", F.col("sig"))
         else:
             members = records.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         entries = members.mapInArrow(_prefix_entries(num, den, CELL), _ENTRY)
-        pairs = candidates(entries, parts, step == STAR_ROUNDS, num, den)
+        pairs = candidates(entries, parts, step, last, num, den)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, f"join-pairs{step}")
+        pairs = staged(pairs, f"join-pairs{'-last' if last else step}")
         done.append(pairs)
-        if not pairs.count():
+        idle = not pairs.count()
+        if idle:
             continue
         found = verify(pairs, records, parts, num, den)
         done += [x for x in (links, labels) if x is not None]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from brevis.llm import langid, linear, lmscore, ngram_join, packing, pii, quality, topk, toxicity, urlgraph, wfst
 from brevis.llm.queries import remainder, tokenizer_path
+from brevis.session import staged
 
 EDGE = ["", None, "   \n\t", "a", "one two three", "x " * 3000, "é" * 500, "SAME text here for all", "SAME text here for all"]
 
@@ -341,6 +342,27 @@ def test_near_copies_in_small_packages_and_cells(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+@pytest.mark.parametrize("cell", [4096, 8])
+def test_one_large_group_of_near_copies_stays_linear(spark, monkeypatch, cell):
+    """A list that fills many cells: the last round has few pairs left, and nothing is lost."""
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    monkeypatch.setattr(ngram_join, "STAR_CELLS", 4)
+    counted = {}
+
+    def count(df, name, *folders):
+        out = staged(df, name, *folders)
+        counted[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "staged", count)
+    r = random.Random(31)
+    base = words("en", 300, 31).split()
+    texts = [" ".join(f"new{r.randrange(10**6)}" if k == at else w for k, w in enumerate(base)) for at in r.sample(range(300), 240)] + [words("de", 50, i) for i in range(20)]
+    got = [x["component_id"] for x in ngram_join.similarity_components(table(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [0] * 240 + list(range(240, 260))
+    assert sum(n for name, n in counted.items() if name.startswith("join-pairs")) < 240 * 12
+
+
 def test_near_copies_of_very_many_short_texts(spark):
     """More texts in a partition than two bytes can number; one shingle in half of them."""
     rows = spark.range(0, 70_000, numPartitions=1)
