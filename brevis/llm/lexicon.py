@@ -6,6 +6,8 @@ handled in blocks of bounded size, and each distinct word of a block is looked a
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -44,6 +46,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             size += int(n)
         if start < len(lengths):
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return free blocks to the system: a worker lives on, and would hold the most that any of its
+    tasks has taken."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:

@@ -3,7 +3,7 @@
 A document's set holds the 64-bit hashes of its distinct word shingles. Documents of equal sets are
 one *text*, known by a 64-bit hash of the set.
 
-1. Texts are read once. A task gathers some 4 million shingles, a *package*, and deals them by
+1. Texts are read once. A task gathers some 2 million shingles, a *package*, and deals them by
    shingle: sorted, as differences, each with the text's place in the package. The package's list of
    texts goes to one place, its home. Where shingles meet their texts are counted, and those shared by
    two or more go to the packages' homes with a rank key whose order is rare first (a rounded
@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brevis.llm.lexicon import blocks, mix, raw_texts, word_hashes
+from brevis.llm.lexicon import blocks, give_back, mix, raw_texts, word_hashes
 from brevis.llm.packages import from_planes, home, planes
 from brevis.session import drop_staged, is_scan, plan_bytes, ship_package, staged
 
@@ -57,7 +57,7 @@ NUM, DEN = 75, 100
 #: Rounds of comparing with central texts at most; they end when one finds no candidates.
 STAR_ROUNDS = 6
 #: Shingles of a package, and texts, whose places take two bytes.
-PACKAGE, PACKAGE_TEXTS = 4 << 20, 1 << 16
+PACKAGE, PACKAGE_TEXTS = 2 << 20, 1 << 16
 #: Shingles that a task decodes at once where they meet.
 RANGE = 8 << 20
 #: Texts of a cell of a list; and cells of the last round to one of the first rounds, whose work is
@@ -199,6 +199,7 @@ def _postings(parts: int, size: int, package_size: int, package_texts: int):  #
             n_held, n_texts = n_held + len(hashes), n_texts + len(n)
         if n_texts:
             yield from _dealt(package(), id_type)
+        give_back()
 
     return run
 
@@ -219,6 +220,8 @@ def _meet(parts: int, at_once: int):  # noqa: ANN202
                 yield b.filter(pa.array(b.column("kind").to_numpy() != SHINGLES))
         if found:
             yield from _dealt(_shared(found, bucket, parts, at_once), id_type)
+            del found
+        give_back()
 
     return run
 
@@ -426,6 +429,7 @@ def _candidates(every: bool, num: int, den: int):  # noqa: ANN202
             for at in range(0, len(pairs), 1 << 16):
                 part = pairs[at : at + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], ["a", "b"])
+        give_back()
 
     return run
 
