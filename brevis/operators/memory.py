@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brevis.functions.providers import OfflineProvider, Provider, distill, keep_unlike
+from brevis.functions.providers import OfflineProvider, Provider, directions, distill, keep_unlike
 from brevis.functions.text import estimate_tokens, to_fixed
 from brevis.functions.vectors import cosine
 from brevis.session import ship_package
@@ -136,7 +136,7 @@ def pack_context(state: DataFrame, budget: int | Column = BUDGET, system: str |
     """``conv_id, messages`` and counters: memories, preamble and recent turns within a budget.
 
     The preamble is charged first, then recent turns from the newest back, then memories, in the
-    order of their likeness to ``query`` if the provider can embed.
+    order of their likeness to ``query`` if the provider can embed; of equal ones the earlier first.
     """
     ship_package(state.sparkSession)
     limit = budget if isinstance(budget, Column) else F.lit(budget)
@@ -149,9 +149,9 @@ def pack_context(state: DataFrame, budget: int | Column = BUDGET, system: str |
 
         @F.pandas_udf("array<array<double>>")
         def embed(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: provider.embed(list(t)).tolist())
+            return texts.map(lambda t: directions(provider, list(t)).tolist())
 
-        target = F.array(*(F.lit(float(x)) for x in provider.embed([query])[0]))
+        target = F.array(*(F.lit(float(x)) for x in directions(provider, [query])[0]))
         d = d.withColumn("_vectors", embed(F.col("memories.text")))
         ranked = F.array_sort(F.transform("memories", lambda m, i: F.struct((-cosine(target, F.get(F.col("_vectors"), i))).alias("rank"), i.alias("at"), (count(m["text"]) + 2).alias("cost"))))
     else:

@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,31 @@ def test_ranked_packing(spark):
     assert row["messages"][0]["content"] == "Relevant memory:\n- about the export pipeline"
 
 
+def test_equally_like_memories_keep_their_order(spark):
+    """Both share sums of 3 with the query and of 9 with themselves; scaled vectors differ in the last bit."""
+    texts, query = ["we use cats we use", "to cats to"], "What must the next release use?"
+    asked, *own = OfflineProvider().counts([query, *texts])
+    assert [(v @ asked, v @ v) for v in own] == [(3, 9), (3, 9)]
+    for order in (texts, texts[::-1]):
+        memories = [{"id": str(i), "text": t, "kind": "fact", "source": None} for i, t in enumerate(order)]
+        state = spark.createDataFrame([(1, [], memories, 10, 0)], memory.STATE)
+        row = memory.pack_context(state, 90, query=query, provider=OfflineProvider()).first()
+        assert row["messages"][0]["content"] == "\n- ".join(["Relevant memory:", *order])
+
+
+def test_ranking_takes_a_provider_s_own_vectors(spark):
+    class ByLength(OfflineProvider):
+        """The shorter a text, the more alike to a query of one letter."""
+
+        def embed(self, texts):
+            return np.array([[1.0, len(t) - 1.0] for t in texts])
+
+    memories = [{"id": str(i), "text": t, "kind": "fact", "source": None} for i, t in enumerate(["a long one", "short"])]
+    state = spark.createDataFrame([(1, [], memories, 10, 0)], memory.STATE)
+    row = memory.pack_context(state, 90, query="a", provider=ByLength()).first()
+    assert row["messages"][0]["content"] == "Relevant memory:\n- short\n- a long one"
+
+
 @pytest.mark.parametrize("size", [1, 5, 24])
 def test_stream_equals_batch(spark, tmp_path, size):
     from brevis.streaming.ingest import drain, ingest_stream
